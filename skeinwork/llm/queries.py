@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, quality, spotsigs
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
+        "op7_spot_signatures": lambda s, d: spotsigs.query(table(s, d, "documents")),
         "op10_quality_rules": lambda s, d: quality.query(table(s, d, "documents")),
     }
 
