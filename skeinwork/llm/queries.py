@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, spotsigs
+from . import mixing, quality, spotsigs, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op5_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
         "op7_spot_signatures": lambda s, d: spotsigs.query(table(s, d, "documents")),
+        "op9_url_filter": urls.query,
         "op10_quality_rules": lambda s, d: quality.query(table(s, d, "documents")),
     }
 
