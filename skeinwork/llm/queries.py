@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, quality, spotsigs, urls
+from . import mixing, ngram_join, pii, quality, spotsigs, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": lambda s, d: ngram_join.query(table(s, d, "documents")),
+        "op4_pii": lambda s, d: pii.query(table(s, d, "documents")),
         "op5_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
         "op7_spot_signatures": lambda s, d: spotsigs.query(table(s, d, "documents")),
         "op9_url_filter": urls.query,
