@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing, pii, quality, spotsigs, urls
+from . import additive, html, mixing, ngram_join, packing, pii, quality, spotsigs, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,10 +15,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": lambda s, d: ngram_join.query(table(s, d, "documents")),
+        "op3_quality_classifier": additive.query,
         "op4_pii": lambda s, d: pii.query(table(s, d, "documents")),
         "op5_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
         "op6_packing": lambda s, d: packing.query(table(s, d, "documents")),
         "op7_spot_signatures": lambda s, d: spotsigs.query(table(s, d, "documents")),
+        "op8_html_main_text": lambda s, d: html.query(table(s, d, "pages")),
         "op9_url_filter": urls.query,
         "op10_quality_rules": lambda s, d: quality.query(table(s, d, "documents")),
     }
