@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive, html, mixing, ngram_join, packing, pii, quality, spotsigs, urls
+import corpus_pipeline
+
+from . import additive, html, licences, mixing, ngram_join, packing, pii, quality, spotsigs, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": lambda s, d: ngram_join.query(table(s, d, "documents")),
+        "op2_licence_scan": lambda s, d: licences.query(table(s, d, "documents")),
         "op3_quality_classifier": additive.query,
         "op4_pii": lambda s, d: pii.query(table(s, d, "documents")),
         "op5_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
@@ -23,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op8_html_main_text": lambda s, d: html.query(table(s, d, "pages")),
         "op9_url_filter": urls.query,
         "op10_quality_rules": lambda s, d: quality.query(table(s, d, "documents")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
