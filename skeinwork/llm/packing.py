@@ -1,6 +1,7 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length, improved by swap-based local search.
 
-Documents are tokenised in Arrow batches and cut into pieces; only documents longer than a sequence are cut. Pieces, now
+Documents are tokenised in Arrow batches; tokens of words are kept by word, as words repeat far more often than they are
+new. Documents are cut into pieces; only documents longer than a sequence are cut. Pieces, now
 a few numbers each, are dealt by hash into shards of about SHARD pieces. A shard is packed best fit, longest first; a
 local search then tries to empty its least full sequences: a document moves to the fullest sequence with room for it, or
 is exchanged for a shorter one there, or two documents are exchanged for one, always so that the sum of squared fills
@@ -13,6 +14,7 @@ Null texts count as empty and give one piece of the end token alone. Rows that r
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -36,24 +38,57 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _pieces(tokenizer: str, length: int, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Tokens(dict):
+    """Token ids of texts, as bytes of unsigned 32-bit numbers.
+
+    A text that has only characters whose normal form, case and class are beyond doubt is split into words as the
+    tokenizer does, and each word's ids are looked up or, batch by batch, worked out and kept, up to a bounded number of
+    words. Any other text goes through the tokenizer whole. Both ways give the same ids."""
+
+    # The tokenizer's word pattern for lower-case text of these characters.
+    PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7e\xa1-\xa7\xa9\xab\xac\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*")
+    LETTERS = r"a-z\xdf-\xf6\xf8-\xff"
+    WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t\n\v\f\r 0-9{LETTERS}]+")
+    MOST = 1_000_000
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        split = [self.WORD.findall(t.lower()) if self.PLAIN.fullmatch(t) else None for t in texts]
+        if len(self) > self.MOST:
+            self.clear()
+        new = list({w for x in split if x for w in x if w not in self})
+        self.update(zip(new, self._ids(new)))
+        whole = iter(self._ids([t for t, x in zip(texts, split) if x is None]))
+        return [next(whole) if x is None else b"".join(map(self.__getitem__, x)) for x in split]
+
+
+_tokens: dict[str, Tokens] = {}
+
+
+def _pieces(tokenizer: str, length: int, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _tokens.get(tokenizer) or _tokens.setdefault(tokenizer, Tokens(tokenizer))
+        last = end.to_bytes(4, "little")
         for batch in batches:
             docs, out = batch.column("doc_id"), []
-            for i in range(0, batch.num_rows, 64):
-                texts = [x.as_py() or "" for x in batch.column("text")[i : i + 64]]
-                for k, e in enumerate(t.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.array([*e.ids, end], "<u4")
-                    for n, at in enumerate(range(0, len(ids), length)):
-                        part = ids[at : at + length]
-                        out.append((docs[i + k].as_py(), n, at, len(part), zlib.crc32(part.tobytes())))
+            for i in range(0, batch.num_rows, 256):
+                for k, ids in enumerate(tokens.of([x.as_py() or "" for x in batch.column("text")[i : i + 256]])):
+                    ids += last
+                    for n, at in enumerate(range(0, len(ids), 4 * length)):
+                        part = ids[at : at + 4 * length]
+                        out.append((docs[i + k].as_py(), n, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
