@@ -1,0 +1,304 @@
+"""The training-data operators against brute force, round trips and edge cases on small tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skeinwork.llm import additive, html, licences, mixing, ngram_join, packing, pii, quality, spotsigs, urls
+
+SPACE = r"[^\x20\x09-\x0D]+"
+KIND = "doc_id long, text string, lang string, source string, n_chars long, extra int, Text2 string"
+
+
+def texts(n=60, seed=1):
+    r = random.Random(seed)
+    vocab = ["the", "of", "and", "in", *[f"w{i}" for i in range(300)]]
+    out = [" ".join(r.choice(vocab) for _ in range(r.randint(60, 160))) for _ in range(n)]
+    for _ in range(n // 2):  # near copies of some
+        w = r.choice(out).split()
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    t = [*texts(), "", None, " \n\t ", "one", "one", "two words", "x" * 5000, "the " * 3000]
+    rows = [(i, x, "en" if i % 3 else None, f"s{i % 4}" if i % 5 else None, len(x or ""), i, "clash") for i, x in enumerate(t)]
+    return spark.createDataFrame([*rows, rows[0], rows[0]], KIND).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], KIND)
+
+
+def words(t):
+    return re.findall(SPACE, t or "")
+
+
+def test_quality_counts(docs, empty):
+    got = {r["doc_id"]: r for r in quality.query(docs).collect()}
+    for d in docs.collect():
+        w, t, r = words(d["text"]), d["text"] or "", got[d["doc_id"]]
+        c = Counter(zip(w, w[1:], w[2:]))
+        twice = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(twice))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(twice) > 50 * len(w)) and (not r["kept"] or not r["base_failed"])
+    assert quality.query(empty).count() == 0
+    assert quality.query(docs).count() == docs.count()
+
+
+def test_sketch_buckets(spark):
+    v = [0, 1, 63, 64, 65, 127, 128, 1000, 10**6]
+    rows = spark.createDataFrame([(x,) for x in v], "v long").select("v", quality.bucket(F.col("v")).alias("b"))
+    got = [(r["v"], r["b"], r["f"]) for r in rows.select("*", quality.bucket_floor(F.col("b")).alias("f")).collect()]
+    assert all(f <= x <= f * 1.04 + 1 for x, _, f in got)
+    assert [b for _, b, _ in got] == sorted(b for _, b, _ in got)
+
+
+def brute_components(rows, width, percent):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for d, t in rows:
+        w = words((t or "").translate(low))
+        sets[d] = frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_ngram_join(docs, width, percent):
+    want = brute_components([(d["doc_id"], d["text"]) for d in docs.collect()], width, percent)
+    got = ngram_join.link_components(docs, width, percent).collect()
+    assert len(got) == docs.count()
+    assert {(r["doc_id"], r["n"], r["component_id"]) for r in got} == {(d, *x) for d, x in want.items()}
+
+
+def test_ngram_large_groups(spark, monkeypatch):
+    """Lists over SMALL and groups over a block take the other path, with the same result."""
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "SMALL", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 40)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 4, 85)
+    assert {x["doc_id"]: (x["n"], x["component_id"]) for x in ngram_join.link_components(d).collect()} == want
+
+
+def test_ngram_empty_and_keep_one(docs, empty):
+    assert ngram_join.query(empty).count() == 0
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = brute_components([(d["doc_id"], d["text"]) for d in docs.collect()], 5, 80)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(ids) == sorted(d for d, (n, c) in want.items() if n == 0 or c == d)
+
+
+def test_licences(spark, docs, empty):
+    t = "Copyright (c) 2021 A. Person\n\n" + licences.KNOWN["MIT"].replace(",", " ,").upper()
+    rows = spark.createDataFrame([(1, t), (2, "Released under the MIT Licence.\nmore"), (3, None), (4, licences.KNOWN["ISC"] + " and more")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licence"], r["notices"]) for r in licences.query(rows).collect()}
+    assert got == {1: ("MIT", ""), 2: (None, "MIT"), 3: (None, ""), 4: (None, "")}
+    assert licences.query(docs).count() == docs.count() and licences.query(empty).count() == 0
+    for text in [*licences.KNOWN.values(), "Ünïcode — licence"]:
+        row = spark.createDataFrame([(text,)], "t string").select(licences.canonical(F.col("t")).alias("c")).first()
+        assert row["c"] == licences.canonical_text(text)
+
+
+def test_additive_learns():
+    r = np.random.default_rng(1)
+    x = r.random((4000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)  # nothing but an interaction
+    m = additive.fit(x[:3000], y[:3000])
+    assert ((m.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.8
+    flat = additive.fit(x, np.ones(len(x)))
+    assert (flat.score(x) > 0.99).all()
+
+
+def test_additive_query(spark, sf, docs):
+    got = additive.query(spark, sf).toPandas()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and got.score.between(0, 1).all()
+    assert additive.featured(docs).dropna().count() == docs.count()
+
+
+def test_pii(spark, empty):
+    t = "mail a.b@c-d.org, ip 1.2.3.4 or 1.2.3.456, card 4111 1111 1111 1111 not 4111111111111112, +1 (555) 123-4567 and 00.1.2.3.4"
+    rows = spark.createDataFrame([(1, t), (2, None), (3, ""), (3, ""), (4, 'é token = "0123456789abcdef0123456789abcdef"')], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.query(rows).collect()}
+    one = got[1]
+    assert (one["n_email"], one["n_card"], one["n_phone"]) == (1, 1, 1)
+    said = [s for s in one["spans"].split(",")]
+    assert [t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in said][0] == "a.b@c-d.org"
+    assert one["base_sha256"] == hashlib.sha256(",".join(s for s in said if not s.startswith("secret")).encode()).hexdigest()
+    assert got[2]["spans"] == "" and got[4]["spans"] == "secret:11:43"
+    assert pii.query(rows).count() == 5 and pii.query(empty).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(rows).collect()}
+    assert clean[2] is None and clean[4] == 'é token = "<SECRET>"' and "<EMAIL>" in clean[1]
+
+
+def test_pii_bootstrap(spark):
+    """Identifiers that no base pattern finds, after words that stand before base ones."""
+    rows = [(i, f"text call me at +1 (555) 123-{4000 + i} today") for i in range(30)] + [(99, "text call me at 5551234-99x now")]
+    got = {r["doc_id"]: r["spans"] for r in pii.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99].startswith("phone:16:")
+
+
+def test_mixing(docs, empty):
+    got = mixing.query(docs).toPandas()
+    assert len(got) == docs.count() and (got.taken <= 2 * got["size"]).all()
+    sizes = {d["doc_id"]: len(words(d["text"])) for d in docs.collect()}
+    assert (got["size"] == got.doc_id.map(sizes)).all()
+    again = mixing.query(docs.repartition(7)).toPandas()
+    assert sorted(map(tuple, got.to_numpy())) == sorted(map(tuple, again.to_numpy()))
+    assert abs(got.groupby("source_size").target.first().sum() - 1.5 * got["size"].sum()) < 1e-3 or got.source_size.nunique() < 5
+    assert mixing.query(empty).count() == 0 and mixing.mix(docs).columns == docs.columns
+
+
+def test_mixing_targets(spark):
+    rows = [(f"s{i}", n) for i, n in enumerate([100, 900, 500, 50, 3000])] + [(None, 70)]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    left, want, open_ = 1.5 * sum(n for _, n in rows), {}, dict(rows)
+    weight = dict(zip([s for s, _ in rows], [3, 1, 2, 3, 1, 2]))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if weight[s] * level > 2 * open_[s]]
+        if not full:
+            want |= {s: weight[s] * level for s in open_}
+            break
+        for s in full:
+            want[s] = 2.0 * open_.pop(s)
+            left -= want[s]
+    assert got == pytest.approx(want)
+
+
+def test_mixing_near_targets(spark):
+    r = random.Random(3)
+    rows = [(i, "w " * r.randint(1, 400), f"s{i % 3}") for i in range(1500)]
+    got = mixing.query(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    got["source"] = got.doc_id % 3
+    sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(sums.taken - sums.target) < 400).all()
+
+
+def test_packing(docs, empty, spark):
+    got = packing.query(docs).toPandas()
+    t = packing.Tokens(packing.default_tokenizer())
+    for d in docs.dropDuplicates(["doc_id"]).collect():
+        n = len(t.tokenizer.encode(d["text"] or "", add_special_tokens=False).ids) + 1
+        own = got[got.doc_id == d["doc_id"]].drop_duplicates("piece").sort_values("piece")
+        assert own.length.sum() == n and (own.length[:-1] == 4096).all() and list(own.start) == [4096 * i for i in range(len(own))]
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all()
+    assert got.groupby("sequence_id").length.sum().max() <= 4096
+    assert packing.query(empty).count() == 0
+
+
+def test_tokens_by_word():
+    t, r = packing.Tokens(packing.default_tokenizer()), random.Random(2)
+    odd = ["".join(r.choice("aZéÉßÿ'’s re'll 09²ª\t\n\x1c\x85—…İΣé,.<|>endoftext") for _ in range(r.randint(0, 50))) for _ in range(3000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in t.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    assert t.of(odd) == want
+
+
+def test_packing_search():
+    r = random.Random(4)
+    for _ in range(20):
+        n = [r.randint(1, 60) for _ in range(r.randint(1, 80))]
+        bins = packing.pack_shard(n, 60)
+        assert sorted(i for b in bins for i in b) == list(range(len(n))) and all(sum(n[i] for i in b) <= 60 for b in bins)
+        assert len(bins) <= len(packing.best_fit(n, 60))
+
+
+def test_spotsigs(docs, empty):
+    d = docs.dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: r for r in spotsigs.query(d).collect()}
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in d.collect()), reverse=True)
+    for i, (k, t) in enumerate(rows):
+        nxt = rows[(i + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        assert got[k]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and 0 <= got[k]["near_next"] <= 1
+        assert got[k]["n_chars"] == len(t)
+        if edited == t:
+            assert got[k]["near_edited"] == 1 and got[k]["fingerprint"] == got[k]["edited_fingerprint"]
+    by_text = {}
+    for k, t in rows:
+        assert by_text.setdefault(t, got[k]["fingerprint"]) == got[k]["fingerprint"]
+    assert spotsigs.query(docs).count() == docs.count() and spotsigs.query(empty).count() == 0
+
+
+def test_spotsigs_pairs(docs):
+    d = docs.dropDuplicates(["doc_id"])
+    sets = {r["doc_id"]: set(r["sigs"]) for r in spotsigs.with_signatures(d.select("doc_id", "text"), "text", "sigs").collect()}
+    classes = {}
+    for k in sorted(sets):
+        classes.setdefault(frozenset(sets[k]), k)
+    reps = sorted(classes.values())
+    want = {(a, b) for i, b in enumerate(reps) for a in reps[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in spotsigs.near_pairs(d).collect()} == want
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header>top</header><nav><a>menu</a></nav>
+<div class="cookie-notice">we use</div><article><h1>A &amp; B</h1><p>first <b>bold</b>\n text<br>more<p>second<div class="ad">buy</div><ul><li>one</li><li>two</li></ul>
+<form>mail</form><script>var x="</p>";</script></article><section id="comments"><p>me too</p></section><aside>side</aside><footer>end</footer></body></html>"""
+
+
+def test_html(spark):
+    rows = spark.createDataFrame([(1, "http://a.b/c", PAGE), (2, "http://a.b/d", None), (3, None, ""), (4, "x", "plain"), (1, "http://a.b/c", PAGE)], "page_id long, url string, html string")
+    got = html.query(rows).collect()
+    assert len(got) == 5
+    by = {r["page_id"]: r["text"] for r in got}
+    assert by == {1: "A & B\nfirst bold text more\nsecond\none\ntwo", 2: "", 3: "", 4: "plain"}
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert html.query(rows.limit(0)).count() == 0
+
+
+def test_urls(spark):
+    u = ["http://X.Example.com/en/1", "https://example.com/en/77?x#y", "http://a.net/de/", "http://example.net/de/81", "http://xexample.net/de/8", "nothing", None, "http://org/es/2", "ftp://q.org?en/es/"]
+    rows = spark.createDataFrame(list(enumerate(u)), "page_id long, url string")
+    host, path = urls.parts(F.col("url"))
+    rule, verdict = urls.rule_of(F.col("h"), F.col("p"))
+    got = [tuple(r) for r in rows.select("page_id", host.alias("h"), path.alias("p")).select("page_id", "h", "p", rule, verdict).orderBy("page_id").collect()]
+    assert got == [
+        (0, "x.example.com", "/en/1", "com/en/", "block"), (1, "example.com", "/en/77", "example.com/en/7", "allow"), (2, "a.net", "/de/", "net/de/", "allow"),
+        (3, "example.net", "/de/81", "example.net/de/8", "block"), (4, "xexample.net", "/de/8", "net/de/", "allow"), (5, "", "", None, None), (6, "", "", None, None),
+        (7, "org", "/es/2", "org/es/", "block"), (8, "q.org", "", None, None),
+    ]
+
+
+def test_urls_model(spark):
+    r = random.Random(1)
+    rows = [(f"http://{'spam-' if i % 4 == 0 else ''}h{r.randrange(99)}.example.com/en/{i}", i % 4 == 0) for i in range(800)]
+    host, path = urls.parts(F.col("url"))
+    lab = spark.createDataFrame([(u, int(b)) for u, b in rows], "url string, bad long").select("url", host.alias("host"), path.alias("path"), "bad")
+    m = urls.fit(lab, trees=4)
+    got = urls.filter_urls(spark.createDataFrame([(1, "http://new-one.example.com/fr/1"), (2, "http://h5.example.com/fr/1"), (3, None)], "page_id long, url string"), m)
+    assert {x["page_id"]: x["verdict"] for x in got.collect()} == {1: "block", 2: "allow", 3: "allow"}
+    none = urls.fit(lab.limit(0))
+    assert urls.filter_urls(spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string"), none).count() == 1
