@@ -238,6 +238,9 @@ def _compatible(nodes, where, crossings, spins, pairs):
 
 def yamada_diagram(code: str, compatible: bool = False, normalised: bool = True) -> Poly:
     """The Yamada polynomial of a diagram in A, lowest exponent 0 if normalised."""
+    labels = [a for kind, x in parse_code(code) for a in x if kind == "V" or len(set(x)) == 4]
+    if any(labels.count(a) != 2 for a in set(labels)):
+        raise ValueError("a label doesn't occur twice")
     total: Poly = {}
     memo: dict = {}
     powers = [{0: 1}]
@@ -254,14 +257,15 @@ def yamada_diagram(code: str, compatible: bool = False, normalised: bool = True)
 
 
 def diagram_terms(codes: DataFrame, compatible: bool = False) -> DataFrame:
-    """(g, e, coeff) of codes(g, pd_code), row by row in Arrow batches; a code that is off the grammar gives no terms."""
+    """(g, e, coeff) of codes(g, pd_code), row by row in Arrow batches; a code that is off the grammar, or has labels
+    that don't occur twice, gives no terms, and the zero polynomial a zero term."""
 
     def run(batches):
         for b in batches:
             rows = []
             for g, code in zip(b["g"], b["pd_code"]):
                 try:
-                    rows += [(g, e, str(c)) for e, c in yamada_diagram(code, compatible).items()]
+                    rows += [(g, e, str(c)) for e, c in (yamada_diagram(code, compatible) or {0: 0}).items()]
                 except ValueError:
                     continue
             yield pd.DataFrame(rows, columns=["g", "e", "coeff"])
