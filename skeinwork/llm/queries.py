@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import additive, html, licences, mixing, ngram_join, packing, pii, quality, spotsigs, urls
+from . import additive, html, licences, mixing, ngram_join, oracles, packing, pii, quality, spotsigs, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,4 +31,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_ngram_jaccard_join": oracles.ngram_join(),
+        "op2_licence_scan": oracles.licence_scan(),
+        "op10_quality_rules": oracles.quality_rules(),
+    }
