@@ -3,18 +3,20 @@
 A document's set is its distinct word n-grams; documents link when their Jaccard similarity reaches the threshold. The
 join is exact and returns classes and components, never all pairs of a group:
 
-1. Sketch. Counts of n-grams by hash bin over all documents flag the bins of frequent n-grams. The sketch has 2^18 bins
+1. Sketch. Counts of n-grams by hash bin over all documents flag the bins of frequent n-grams. The sketch has 2^19 bins
    at any input size.
-2. Prefixes. Sets are ordered by (flagged, hash). Sets that link share an n-gram in the first n - ceil(t n) + 1 of each,
-   under any order; with frequent n-grams last, common passages rarely are among these. Equal sets become one class.
-3. Index. Lists of the prefix n-grams: lists with the same members count once. A list is skipped from the place on where
-   sizes and positions rule a link out (the join condition).
-4. Small lists give candidate pairs, at most SMALL / 2 for each entry, which are verified by their whole sets.
-5. Large lists are joined to groups of sets that share them, and dealt by size class and hash into blocks of bounded
-   size; only blocks of the same or the next size class meet. In a block pair one set is the representative r, and every
-   other set is kept as its difference from r: with R the n-grams of r that x lacks and A those it has besides,
+2. Prefixes. Sets are ordered by (flagged, hash). Under any order, sets that link share l n-grams or more in the first
+   n - ceil(t n) + l of each; l grows with the set, so that a shared passage alone seldom reaches it, and with frequent
+   n-grams last, common passages rarely are among these. Equal sets become one class.
+3. Index. Lists of the prefix n-grams. The sketch bounds every list of an unflagged n-gram, so these are gathered by a
+   window; flagged ones are counted first and joined, which splits hot lists. Lists with the same members count once.
+4. Candidates. Lists of up to SMALL sets give pairs that share l n-grams and fit by size and position; longer lists tie
+   their sets together. Candidate groups are the components of both.
+5. A group's sets are dealt by size class and hash into blocks of bounded size; only blocks of the same or the next size
+   class meet, and a small group is one block. In a block one set is the representative r, and every other set is kept
+   as its difference from r: with R the n-grams of r that x lacks and A those it has besides,
    |x n y| = |r| - |Rx| - |Ry| + |Rx n Ry| + |Ax n Ay|. So a set's overlaps follow from those of r and short differences.
-   A block pair returns a spanning forest of its links.
+   A block returns a spanning forest of its links.
 
 N-grams are 64-bit hashes; two n-grams of one pair of documents meet by chance once in about 10^13 pairs.
 
@@ -24,10 +26,12 @@ doc_id have no links and no component.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +39,9 @@ from ..operators.connected import components
 from .common import SPACE, free_name, stage
 
 #: Bits of a sketch bin.
-BITS = 18
+BITS = 19
+#: Bits of the filter by which the texts of candidate sets are read again.
+FILTER = 23
 #: Members of a list whose pairs are candidates one by one.
 SMALL = 48
 #: Sets and n-grams of a block, on average.
@@ -84,6 +90,11 @@ def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _least(n: int, percent: int) -> int:
+    """The n-grams that a set of n shares with any set it links with, within their prefixes."""
+    return min(_need(n, percent), 3 + n // 40)
+
+
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.int64)
@@ -103,7 +114,7 @@ def _prefixes(width: int, percent: int, flags: bytes):
 
         flagged = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
         for batch in batches:
-            sizes, one, two, prefixes = [], [], [], []
+            sizes, one, two, prefixes, lates = [], [], [], [], []
             for text in batch.column("text"):
                 h = gram_set(text.as_py(), width)
                 n = len(h)
@@ -112,35 +123,57 @@ def _prefixes(width: int, percent: int, flags: bytes):
                 sizes.append(n)
                 one.append(int.from_bytes(d[:8], "big", signed=True))
                 two.append(int.from_bytes(d[8:], "big", signed=True))
-                prefixes.append(np.concatenate([h[~late], h[late]])[: n - _need(n, percent) + 1] if n else h)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(prefixes)], ["doc_id", "n", "d1", "d2", "prefix"])
+                lates.append(int(n - late.sum()))
+                prefixes.append(np.concatenate([h[~late], h[late]])[: n - _need(n, percent) + _least(n, percent)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(prefixes), pa.array(lates, pa.int32())], ["doc_id", "n", "d1", "d2", "prefix", "late"])
 
     return run
 
 
-def _sets(width: int):
+def _place(ids: np.ndarray) -> np.ndarray:
+    """Bits of ids in the filter."""
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(32))) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_place(batch.column("doc_id").to_numpy(zero_copy_only=False))))], ["bit"])
+
+
+def _sets(width: int, wanted: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(wanted), np.uint8)).astype(bool)
         for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            batch = batch.filter(pa.array(bits[_place(batch.column("doc_id").to_numpy())]))
             sets = [gram_set(x.as_py(), width) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), _lists(sets)], ["doc_id", "n", "grams"])
 
     return run
 
 
-def links_of_block(ids: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, grams: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets of a block, as (id, smaller id)."""
+def differences(sizes: np.ndarray, offsets: np.ndarray, grams: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(|Rx|, Dx) of sets and a representative: how many n-grams of the representative a set lacks, and all n-grams in
+    which the two differ."""
+    lacks, out = np.empty(len(sizes), np.int64), []
+    for i in range(len(sizes)):
+        x = grams[offsets[i] : offsets[i + 1]]
+        d = np.setxor1d(x, rep, assume_unique=True)
+        # |Dx| = |Rx| + |Ax| and |Ax| - |Rx| = |x| - |r|
+        lacks[i] = (len(d) - (len(x) - len(rep))) // 2
+        out.append(d)
+    return lacks, out
+
+
+def links_of_block(ids: np.ndarray, sizes: np.ndarray, lacks: np.ndarray, rep_size: int, offsets: np.ndarray, grams: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets of a block, as (id, smaller id). grams are the differences of the
+    sets from one representative."""
     m = len(ids)
     uniq, column = np.unique(grams, return_inverse=True)
     row = np.repeat(np.arange(m), np.diff(offsets))
     held = np.bincount(column, minlength=len(uniq))
-    # the representative has the most n-grams that others have too
-    shared = np.bincount(row, weights=np.minimum(held[column], m) / m, minlength=m)
-    r = int(np.argmax(shared / np.maximum(np.sqrt(sizes), 1)))
-    in_r = np.zeros(len(uniq), bool)
-    in_r[column[row == r]] = True
-    lacks = in_r.sum() - np.bincount(row, weights=in_r[column], minlength=m)  # |Rx|
-    over = np.where(in_r, m - held, held)  # sets that differ from r in this n-gram
-    wide = over > max(16, m // 16)
+    wide = held > max(16, m // 16)
     both = np.zeros((m, m), np.float32)
     # n-grams in which many sets differ: dense products, some columns at a time
     (dense,) = np.nonzero(wide)
@@ -150,28 +183,15 @@ def links_of_block(ids: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, gram
         place[part] = np.arange(len(part))
         d = np.zeros((m, len(part)), np.float32)
         at = place[column]
-        ok = at >= 0
-        d[row[ok], at[ok]] = 1
-        d[:, in_r[part]] = 1 - d[:, in_r[part]]
+        d[row[at >= 0], at[at >= 0]] = 1
         both += d @ d.T
         place[part] = -1
     # the others: pairs of the few sets that differ in each
-    few = ~wide & (over >= 2)
-    ok = few[column] & ~in_r[column]
-    rows, cols = row[ok], column[ok]
-    lacking = few & in_r
-    if lacking.any():
-        (want,) = np.nonzero(lacking)
-        place[want] = np.arange(len(want))
-        has = np.zeros((m, len(want)), bool)
-        at = place[column]
-        good = at >= 0
-        has[row[good], at[good]] = True
-        x, y = np.nonzero(~has)
-        rows, cols = np.concatenate([rows, x]), np.concatenate([cols, want[y]])
+    few = ~wide & (held >= 2)
+    rows, cols = row[few[column]], column[few[column]]
     order = np.lexsort((rows, cols))
     rows, cols = rows[order], cols[order]
-    for shift in range(1, int(over[few].max(initial=0))):
+    for shift in range(1, int(held[few].max(initial=0))):
         same = cols[shift:] == cols[:-shift]
         if not same.any():
             break
@@ -179,7 +199,7 @@ def links_of_block(ids: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, gram
         np.add.at(both, (a, b), 1)
         np.add.at(both, (b, a), 1)
     size = sizes.astype(np.int64)
-    common = int(in_r.sum()) - lacks[:, None].astype(np.int64) - lacks[None, :].astype(np.int64) + both.astype(np.int64)
+    common = rep_size - lacks[:, None].astype(np.int64) - lacks[None, :].astype(np.int64) + both.astype(np.int64)
     union = size[:, None] + size[None, :] - common
     linked = (100 * common >= percent * union) & (size[:, None] > 0) & (size[None, :] > 0)
     np.fill_diagonal(linked, True)
@@ -199,12 +219,51 @@ def links_of_block(ids: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, gram
     return [(int(ids[i]), int(ids[by_id[label[i]]])) for i in range(m) if label[i] != rank[i]]
 
 
+def _numbers(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of a column of lists."""
+    n = lists.combine_chunks()
+    values = n.flatten().to_numpy()
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(n).to_numpy(), dtype=np.int64)]), values
+
+
+def _links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+
+
+def _group(percent: int):
+    """Links of a small group: its largest set is the representative."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, sizes = table["doc_id"].to_numpy(), table["n"].to_numpy()
+        offsets, grams = _numbers(table["grams"])
+        r = int(np.argmax(sizes))
+        rep = grams[offsets[r] : offsets[r + 1]]
+        lacks, d = differences(sizes, offsets, grams, rep)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in d])])
+        return _links(links_of_block(ids, sizes, lacks, len(rep), at, np.concatenate(d), percent))
+
+    return run
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("rep").to_numpy(zero_copy_only=False)
+        offsets, grams = _numbers(pa.chunked_array([batch.column("grams")]))
+        lacks, out = [], []
+        for i, rep in enumerate(lists):
+            x = grams[offsets[i] : offsets[i + 1]]
+            k, d = differences(np.array([len(x)]), np.array([0, len(x)]), x, rep)
+            lacks.append(int(k[0]))
+            out.append(d[0].view(np.uint64))
+        sizes = pa.array([len(r) for r in lists], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("doc_id"), batch.column("n"), batch.column("size"), pa.array(lacks, pa.int32()), sizes, _lists(out)], ["group", "doc_id", "n", "size", "lacks", "rep_size", "grams"])
+
+
 def _block(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        grams = table["grams"].combine_chunks()
-        offsets = np.concatenate([[0], np.cumsum(table["n"].to_numpy(), dtype=np.int64)])
-        found = links_of_block(table["doc_id"].to_numpy(), table["n"].to_numpy(), offsets, grams.flatten().to_numpy(), percent)
-        return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+        offsets, grams = _numbers(table["grams"])
+        found = links_of_block(table["doc_id"].to_numpy(), table["n"].to_numpy(), table["lacks"].to_numpy(), table["rep_size"][0].as_py(), offsets, grams, percent)
+        return _links(found)
 
     return run
 
@@ -218,24 +277,31 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     mean = (bins.agg(F.sum("n")).first()[0] or 0) / (1 << BITS)
     flags = np.zeros(1 << BITS, bool)
     flags[[r[0] for r in bins.where(F.col("n") > mean + 6 * mean**0.5 + 12).select("bin").collect()]] = True
-    marked = stage(text.mapInArrow(_prefixes(width, percent, np.packbits(flags).tobytes()), "doc_id long, n int, d1 long, d2 long, prefix array<long>"), "ngram-prefixes")
+    marked = stage(text.mapInArrow(_prefixes(width, percent, np.packbits(flags).tobytes()), "doc_id long, n int, d1 long, d2 long, prefix array<long>, late int"), "ngram-prefixes")
 
     key = ["n", "d1", "d2"]
-    firsts = marked.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.min_by("prefix", "doc_id").alias("prefix"))
-    classes = stage(firsts, "ngram-classes")
-    posts = classes.select(F.col("class_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "gram"))
-    lists = posts.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
-    posts = stage(posts.join(lists, "gram"), "ngram-lists")
+    classes = stage(marked.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "ngram-classes")
+    reps = marked.join(classes, [*key]).where("doc_id = class_id").select(F.col("doc_id").alias("id"), "prefix", "late")
+    posts = reps.select("id", "late", F.posexplode("prefix").alias("pos", "gram"))
+    rare = posts.where("pos < late").select("gram", "id", "pos").withColumn("members", F.count("*").over(Window.partitionBy("gram"))).where("members > 1")
+    often = posts.where("pos >= late").select("gram", "id", "pos")
+    lists = often.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
+    posts = stage(rare.unionByName(often.join(lists, "gram")), "ngram-lists")
+
+    # sets with fewer shared n-grams than any link needs are out
+    sizes = classes.select(F.col("class_id").alias("id"), "n").distinct()
+    least_of = lambda n: F.least(F.ceil(F.lit(percent) * n / 100), 3 + F.floor(n / 40))
+    met = posts.groupBy("id").agg(F.count("*").alias("hits")).join(sizes, "id").where(F.col("hits") >= least_of(F.col("n"))).select("id", "n")
+    posts = stage(posts.join(met, "id"), "ngram-candidates")
 
     # a list with the same members as another is skipped
-    digest = [F.sum(F.xxhash64("id") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"), F.first("members").alias("m")]
+    digest = [F.sum(F.xxhash64("id") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"), F.count("*").alias("m")]
     small = posts.where(F.col("members") <= SMALL)
-    kept = small.groupBy("gram").agg(*digest).groupBy("m", "h1", "h2").agg(F.min("gram").alias("gram")).select("gram")
-    small = small.join(kept, "gram", "left_semi")
-    large = posts.where(F.col("members") > SMALL).select("id", "n", "gram")
+    kept = small.groupBy("gram").agg(*digest).where("m > 1").groupBy("m", "h1", "h2").agg(F.min("gram").alias("gram"), F.count("*").alias("times")).select("gram", "times")
+    small = small.join(kept, "gram")
+    large = posts.where(F.col("members") > SMALL).select("id", "gram")
     heads = large.groupBy("gram").agg(F.min("id").alias("v"))
-    groups = components(large.join(heads, "gram").select(F.col("id").alias("u"), "v"), lambda x: stage(x, "ngram-groups"))
-    groups = stage(groups.select(F.col("v").alias("id"), F.col("component").alias("group")), "ngram-group")
+    ties = large.join(heads, "gram").select(F.col("id").alias("u"), "v").distinct()
 
     x, y = small.alias("x"), small.alias("y")
     least = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100.0 + percent) - 1e-9)
@@ -243,40 +309,54 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     room = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
     fits = first & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (room >= least)
-    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    g = groups.select(F.col("id").alias("a"), F.col("group").alias("ga")), groups.select(F.col("id").alias("b"), F.col("group").alias("gb"))
-    pairs = stage(pairs.join(g[0], "a", "left").join(g[1], "b", "left").where("ga IS NULL OR gb IS NULL OR ga <> gb").select("a", "b"), "ngram-pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(groups.select(F.col("id").alias("doc_id"))).distinct()
-    # a doc_id that is repeated with other texts has several sets here; each of them is one of this vertex
-    sets = text.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, n int, grams array<long>")
-    sets = stage(sets, "ngram-sets")
-    a = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("s"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    verified = pairs.join(a, "a").join(b, "b").where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    grouped = sets.join(groups, sets["doc_id"] == groups["id"]).select("group", "doc_id", "n", "grams")
-    grouped = grouped.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
-    blocks = grouped.groupBy("group", "size").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("parts"))
+    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where(fits).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("x.n").alias("n"), F.col("x.times").alias("times"))
+    # two sets that share a large list are tied; for all others the small lists hold every n-gram they share
+    pairs = pairs.groupBy("u", "v").agg(F.sum("times").alias("times"), F.min("n").alias("n")).where(F.col("times") >= least_of(F.col("n"))).select("u", "v")
+    groups = components(pairs.unionByName(ties), lambda e: stage(e, "ngram-groups"))
+    groups = stage(groups.select(F.col("v").alias("id"), F.col("component").alias("group")), "ngram-group")
+
+    # which sets form a small group, worked out on numbers alone; others are large
+    placed = groups.join(sizes, "id")
+    totals = placed.groupBy("group").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("n") <= BLOCK_GRAMS)).alias("one"))
+    placed = stage(placed.select("id", "group").distinct().join(totals, "group"), "ngram-placed")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(group, doc_id, n, grams) of placed ids. Their texts are read again through a filter of a fixed size; what
+        passes it by chance finds no group. A doc_id that is repeated with other texts has several sets; each is one of
+        this vertex."""
+        marks = ids.select(F.col("id").alias("doc_id")).mapInArrow(_marks, "bit long").distinct()
+        bits = np.zeros(1 << FILTER, bool)
+        bits[[r[0] for r in marks.collect()]] = True
+        sets = text.mapInArrow(_sets(width, zlib.compress(np.packbits(bits).tobytes())), "doc_id long, n int, grams array<long>")
+        return sets.where("n > 0").join(ids, sets["doc_id"] == ids["id"]).select("group", "doc_id", "n", "grams")
+
+    small_links = sets_of(placed.where("one")).groupBy("group").applyInArrow(_group(percent), "u long, v long")
+    small_links = stage(small_links, "ngram-small")
+    # a large group's sets are sent around as their differences from the set of its least doc_id
+    whole = stage(sets_of(placed.where("NOT one")), "ngram-large")
+    reps = whole.where("doc_id = group").dropDuplicates(["group"]).select("group", F.col("grams").alias("rep"))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int").alias("size")
+    rows = whole.join(reps, "group").select("group", "doc_id", "n", size, "grams", "rep").mapInArrow(_differ, "group long, doc_id long, n int, size int, lacks int, rep_size int, grams array<long>")
+    rows = stage(rows, "ngram-differences")
+    blocks = rows.groupBy("group", "size").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.size("grams")) / BLOCK_GRAMS)).cast("int").alias("parts"))
     blocks = stage(blocks, "ngram-blocks")
     parts = lambda by, name: blocks.select("group", (F.col("size") - by).alias("size"), F.col("parts").alias(name))
-    rows = grouped.join(parts(0, "p0"), ["group", "size"]).join(parts(1, "p1"), ["group", "size"], "left").join(parts(-1, "pm"), ["group", "size"], "left")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("p0")).cast("int").alias("own")
-    rows = rows.withColumn("own", own)
+    rows = rows.join(parts(0, "p0").join(parts(1, "p1"), ["group", "size"], "left").join(parts(-1, "pm"), ["group", "size"], "left"), ["group", "size"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("p0")).cast("int"))
     meet = lambda c, i, k, j: F.struct(c.alias("c"), i.alias("i"), F.lit(k).alias("k"), j.alias("j"))
-    upto = lambda n: F.sequence(F.lit(0), F.coalesce(n, F.lit(0)) - 1, F.lit(1))
-    some = lambda n, f: F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(upto(n), f)).otherwise(F.array().cast("array<struct<c:int,i:int,k:int,j:int>>"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1, F.lit(1))
+    some = lambda n, f: F.when(n > 0, F.transform(upto(n), f)).otherwise(F.array().cast("array<struct<c:int,i:int,k:int,j:int>>"))
     with_own = some(F.col("p0"), lambda q: meet(F.col("size"), F.least(F.col("own"), q), 0, F.greatest(F.col("own"), q)))
     with_next = some(F.col("p1"), lambda q: meet(F.col("size"), F.col("own"), 1, q))
     with_last = some(F.col("pm"), lambda q: meet(F.col("size") - 1, q, 1, F.col("own")))
-    dealt = rows.select("group", "doc_id", "n", "grams", F.explode(F.concat(with_own, with_next, with_last)).alias("m")).select("group", "m.*", "doc_id", "n", "grams")
-    block_links = dealt.groupBy("group", "c", "i", "k", "j").applyInArrow(_block(percent), "u long, v long")
+    told = ["doc_id", "n", "lacks", "rep_size", "grams"]
+    dealt = rows.select("group", *told, F.explode(F.concat(with_own, with_next, with_last)).alias("m")).select("group", "m.*", *told)
+    block_links = dealt.groupBy("group", "c", "i", "k", "j").applyInArrow(_block(percent), "u long, v long").unionByName(small_links)
 
     by_class = marked.join(classes.select(*key, "class_id"), key, "left").select("doc_id", "n", "class_id")
     several = by_class.where("class_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("doc_id")
-    ties = by_class.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")).where("v IS NOT NULL")
-    found = components(verified.unionByName(block_links).unionByName(ties), lambda e: stage(e, "ngram-links")).select(F.col("v").alias("class_id"), F.col("component"))
+    same = by_class.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")).where("v IS NOT NULL")
+    found = components(block_links.unionByName(same), lambda e: stage(e, "ngram-links")).select(F.col("v").alias("class_id"), F.col("component"))
     out = by_class.join(found, "class_id", "left")
     return out.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
