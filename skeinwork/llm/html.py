@@ -172,8 +172,8 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, path) of pages(host, html): the path that most of a host's text stands under. A host has as many candidate
-    paths as its templates have containers; those on under 2 % of its pages are left out before they are compared."""
+    """(host, path) of pages(host, html): the path that most of a host's text stands under. Only paths that
+    hold 60 % of the text or more, over all of a host's pages, are compared; these are nested, so they are few."""
     cast = pages.select("host", "html").mapInArrow(_vote, "host string, path string, share double")
     cast = stage(cast.groupBy("host", "path").agg(F.sum("share").alias("share")), "html-votes")
     n = pages.groupBy("host").agg(F.count("*").alias("pages"))
