@@ -29,11 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
+def stage(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Cut lineage: write df to the shared folder and read it back, so that a lost executor costs no recomputation.
+    batch: rows of an Arrow batch while df is worked out, for wide rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch:
+            spark.conf.set(key, str(batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

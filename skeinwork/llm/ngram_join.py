@@ -45,7 +45,7 @@ FILTER = 23
 #: Members of a list whose pairs are candidates one by one.
 SMALL = 48
 #: Sets and n-grams of a block, on average.
-BLOCK_SETS, BLOCK_GRAMS = 1024, 400_000
+BLOCK_SETS, BLOCK_GRAMS = 512, 200_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -56,7 +56,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -331,13 +331,13 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         return sets.where("n > 0").join(ids, sets["doc_id"] == ids["id"]).select("group", "doc_id", "n", "grams")
 
     small_links = sets_of(placed.where("one")).groupBy("group").applyInArrow(_group(percent), "u long, v long")
-    small_links = stage(small_links, "ngram-small")
+    small_links = stage(small_links, "ngram-small", batch=1000)
     # a large group's sets are sent around as their differences from the set of its least doc_id
-    whole = stage(sets_of(placed.where("NOT one")), "ngram-large")
+    whole = stage(sets_of(placed.where("NOT one")), "ngram-large", batch=1000)
     reps = whole.where("doc_id = group").dropDuplicates(["group"]).select("group", F.col("grams").alias("rep"))
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int").alias("size")
     rows = whole.join(reps, "group").select("group", "doc_id", "n", size, "grams", "rep").mapInArrow(_differ, "group long, doc_id long, n int, size int, lacks int, rep_size int, grams array<long>")
-    rows = stage(rows, "ngram-differences")
+    rows = stage(rows, "ngram-differences", batch=200)
     blocks = rows.groupBy("group", "size").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.size("grams")) / BLOCK_GRAMS)).cast("int").alias("parts"))
     blocks = stage(blocks, "ngram-blocks")
     parts = lambda by, name: blocks.select("group", (F.col("size") - by).alias("size"), F.col("parts").alias(name))
