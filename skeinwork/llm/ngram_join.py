@@ -10,8 +10,9 @@ join is exact and returns classes and components, never all pairs of a group:
    n-grams last, common passages rarely are among these. Equal sets become one class.
 3. Index. Lists of the prefix n-grams. The sketch bounds every list of an unflagged n-gram, so these are gathered by a
    window; flagged ones are counted first and joined, which splits hot lists. Lists with the same members count once.
-4. Candidates. Lists of up to SMALL sets give pairs that share l n-grams and fit by size and position; longer lists tie
-   their sets together. Candidate groups are the components of both.
+4. Candidates. Lists of up to SMALL sets give pairs that fit by size and position and can share l n-grams, counting for
+   the longer lists the most that both sets have there. A pair that meets in longer lists alone shares l n-grams in them:
+   these lists tie together only the sets that have so many there. Candidate groups are the components of both.
 5. A group's sets are dealt by size class and hash into blocks of bounded size; only blocks of the same or the next size
    class meet, and a small group is one block. In a block one set is the representative r, and every other set is kept
    as its difference from r: with R the n-grams of r that x lacks and A those it has besides,
@@ -299,7 +300,12 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     small = posts.where(F.col("members") <= SMALL)
     kept = small.groupBy("gram").agg(*digest).where("m > 1").groupBy("m", "h1", "h2").agg(F.min("gram").alias("gram"), F.count("*").alias("times")).select("gram", "times")
     small = small.join(kept, "gram")
-    large = posts.where(F.col("members") > SMALL).select("id", "gram")
+    large = posts.where(F.col("members") > SMALL).select("id", "n", "gram")
+    # in_large: how many of a set's prefix n-grams have long lists
+    in_large = large.groupBy("id").agg(F.count("*").alias("in_large"), F.min("n").alias("n"))
+    # two sets that share no short list share l n-grams or more in long ones, so both have that many there
+    alone = in_large.where(F.col("in_large") >= least_of(F.floor(F.col("n") * percent / 100))).select("id")
+    large = large.join(alone, "id").select("id", "gram")
     heads = large.groupBy("gram").agg(F.min("id").alias("v"))
     ties = large.join(heads, "gram").select(F.col("id").alias("u"), "v").distinct()
 
@@ -310,8 +316,11 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
     fits = first & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (room >= least)
     pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where(fits).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("x.n").alias("n"), F.col("x.times").alias("times"))
-    # two sets that share a large list are tied; for all others the small lists hold every n-gram they share
-    pairs = pairs.groupBy("u", "v").agg(F.sum("times").alias("times"), F.min("n").alias("n")).where(F.col("times") >= least_of(F.col("n"))).select("u", "v")
+    # what a pair shares in long lists is at most what either set has there
+    most = lambda side: in_large.select(F.col("id").alias(side), F.col("in_large").alias(f"in_{side}"))
+    pairs = pairs.groupBy("u", "v").agg(F.sum("times").alias("times"), F.min("n").alias("n")).join(most("u"), "u", "left").join(most("v"), "v", "left")
+    besides = F.least(F.coalesce("in_u", F.lit(0)), F.coalesce("in_v", F.lit(0)))
+    pairs = pairs.where(F.col("times") + besides >= least_of(F.col("n"))).select("u", "v")
     groups = components(pairs.unionByName(ties), lambda e: stage(e, "ngram-groups"))
     groups = stage(groups.select(F.col("v").alias("id"), F.col("component").alias("group")), "ngram-group")
 
