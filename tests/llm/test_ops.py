@@ -112,6 +112,29 @@ def test_ngram_large_groups(spark, monkeypatch):
     assert {x["doc_id"]: (x["n"], x["component_id"]) for x in ngram_join.link_components(d).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ngram_passages(spark, monkeypatch, seed):
+    """Near copies that meet partly in long lists and partly in short ones, besides unlike texts with the same passages."""
+    r = random.Random(seed)
+    passages = [[f"p{k}w{i}" for i in range(r.choice([12, 25, 60]))] for k in range(4)]
+    rows = []
+    for i in range(160):
+        own = [f"d{i}w{j}" for j in range(r.choice([5, 20, 80, 300]))]
+        parts = [own, *r.sample(passages, r.randint(0, 3))]
+        r.shuffle(parts)
+        whole = sum(parts, [])
+        for _ in range(r.choice([1, 1, 1, 2, 6])):
+            w = list(whole)
+            for _ in range(r.randint(0, 1 + len(w) // 40)):
+                w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((4, 85), (5, 80)):
+        got = {x["doc_id"]: (x["n"], x["component_id"]) for x in ngram_join.link_components(d, width, percent).collect()}
+        assert got == brute_components(rows, width, percent)
+
+
 def test_ngram_empty_and_keep_one(docs, empty):
     assert ngram_join.query(empty).count() == 0
     kept = ngram_join.keep_one(docs)
