@@ -1,8 +1,9 @@
 """Personal data by base patterns and bootstrapped contexts.
 
 Base spans (email, ip, card, phone) are found by fixed patterns in whole texts. The bootstrap then works on the words
-around identifiers: an instance is a token with digits outside base spans, or a base span itself; a pattern is the word
-before an instance (a key, as in key=value), or the two words before it. Base spans, access key ids, and hex values that
+around identifiers: an instance is a run of tokens with digits outside base spans, joined by single spaces, brackets or
+hyphens, of six characters or more in all, or a base span itself; a pattern is the word before an instance (a key, as in
+key=value), or the two words before it. Identifiers without any digit are no instances. Base spans, access key ids, and hex values that
 are quoted or assigned, are the seeds.
 
 A pattern-instance graph of the whole corpus is scored in rounds in Spark: a pattern's confidence in a kind is the mean
@@ -42,6 +43,9 @@ SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 # The forms of seed secrets: access key ids, and hex values that are quoted or assigned.
 _SECRET = re.compile(r"AKIA[0-9A-Z]{16}|(?<=[\"'=])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{16,}")
 _ASSIGNED = re.compile(r"[A-Za-z_-]{2,40}[=:][\"']?(?=.{6})")
+_KEY = re.compile(r"[A-Za-z_-]{2,40}[=:]")
+#: What may stand between tokens of one identifier, as in (555) 123 - 4567.
+_JOIN = re.compile(r"[)\]}]*(?: | - )[(\[{]*")
 _EDGE = "\"'`()[]{}<>,;:!?*&%$#=|."
 
 
@@ -96,21 +100,47 @@ def _word(token: str) -> str:
     return token.strip(_EDGE).lower()[:40]
 
 
-def instances(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str, str]]:
-    """(start, end, seed kind or None, shape, context) of base spans and of tokens with digits outside them. The context
-    is the two words before, without punctuation and in lower case."""
-    got = [(s, e, k) for s, e, k in spans]
+def _candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None]]:
+    """(start, end, 'secret' or None) of secrets by their form, and of the maximal runs of other tokens with digits
+    outside base spans; an assigned value begins a run."""
+    runs: list[list] = []
+    last = -1  # where the run that may go on ends
     for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", text):
         s, e = m.span()
         while s < e and text[s] in _EDGE:
             s += 1
         while e > s and text[e - 1] in _EDGE:
             e -= 1
-        if key := _ASSIGNED.match(text, s, e):
-            s = key.end()
-        if e - s < 6 or any(a < e and s < b for a, b, _ in spans):
-            continue
-        got.append((s, e, "secret" if _SECRET.fullmatch(text, s, e) else None))
+        key = _ASSIGNED.match(text, s, e)
+        value = key.end() if key else s
+        if any(a < e and value < b for a, b, _ in spans):
+            last = -1
+        elif _SECRET.fullmatch(text, value, e):
+            runs.append([value, e, "secret"])
+            last = -1
+        elif last >= 0 and _JOIN.fullmatch(text, last, s) and not _KEY.match(text, s, e):
+            runs[-1][1] = last = e
+        else:
+            runs.append([s, e, None])
+            last = e
+    out = []
+    for s, e, kind in runs:
+        if not kind:
+            if key := _ASSIGNED.match(text, s, e):
+                s = key.end()
+            # a bracket that the run closes belongs to it, as in (555) 123-4567
+            if s and text[s - 1] == "(" and re.match(r"[^()]*\)", text[s:e]):
+                s -= 1
+            if e - s < 6:
+                continue
+        out.append((s, e, kind))
+    return out
+
+
+def instances(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str, str]]:
+    """(start, end, seed kind or None, shape, context) of base spans and of runs of tokens with digits outside them. The
+    context is the two words before, without punctuation and in lower case."""
+    got = [*spans, *_candidates(text, spans)]
     out = []
     for s, e, kind in got:
         before = re.split(r"[\x20\x09-\x0D=]+", text[max(0, s - 90) : s])
