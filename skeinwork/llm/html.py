@@ -25,11 +25,11 @@ from .common import stage
 from .urls import parts
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 # Elements without content, with raw content, that hold no article text, that are blocks, that hold articles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe noframes xmp".split())
-DROPPED = frozenset("head nav header footer aside form button select option dialog menu svg math object canvas audio video script style title textarea noscript template iframe noframes xmp label fieldset".split())
+DROPPED = frozenset("head nav header footer aside form button select option menu svg object canvas audio video script style title textarea noscript template iframe noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("body article main section div td".split())
 #: Parts of a class, id or role that mark menus, notices, adverts and reader comments.
@@ -40,39 +40,55 @@ sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices
 comment comments commentlist commentary respond reply replies disqus discussion share sharing social newsletter subscribe
 signup login related recommended recirc outbrain taboola skip complementary contentinfo search
 """.split())
+#: Marks of reader comments, which may well be longer than the article; parts of a class that turn a mark around.
+COMMENTS = frozenset("comment comments commentlist commentary respond reply replies disqus discussion".split())
+NEGATED = frozenset("no non not without has have with hide hides".split())
 _CLOSES_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 
 
-def _step(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised step of an element's path, and whether its marks leave it out."""
-    name, out = "", False
+def _mark(word: str) -> str:
+    """The mark that a class, id or role is, or begins or ends with; '' where there is none, or another part negates it."""
+    if word in MARKED:
+        return word
+    p = [x for x in re.split("[-_]+", word) if x]
+    if not p or not NEGATED.isdisjoint(p):
+        return ""
+    return p[0] if p[0] in MARKED else p[-1] if p[-1] in MARKED else ""
+
+
+def _step(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """The generalised step of an element's path, whether it is hidden, and its mark: '', 'comments' or 'other'."""
+    name, hidden, mark = "", False, ""
     if attributes:
-        for m in _NAMED.finditer(attributes):
+        for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                out = out or key == "hidden"
+            if key == "hidden":
+                hidden = True
+            if key not in ("class", "id", "role"):
                 continue
             words = value.lower().split()
             if key == "class" and words and not name:
                 name = "." + re.sub("[0-9]+", "#", words[0])
             for w in words:
-                if w in MARKED or not MARKED.isdisjoint(re.split("[-_]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", w))):
-                    out = True
-    return tag + name, out and tag not in ("html", "body", "article", "main")
+                if x := _mark(w):
+                    mark = "comments" if x in COMMENTS and mark != "other" else "other"
+    if tag in ("html", "body", "article", "main"):
+        return tag + name, False, ""
+    return tag + name, hidden, mark
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of each block of a page that isn't left out, in page order."""
-    found: list[tuple[str, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, path, left out
-    run: list[str] = []
-    run_path = ""
+    """(path, text) of each block of a page that isn't left out, in page order. A marked element that holds most of the
+    page's text stays, and so do comments that hold all of it."""
+    found: list[list[tuple[str, str | None, tuple[int, ...]]]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # element, path, left out, marked elements around it
+    marks: list[str] = []
+    run: list[tuple[str, str | None, tuple[int, ...]]] = []  # text, path, marked elements around it
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(run)).split())
-        if text:
-            found.append((run_path, text))
+        if run:
+            found.append(run.copy())
         run.clear()
 
     def close(k: int) -> None:
@@ -84,9 +100,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else end]
         if text and not (stack and stack[-1][2]):
-            if not run:
-                run_path = stack[-1][1] if stack else ""
-            run.append(text)
+            run.append((text, stack[-1][1], stack[-1][3]) if stack else (text, "", ()))
         if not m:
             break
         at = m.end()
@@ -97,7 +111,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if tag in BLOCKS:
             flush()
         elif tag == "br":
-            run.append(" ")
+            run.append((" ", None, ()))
         if closing:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             # a stray end tag doesn't close the containers around it
@@ -118,13 +132,33 @@ def blocks(page: str) -> list[tuple[str, str]]:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _SIBLINGS[tag] or stack[i][0] in ("ul", "ol", "dl", "table", *CONTAINERS)), -1)
             if k >= 0 and stack[k][0] in _SIBLINGS[tag]:
                 close(k)
-        step, marked = _step(tag, attributes)
+        step, hidden, mark = _step(tag, attributes)
         path = stack[-1][1] if stack else ""
-        if tag in CONTAINERS or marked:
+        if tag in CONTAINERS or hidden or mark:
             path = f"{path}>{step}" if path else step
-        stack.append((tag, path, bool(stack and stack[-1][2]) or marked or tag in DROPPED))
+        around = stack[-1][3] if stack else ()
+        if mark:
+            marks.append(mark)
+            around = (*around, len(marks) - 1)
+        stack.append((tag, path, bool(stack and stack[-1][2]) or hidden or tag in DROPPED, around))
     flush()
-    return found
+    kept: set[int] = set()
+    if marks:
+        held, total = [0] * len(marks), 0
+        for block in found:
+            for text, _, around in block:
+                n = len("".join(text.split()))
+                total += n
+                for i in around:
+                    held[i] += n
+        kept = {i for i, n in enumerate(held) if n and (n == total if marks[i] == "comments" else 2 * n > total)}
+    out = []
+    for block in found:
+        said = [x for x in block if kept.issuperset(x[2])]
+        text = " ".join(entities.unescape("".join(x[0] for x in said)).split())
+        if text:
+            out.append((next(x[1] for x in said if x[1] is not None), text))
+    return out
 
 
 def votes(page: str) -> dict[str, float]:

@@ -315,6 +315,21 @@ def test_html(spark):
     assert html.query(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<div class="post" style="overflow:hidden"><p>text</p></div><p>more</p>', "text\nmore"),
+    ('<div data-id="search"><p>text</p></div><p>more</p>', "text\nmore"),
+    ('<div class="content no-sidebar"><p>text</p></div><p>more</p>', "text\nmore"),
+    ('<div class="has-sidebar"><p>text</p></div><p>more</p>', "text\nmore"),
+    ("<p>a <math><mi>x</mi></math> b</p><label>l</label><fieldset>f</fieldset><dialog>d</dialog>", "a x b\nl\nf\nd"),
+    ('<div class="promo"><p>all of the long text</p></div><p>more</p>', "all of the long text\nmore"),
+    ('<p>a text</p><div id="comments"><p>a much longer comment</p></div>', "a text"),
+    ('<p>long text</p><div hidden>gone</div><div class="left-sidebar">s</div><div class="ad-box">s</div><p>a <span class="ad">s</span>b</p>', "long text\na b"),
+])
+def test_html_marks(page, want):
+    """Only real marks leave an element out, and never one that holds most of the text."""
+    assert "\n".join(x for _, x in html.blocks(page)) == want
+
+
 def test_urls(spark):
     u = ["http://X.Example.com/en/1", "https://example.com/en/77?x#y", "http://a.net/de/", "http://example.net/de/81", "http://xexample.net/de/8", "nothing", None, "http://org/es/2", "ftp://q.org?en/es/"]
     rows = spark.createDataFrame(list(enumerate(u)), "page_id long, url string")
