@@ -8,7 +8,8 @@ is exchanged for a shorter one there, or two documents are exchanged for one, al
 grows. What is left in a shard's underfull sequence goes to the next round, in which the leftovers of all shards are
 packed the same way, until one shard is left. Only numbers move between rounds, and every round is a written table.
 
-Null texts count as empty and give one piece of the end token alone. Rows that repeat are packed each on its own.
+Null texts count as empty and give one piece of the end token alone. Rows that repeat, rows of one doc_id and rows
+without a doc_id are packed each on its own; an empty table gives no pieces. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ class Tokens(dict):
 
     A text that has only characters whose normal form, case and class are beyond doubt is split into words as the
     tokenizer does, and each word's ids are looked up or, batch by batch, worked out and kept, up to a bounded number of
-    words. Any other text goes through the tokenizer whole. Both ways give the same ids."""
+    words. Any other text, and any that holds one of the tokenizer's added tokens, goes through the tokenizer whole. Both
+    ways give the same ids."""
 
     # The tokenizer's word pattern for lower-case text of these characters.
     PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7e\xa1-\xa7\xa9\xab\xac\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*")
@@ -59,13 +61,15 @@ class Tokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [self.WORD.findall(t.lower()) if self.PLAIN.fullmatch(t) else None for t in texts]
+        plain = [self.PLAIN.fullmatch(t) and not (self.added and self.added.search(t)) for t in texts]
+        split = [self.WORD.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
         if len(self) > self.MOST:
             self.clear()
         new = list({w for x in split if x for w in x if w not in self})
@@ -234,8 +238,11 @@ def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     """parts (as from pieces) with sequence_id and offset."""
     todo, done, level = stage(parts, "pack-pieces"), [], 0
     while True:
-        shards = max(1, -(-todo.count() // SHARD))
-        key = F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(level)), F.lit(shards)).alias("shard")
+        n, held = todo.agg(F.count("*"), F.sum("length")).first()
+        # a shard fills several sequences, so that most of its pieces are placed at this level
+        shards = max(1, min(-(-n // SHARD), (held or 0) // (8 * length)))
+        # rows are numbered where they stand in the written table, so equal and null ids spread like others
+        key = F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id(), F.lit(level)), F.lit(shards)).alias("shard")
         out = todo.select("doc_id", "piece", "start", "length", "ids_crc32", key).groupBy("shard").applyInArrow(_pack(length, level, shards == 1), PIECES + ", sequence_id long, offset long")
         out = stage(out, f"pack-level{level}")
         done.append(out.where("sequence_id IS NOT NULL"))

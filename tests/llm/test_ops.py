@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -310,23 +311,49 @@ def test_mixing_near_targets(spark):
     assert (abs(sums.taken - sums.target) < 400).all()
 
 
+def fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.default_tokenizer())
+
+
 def test_packing(docs, empty, spark):
     got = packing.query(docs).toPandas()
-    t = packing.Tokens(packing.default_tokenizer())
+    t = fresh_tokenizer()
     for d in docs.dropDuplicates(["doc_id"]).collect():
-        n = len(t.tokenizer.encode(d["text"] or "", add_special_tokens=False).ids) + 1
+        ids = np.array([*t.encode(d["text"] or "", add_special_tokens=False).ids, 1], "<u4")
         own = got[got.doc_id == d["doc_id"]].drop_duplicates("piece").sort_values("piece")
-        assert own.length.sum() == n and (own.length[:-1] == 4096).all() and list(own.start) == [4096 * i for i in range(len(own))]
+        assert own.length.sum() == len(ids) and (own.length[:-1] == 4096).all() and list(own.start) == [4096 * i for i in range(len(own))]
+        assert list(own.ids_crc32) == [zlib.crc32(ids[i : i + 4096].tobytes()) for i in range(0, len(ids), 4096)]
     got = got.sort_values(["sequence_id", "offset"])
     assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all()
     assert got.groupby("sequence_id").length.sum().max() <= 4096
     assert packing.query(empty).count() == 0
 
 
+def test_packing_special_and_repeated(spark, monkeypatch):
+    """Strings of special tokens are the tokens; rows of one id, or none, spread over shards and keep their places."""
+    t = fresh_tokenizer()
+    said = ["hello <|endoftext|> world", "<|startoftext|>a<|endoftext|>", "<|ENDOFTEXT|>", None, ""]
+    rows = [(i, x) for i, x in enumerate(said)] + [(7, "same words here")] * 300 + [(None, f"no id {i}") for i in range(300)]
+    monkeypatch.setattr(packing, "SHARD", 50)
+    got = packing.query(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(got) == len(rows) and got.sequence_id.nunique() <= -(-got.length.sum() // 4096) + 1
+    small = packing.pack(packing.pieces(spark.createDataFrame(rows, "doc_id long, text string"), length=16), 16).toPandas()
+    assert len(small) == len(rows) and small.groupby("sequence_id").length.sum().max() <= 16 and small.sequence_id.nunique() <= 1.05 * small.length.sum() / 16 + 1
+    for i, x in enumerate(said):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
+        assert int(got[got.doc_id == i].ids_crc32.iloc[0]) == zlib.crc32(ids.tobytes())
+    assert t.encode(said[0], add_special_tokens=False).ids == [3306, 49407, 1002]
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all()
+
+
 def test_tokens_by_word():
     t, r = packing.Tokens(packing.default_tokenizer()), random.Random(2)
     odd = ["".join(r.choice("aZéÉßÿ'’s re'll 09²ª\t\n\x1c\x85—…İΣé,.<|>endoftext") for _ in range(r.randint(0, 50))) for _ in range(3000)]
-    want = [np.array(e.ids, "<u4").tobytes() for e in t.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    odd += [x[:9] + r.choice(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]) + x[9:] for x in odd[:500]]
+    want = [np.array(e.ids, "<u4").tobytes() for e in fresh_tokenizer().encode_batch(odd, add_special_tokens=False)]
     assert t.of(odd) == want
 
 
