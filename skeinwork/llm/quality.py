@@ -8,7 +8,7 @@ the shuffle, so a source with a third of all rows costs what the others cost. A
 lies far beyond its group's median, in units of the group's own spread below the median.
 
 Everything is DataFrame functions. Null text counts as empty and fails the base rule; null lang or source is a group
-of its own; groups under MIN_GROUP documents use their language's sketch, and languages under it the sketch of all.
+of its own; an empty table gives an empty result; equal rows are judged alike; groups under MIN_GROUP documents use their language's sketch, and languages under it the sketch of all.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ REACH = 4
 #: measure: least spread, in the measure's unit.
 MEASURES = {"symbols": 12_000, "dup_lines": 100_000, "repeats": 100_000, "capitals": 40_000, "length": 700}
 SYMBOLS = "#*$%&|<>"
+#: Groups whose thresholds are broadcast, at 100 bytes each.
+BROADCAST_GROUPS = 50_000
 
 
 def with_measures(docs: DataFrame) -> DataFrame:
-    """docs and the columns q_*: counts over whole texts, and the five measures as integers (parts per million, or
+    """docs, whose names don't begin with q_, and the columns q_*: counts over whole texts, and the five measures as integers (parts per million, or
     thousandths of a code point for the mean word length)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("q_text", text)
@@ -116,22 +118,35 @@ def thresholds(measured: DataFrame) -> DataFrame:
     return level.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("high"))).alias(f"high_{m}") for m in MEASURES], F.max(F.when(F.col("measure") == "length", F.col("low"))).alias("low_length"))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """docs with q_* counts and measures, q_base_failed, and q_kept: whether the base rule and all thresholds hold.
-    Extra columns stay; a clash with the q_ names of this operator is an error of the caller."""
-    measured = stage(with_measures(docs), "quality-measures")
-    cut = thresholds(measured)
-    lang, source = free_name(docs, "t_lang"), free_name(docs, "t_source")
-    cut = cut.withColumnsRenamed({"lang": lang, "source": source})
-    got = measured.join(cut, measured["lang"].eqNullSafe(cut[lang]) & measured["source"].eqNullSafe(cut[source]), "left")
+def _judged(rows: DataFrame) -> DataFrame:
+    """rows(row, text, lang, source) as (row, q_*): counts and measures, q_base_failed and q_kept. row is whatever is to
+    be carried along; the text itself isn't."""
+    measured = stage(with_measures(rows).drop("text"), "quality-measures")
+    # one row per group; beyond the bound it is joined like any other table
+    cut = stage(thresholds(measured), "quality-thresholds").withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    if cut.count() <= BROADCAST_GROUPS:
+        cut = F.broadcast(cut)
+    got = measured.join(cut, measured["lang"].eqNullSafe(cut["t_lang"]) & measured["source"].eqNullSafe(cut["t_source"]), "left")
     over = [F.coalesce(F.col(f"q_{m}") > F.col(f"high_{m}"), F.lit(False)) for m in MEASURES] + [F.coalesce(F.col("q_length") < F.col("low_length"), F.lit(False))]
     bad = over[0]
     for x in over[1:]:
         bad = bad | x
-    return got.withColumn("q_kept", ~F.col("q_base_failed") & ~bad).drop(lang, source)
+    return got.withColumn("q_kept", ~F.col("q_base_failed") & ~bad).select("row", *[c for c in measured.columns if c.startswith("q_")], "q_kept")
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
+    """docs with q_* counts and measures, q_base_failed, and q_kept: whether the base rule and all thresholds hold. Extra
+    columns stay as they are; where one is called like a q_ column, the new one gets a name with _ after it."""
+    got = _judged(docs.select(F.struct("*").alias("row"), "text", "lang", "source"))
+    return got.select("row.*", *[F.col(c).alias(free_name(docs, c)) for c in got.columns if c != "row"])
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns."""
+    return _judged(docs.select(F.struct("*").alias("row"), "text", "lang", "source")).where("q_kept").select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
     """The contract of op10: one row per document."""
-    got = quality_rules(docs.select("doc_id", "text", "lang", "source"))
-    return got.select("doc_id", F.col("q_n_words").alias("n_words"), F.col("q_word_chars").alias("word_chars"), F.col("q_n_symbols").alias("n_symbols"), F.col("q_n_dup_lines").alias("n_dup_lines"), F.col("q_n_repeat_words").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
+    got = _judged(docs.select(F.struct("doc_id").alias("row"), "text", "lang", "source"))
+    return got.select("row.doc_id", F.col("q_n_words").alias("n_words"), F.col("q_word_chars").alias("word_chars"), F.col("q_n_symbols").alias("n_symbols"), F.col("q_n_dup_lines").alias("n_dup_lines"), F.col("q_n_repeat_words").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))

@@ -57,6 +57,15 @@ def test_quality_counts(docs, empty):
     assert quality.query(docs).count() == docs.count()
 
 
+def test_quality_clashing_names(docs):
+    odd = docs.withColumnsRenamed({"extra": "q_n_words", "Text2": "q_kept"}).withColumn("row", F.lit(1)).withColumn("t_lang", F.lit("t"))
+    got = quality.quality_rules(odd)
+    assert got.columns[: len(odd.columns)] == odd.columns and {"q_n_words_", "q_kept_"} <= set(got.columns)
+    assert {(r["doc_id"], r["q_n_words"], r["q_kept"]) for r in got.collect()} == {(r["doc_id"], r["q_n_words"], r["q_kept"]) for r in odd.collect()}
+    want = {r["doc_id"] for r in quality.query(docs).where("kept").collect()}
+    assert {r["doc_id"] for r in quality.kept(odd).collect()} == want and quality.kept(odd).columns == odd.columns
+
+
 def test_sketch_buckets(spark):
     v = [0, 1, 63, 64, 65, 127, 128, 1000, 10**6]
     rows = spark.createDataFrame([(x,) for x in v], "v long").select("v", quality.bucket(F.col("v")).alias("b"))
