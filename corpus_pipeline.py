@@ -2,7 +2,12 @@
 
 Every stage reads all that the one before it kept and returns the columns of documents, but for the last, which returns
 the packed pieces. run() writes each stage to the shared folder and reads it back, so that a lost executor repeats one
-stage at most.
+stage at most; the tables that a stage wrote on its way are removed with it.
+
+Every stage takes null and empty texts, null ids, sources and languages, repeated rows, empty tables, and extra columns of
+any name: quality_rules drops texts under its word count, empty ones among them; near_duplicates keeps one row of equal
+ones; personal_data and mixture keep null and empty texts as they are, mixture once each; packing gives each row its end
+token at least.
 """
 
 from __future__ import annotations
@@ -10,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.llm import mixing, ngram_join, packing, pii, quality
-from skeinwork.llm.common import stage
+from skeinwork.llm.common import scope, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality.quality_rules(docs).where("q_kept").select(*docs.columns)
+    return quality.kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope(spark):
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
