@@ -6,15 +6,19 @@ and no target may pass `cap` times its source's words. The limits are met exactl
 Copies: every document of a source should be taken target / source_size times on average. The whole part is certain;
 the fractional parts are rounded by pivots. Two documents with fractional copies exchange words, from one to the other
 or back, as far as one of them becomes integral. Which way it goes is random, with the odds that keep both expectations;
-the words of the pair stay the same, so until the root a source's expected words are exactly its target.
+the words of the pair stay the same, so until the root a source's words are exactly its target.
 
 Tree: documents are dealt by hash into groups of about FAN, each group is folded into decisions and one residual, the
-residuals of FAN groups meet in the next level. The last residual of a source, often a large document, meets about SPARE
-documents kept for it at the root, where the smallest ones make up for what rounding the larger ones left. A level is a
-written table of a FAN-th of the one before, so a hot source is many groups, and a lost executor costs a group.
-
-Random numbers are hashes of (doc_id, size, level): reruns and retries agree. Repeated rows with the same source,
-doc_id and size are one unit with a count, whose copies are dealt evenly. Empty texts have size 0 and are never taken.
+residuals of FAN groups meet in the next level. A level is a written table of a FAN-th of the one before, so a hot source
+is many groups, and a lost executor costs a group. At the root the last residual of a source meets about SPARE documents
+that were kept for it. There a document's pivot is all smaller ones together: largest first, each gives its words to them
+or takes the missing ones from them, with the odds that keep its expectation, as far as they can take or give them; where
+they can't, it goes the way that leaves less. So a source's words are off by about the smallest documents.
+
+Random numbers are hashes of (doc_id, size, text hash, level): reruns and retries agree. Repeated rows with the same
+source, doc_id and text are one unit with a count, whose copies are dealt evenly. Null and empty texts have size 0 and are
+never taken by the query. Null sources are one source, null ids are told apart by their texts, an empty table gives an
+empty result, and extra columns are left alone, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stage, words
+from .common import free_names, stage, words
 
 #: Units of a group, on average.
 FAN = 32
 #: Units of a source, on average, that wait for the root.
-SPARE = 16
+SPARE = 256
+#: Sources whose targets are broadcast, at 100 bytes each.
+BROADCAST_SOURCES = 50_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -55,14 +61,14 @@ def _let(value: Column, body) -> Column:
 
 
 def _chance(x: Column, level: int) -> Column:
-    return F.pmod(F.xxhash64(x["doc_id"], x["size"], F.lit(level)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return F.pmod(F.xxhash64(x["doc_id"], x["size"], x["h"], F.lit(level)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
 def _fold(items: Column, level: int) -> Column:
     """Decisions (extra 0 or 1) for all but one of the items, and the residual with its probability, by pivots in random
-    order. items: array of struct(rnd, doc_id, size, m, whole, p)."""
-    kind = "array<struct<doc_id:bigint,size:bigint,m:bigint,whole:bigint,extra:int,p:double>>"
-    say = lambda x, extra, p: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["m"].alias("m"), x["whole"].alias("whole"), extra.alias("extra"), p.alias("p"))
+    order. items: array of struct(rnd, doc_id, size, h, m, whole, p)."""
+    kind = "array<struct<doc_id:bigint,size:bigint,h:bigint,m:bigint,whole:bigint,extra:int,p:double>>"
+    say = lambda x, extra, p: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["h"].alias("h"), x["m"].alias("m"), x["whole"].alias("whole"), extra.alias("extra"), p.alias("p"))
     none, open_ = F.lit(None).cast("double"), F.lit(None).cast("int")
 
     def step(acc: Column, x: Column) -> Column:
@@ -93,52 +99,58 @@ def _fold(items: Column, level: int) -> Column:
 
 
 def _root(items: Column) -> Column:
-    """Decisions for all items of a root group, largest first: each is taken with the share of its words that the group
-    still needs of those it still has, unless only one way leaves a need that the smaller ones can meet."""
-    kind = "array<struct<doc_id:bigint,size:bigint,m:bigint,whole:bigint,extra:int>>"
+    """Decisions for all items of a root group, largest first: each against all smaller ones together; see the module."""
+    kind = "array<struct<doc_id:bigint,size:bigint,h:bigint,m:bigint,whole:bigint,extra:int>>"
     total = lambda f: F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
 
     def step(acc: Column, x: Column) -> Column:
         need, rest = acc["need"], acc["rest"] - x["size"]
-        extra = F.when(need < x["size"] * 0.5, 0).when(need > rest + x["size"] * 0.5, 1).when(need < x["size"], F.when(need > rest, 1).otherwise(0)).otherwise((_chance(x, 1000) * acc["rest"] < need).cast("int"))
-        return _let(extra, lambda e: F.struct((need - e * x["size"]).alias("need"), rest.alias("rest"), F.concat(acc["out"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["m"].alias("m"), x["whole"].alias("whole"), e.alias("extra")))).alias("out")))
+        # words over or short of the need that the smaller ones can't make up for
+        taken = F.greatest(F.lit(0.0), x["size"] - need) + F.greatest(F.lit(0.0), need - x["size"] - rest)
+        left = F.greatest(F.lit(0.0), need - rest)
+        drawn = _chance(x, 1000) * acc["rest"] < need
+        extra = F.when(taken < left, 1).when(taken > left, 0).otherwise(drawn.cast("int"))
+        return _let(extra, lambda e: F.struct((need - e * x["size"]).alias("need"), rest.alias("rest"), F.concat(acc["out"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["h"].alias("h"), x["m"].alias("m"), x["whole"].alias("whole"), e.alias("extra")))).alias("out")))
 
     start = F.struct(total(lambda x: x["p"] * x["size"]).alias("need"), total(lambda x: x["size"].cast("double")).alias("rest"), F.array().cast(kind).alias("out"))
     return F.aggregate(items, start, step, lambda acc: acc["out"])
 
 
 def copies(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(source, doc_id, size, m, source_size, target, total) from a table with doc_id, source, size: the m rows of a unit
-    get `total` copies together."""
-    units = sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m"))
-    aims = targets(sized, share, cap, weights).withColumnRenamed("source", "aim_source")
+    """(source, doc_id, size, h, m, source_size, target, total) from a table with doc_id, source, size and h, the hash of
+    the text: the m rows of a unit get `total` copies together."""
+    unit = ["doc_id", "size", "h"]
+    aims = stage(targets(sized, share, cap, weights).withColumnRenamed("source", "aim_source"), "mix-aims")
+    if aims.count() <= BROADCAST_SOURCES:  # else it is joined like any other table
+        aims = F.broadcast(aims)
+    units = sized.groupBy("source", *unit).agg(F.count("*").alias("m"))
     units = units.join(aims, units["source"].eqNullSafe(F.col("aim_source")), "left").drop("aim_source")
     want = F.when(F.col("source_size") > 0, F.col("m") * F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.withColumn("want", want).withColumn("whole", F.floor("want")).withColumn("p", F.col("want") - F.col("whole"))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("units") / FAN))
-    units = stage(units.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), buckets)).drop("want"), "mix-units")
+    units = stage(units.withColumn("bucket", F.pmod(F.xxhash64(*unit), buckets)).drop("want"), "mix-units")
     most = units.agg(F.max(buckets)).first()[0] or 1
     settled = (F.col("size") == 0) | (F.col("p") == 0)
-    fixed = units.where(settled).select("source", "doc_id", "size", "m", "whole", F.lit(0).alias("extra"))
-    spare = F.pmod(F.xxhash64("doc_id", "size", F.lit("spare")), F.greatest(F.lit(1), F.ceil(F.col("units") / SPARE))) == 0
+    fixed = units.where(settled).select("source", *unit, "m", "whole", F.lit(0).alias("extra"))
+    spare = F.pmod(F.xxhash64(*unit, F.lit("spare")), F.greatest(F.lit(1), F.ceil(F.col("units") / SPARE))) == 0
     todo, parts = units.where(~settled & ~spare), [fixed]
     for level in range(1 + math.ceil(math.log(most, FAN)) if most > 1 else 1):
-        item = F.struct(F.xxhash64("doc_id", "size", F.lit(-1 - level)).alias("rnd"), "doc_id", "size", "m", "whole", "p")
+        item = F.struct(F.xxhash64(*unit, F.lit(-1 - level)).alias("rnd"), *unit, "m", "whole", "p")
         groups = todo.groupBy("source", "bucket").agg(F.sort_array(F.collect_list(item)).alias("items"))
         folded = groups.select("source", "bucket", F.explode(_fold(F.col("items"), level)).alias("d"))
         done = stage(folded.select("source", F.floor(F.col("bucket") / FAN).alias("bucket"), "d.*"), f"mix-level{level}")
-        parts.append(done.where(F.col("extra").isNotNull()).select("source", "doc_id", "size", "m", "whole", "extra"))
+        parts.append(done.where(F.col("extra").isNotNull()).select("source", *unit, "m", "whole", "extra"))
         todo = done.where(F.col("extra").isNull()).drop("extra")
-    last = ["source", "doc_id", "size", "m", "whole", "p"]
+    last = ["source", *unit, "m", "whole", "p"]
     root = todo.select(*last).unionByName(units.where(~settled & spare).select(*last))
-    item = F.struct((-F.col("size")).alias("by"), F.xxhash64("doc_id", F.lit("root")).alias("rnd"), "doc_id", "size", "m", "whole", "p")
+    item = F.struct((-F.col("size")).alias("by"), F.xxhash64(*unit, F.lit("root")).alias("rnd"), *unit, "m", "whole", "p")
     rooted = root.groupBy("source").agg(F.sort_array(F.collect_list(item)).alias("items")).select("source", F.explode(_root(F.col("items"))).alias("d"))
     parts.append(rooted.select("source", "d.*"))
     decided = parts[0]
     for x in parts[1:]:
         decided = decided.unionByName(x)
-    got = decided.join(stage(aims.drop("units"), "mix-aims"), decided["source"].eqNullSafe(F.col("aim_source")), "left")
-    return got.select("source", "doc_id", "size", "m", "source_size", "target", (F.col("whole") + F.col("extra")).alias("total"))
+    got = decided.join(aims.drop("units"), decided["source"].eqNullSafe(F.col("aim_source")), "left")
+    return got.select("source", *unit, "m", "source_size", "target", (F.col("whole") + F.col("extra")).alias("total"))
 
 
 def _share(total: Column, m: Column, k: Column) -> Column:
@@ -146,9 +158,13 @@ def _share(total: Column, m: Column, k: Column) -> Column:
     return F.floor(total / m) + F.when(k <= total % m, 1).otherwise(0)
 
 
+def _size(text: Column) -> Column:
+    return F.size(words(text)).cast("long")
+
+
 def query(docs: DataFrame) -> DataFrame:
     """The contract of op5: one row per document."""
-    sized = stage(docs.select(F.col("doc_id").cast("long"), "source", F.size(words(F.col("text"))).cast("long").alias("size")), "mix-sizes")
+    sized = stage(docs.select(F.col("doc_id").cast("long"), "source", _size(F.col("text")).alias("size"), F.xxhash64("text").alias("h")), "mix-sizes")
     got = copies(sized).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     n = _share(F.col("total"), F.col("m"), F.col("k"))
     return got.select("doc_id", "size", "source_size", "target", (n * F.col("size")).cast("long").alias("taken"))
@@ -156,12 +172,20 @@ def query(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """docs with each row repeated as often as the mix takes it, or left out; the columns of docs, in any order of rows.
-    Empty texts weigh nothing, so no mix is without them: they stay, once."""
-    size, k, total, m = (free_name(docs, x) for x in ("mix_size", "mix_k", "mix_total", "mix_m"))
-    rows = docs.withColumn(size, F.size(words(F.col("text"))).cast("long"))
-    decided = copies(rows.select(F.col("doc_id").cast("long"), "source", F.col(size).alias("size")), share, cap, weights)
-    rows = rows.withColumn(k, F.row_number().over(Window.partitionBy("source", "doc_id", size).orderBy(F.lit(0))))
-    d = decided.select(F.col("source").alias("d_source"), F.col("doc_id").alias("d_doc_id"), F.col("size").alias("d_size"), F.col("total").alias(total), F.col("m").alias(m))
-    got = rows.join(d, rows["doc_id"].eqNullSafe(F.col("d_doc_id")) & rows["source"].eqNullSafe(F.col("d_source")) & (rows[size] == F.col("d_size")))
-    n = F.when(F.col(size) == 0, 1).otherwise(_share(F.col(total), F.col(m), F.col(k))).cast("int")
-    return got.select(*[got[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), n)).alias(k)).drop(k)
+    Empty texts weigh nothing, so no mix is without them: they stay, once. Of equal rows that can't be dealt evenly, the
+    first by their other columns are taken once more."""
+    size, h, key, k, total, m = free_names(docs, "mix_size", "mix_h", "mix_key", "mix_k", "mix_total", "mix_m")
+    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rows = docs.withColumns({size: _size(F.col("text")), h: F.xxhash64("text")})
+    sized = stage(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(size).alias("size"), F.col(h).alias("h")), "mix-sizes")
+    decided = copies(sized, share, cap, weights)
+    # a row meets its unit by one hash of all that makes a unit, and the unit must then agree
+    rows = rows.withColumn(key, F.xxhash64("source", F.col("doc_id").cast("long"), size, h))
+    names = dict(zip(("source", "doc_id", "size", "h", "total", "m", "key"), free_names(rows, "u_source", "u_doc_id", "u_size", "u_h", total, m, "u_key")))
+    d = decided.select(F.xxhash64("source", "doc_id", "size", "h").alias(names["key"]), *[F.col(c).alias(n) for c, n in names.items() if c != "key"])
+    same = rows["doc_id"].cast("long").eqNullSafe(d[names["doc_id"]]) & rows["source"].eqNullSafe(d[names["source"]]) & (rows[size] == d[names["size"]]) & (rows[h] == d[names["h"]])
+    got = rows.join(d, (rows[key] == d[names["key"]]) & same)
+    turn = Window.partitionBy(key, names["source"], names["doc_id"], names["size"], names["h"]).orderBy(F.xxhash64(*plain))
+    got = got.withColumn(k, F.row_number().over(turn))
+    n = F.when(F.col(size) == 0, 1).otherwise(_share(F.col(names["total"]), F.col(names["m"]), F.col(k))).cast("int")
+    return got.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), n)).alias(k)).drop(k)
