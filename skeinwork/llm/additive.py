@@ -5,8 +5,10 @@ feature in turn gets a shallow tree on its bins, whose leaf values are added to
 the pairs of features that explain most of what is left get two-dimensional tables the same way. A score is the intercept
 and one table entry per feature and pair, added up for a whole Arrow batch at once.
 
-Training reads at most SAMPLE labelled rows (those with the smallest hashes, any fold but the held-out one); scoring
-covers every row. Labels, lang, source and doc_id are no inputs of a score. Null texts count as empty.
+Training reads about SAMPLE labelled rows (those with the smallest hashes, any fold but the held-out one); scoring covers
+every row. Labels, lang, source and doc_id are no inputs of a score. Null and empty texts have all measures 0 and are
+scored like others, as are rows without a doc_id, which are in no fold; equal texts have equal scores. Without labels of
+both kinds every score is the smoothed share. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import bounded, stage, table
 from .quality import with_measures
 
 #: Labelled rows that training may use.
@@ -138,9 +140,11 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, dep
 def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     """A model from rows of featured() and labels(doc_id, quality), without the held-out fold."""
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y"))
-    known = rows.where(~held_out()).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), *[f"f_{k}" for k in FEATURES]).limit(sample)
-    got = known.select("y", *[f"f_{k}" for k in FEATURES]).toPandas()
-    return fit(got[[f"f_{k}" for k in FEATURES]].to_numpy(float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float))
+    inputs = [f"f_{k}" for k in FEATURES]
+    known = stage(rows.where(~held_out()).join(marks, "doc_id").select("doc_id", "y", *inputs), "additive-labelled")
+    known = bounded(known, F.xxhash64("doc_id", *inputs), sample)
+    got = known.select("y", *inputs, F.xxhash64("doc_id").alias("turn")).toPandas().sort_values(["turn", "y", *inputs])
+    return fit(got[inputs].to_numpy(float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float))
 
 
 def held_out():

@@ -3,7 +3,7 @@
 The trees are trained from labelled URLs by DataFrame aggregation alone: every feature is a small integer bin, one level
 of one tree is one aggregate of gradients by (node, feature, bin), which has at most NODES * features * BINS rows
 whatever the input, and the driver only picks splits from it. Scoring is a sum of CASE expressions over the bins.
-Training uses at most `sample` labelled URLs (those with the smallest hashes); scoring covers every row.
+Training uses about `sample` distinct labelled URLs (those with the smallest hashes); scoring covers every row.
 
 Null urls and urls without :// have an empty host and path, match no rule, and are scored like the others.
 """
@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import bounded, stage, table
 
 #: Rules of the query: (verdict, host and path); a fixed list.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -107,12 +107,11 @@ class UrlModel:
 
 def fit(labelled: DataFrame, trees: int = 12, rate: float = 0.3, ridge: float = 1.0, least: int = 3, sample: int = SAMPLE) -> UrlModel:
     """Trees of depth two from (url, host, path, bad 0/1). Without rows of both kinds the model is a constant."""
-    some = labelled.where(F.col("bad").isNotNull()).orderBy(F.xxhash64("url"), "url", "bad").limit(sample)
-    rows = stage(_lexical(some), "url-sample")
+    # a URL that is repeated counts once, however many pages have it
+    known = labelled.where(F.col("bad").isNotNull()).groupBy("url", "host", "path").agg(F.max("bad").alias("bad"))
+    rows = stage(_lexical(bounded(stage(known, "url-labels"), F.xxhash64("url"), sample)), "url-sample")
     n, bad = rows.agg(F.count("*"), F.sum("bad")).first()
     bad = bad or 0
-
-
     share = (bad + 0.5) / (n + 1)
     model = UrlModel(math.log(share / (1 - share)), {})
     if not 0 < bad < n:
