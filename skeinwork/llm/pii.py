@@ -184,11 +184,6 @@ def _candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
-def context_words(text: str) -> list[str]:
-    """The words that patterns are made of, in order: without punctuation around them, in lower case."""
-    return [w for w in map(_word, _WORD.findall(text)) if w]
-
-
 def instances(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str, str]]:
     """(start, end, seed kind or None, shape, context) of base spans and of runs of tokens with digits outside them. The
     context is the one or two words before: whole words, or what stands between marks before an instance that begins
@@ -279,22 +274,26 @@ def _occurrences(words: np.ndarray, pairs: np.ndarray, lasts: np.ndarray):
     bits = len(words).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[bool, bool]] = {}
+        seen: dict[str, tuple[str, bool, bool]] = {}  # by the word as it stands: the word, and its two marks
         for batch in batches:
             ones, twos = Counter(), Counter()
             for t in batch.column("text"):
-                before = None
-                for w in context_words(t.as_py() or ""):
-                    marks = seen.get(w)
-                    if marks is None:
+                before = ""
+                for said in _WORD.findall(t.as_py() or ""):
+                    known = seen.get(said)
+                    if known is None:
                         if len(seen) > 500_000:
                             seen.clear()
-                        marks = seen[w] = (bool(words[_place(w, bits)]), bool(lasts[_place(w, bits)]))
-                    if marks[0]:
-                        ones[w] += 1
-                    if marks[1] and before is not None:
-                        twos[before, w] += 1
-                    before = w
+                        w = _word(said)
+                        at = _place(w, bits)
+                        known = seen[said] = (w, bool(w) and bool(words[at]), bool(w) and bool(lasts[at]))
+                    w, one, last = known
+                    if w:
+                        if one:
+                            ones[w] += 1
+                        if last and before:
+                            twos[before, w] += 1
+                        before = w
             rows = [(f"1 {w}", n) for w, n in ones.items()] + [(f"2 {x}", n) for (a, b), n in twos.items() if pairs[_place(x := f"{a} {b}", bits)]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["pattern", "n"])
 
