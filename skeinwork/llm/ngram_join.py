@@ -3,13 +3,14 @@
 A document's set is its distinct word n-grams; documents link when their Jaccard similarity reaches the threshold. The
 join is exact and returns classes and components, never all pairs of a group:
 
-1. Sketch. Counts of n-grams by hash bin over all documents flag the bins of frequent n-grams. The sketch has 2^19 bins
-   at any input size.
+1. Sketch. Counts of n-grams by hash bin over all documents flag the bins of frequent n-grams: those well over the noise
+   of a bin. The sketch has 2^19 bins at any input size, so with more input only more frequent n-grams stand out; it
+   orders prefixes, and no bound rests on it.
 2. Prefixes. Sets are ordered by (flagged, hash). Under any order, sets that link share l n-grams or more in the first
    n - ceil(t n) + l of each; l grows with the set, so that a shared passage alone seldom reaches it, and with frequent
    n-grams last, common passages rarely are among these. Equal sets become one class.
-3. Index. Lists of the prefix n-grams. The sketch bounds every list of an unflagged n-gram, so these are gathered by a
-   window; flagged ones are counted first and joined, which splits hot lists. Lists with the same members count once.
+3. Index. Lists of the prefix n-grams: these are counted first, pre-aggregated, and joined with their counts, which
+   splits hot lists. Lists with the same members count once.
 4. Candidates. Lists of up to SMALL sets give pairs that fit by size and position and can share l n-grams, counting for
    the longer lists the most that both sets have there. A pair that meets in longer lists alone shares l n-grams in them:
    these lists tie together only the sets that have so many there. Candidate groups are the components of both.
@@ -17,12 +18,14 @@ join is exact and returns classes and components, never all pairs of a group:
    class meet, and a small group is one block. In a block one set is the representative r, and every other set is kept
    as its difference from r: with R the n-grams of r that x lacks and A those it has besides,
    |x n y| = |r| - |Rx| - |Ry| + |Rx n Ry| + |Ax n Ay|. So a set's overlaps follow from those of r and short differences.
-   A block returns a spanning forest of its links.
+   A block returns a spanning forest of its links. Texts of candidate sets are read again through a filter of their ids,
+   whose size follows their number.
 
 N-grams are 64-bit hashes; two n-grams of one pair of documents meet by chance once in about 10^13 pairs.
 
 Null and blank texts have empty sets and link with nothing. Rows that share a doc_id are one vertex; rows with a null
-doc_id have no links and no component.
+doc_id have no links and no component. An empty table gives an empty result. Extra columns aren't read; keep_one carries
+them along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,12 +40,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.connected import components
-from .common import SPACE, free_name, stage
+from .common import SPACE, bitmap, free_name, stage
 
 #: Bits of a sketch bin.
 BITS = 19
-#: Bits of the filter by which the texts of candidate sets are read again.
-FILTER = 23
+#: Bits of the filter by which the texts of candidate sets are read again: the least, and the most (16 MB).
+FILTER = (16, 27)
 #: Members of a list whose pairs are candidates one by one.
 SMALL = 48
 #: Sets and n-grams of a block, on average.
@@ -115,7 +118,7 @@ def _prefixes(width: int, percent: int, flags: bytes):
 
         flagged = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
         for batch in batches:
-            sizes, one, two, prefixes, lates = [], [], [], [], []
+            sizes, one, two, prefixes = [], [], [], []
             for text in batch.column("text"):
                 h = gram_set(text.as_py(), width)
                 n = len(h)
@@ -124,30 +127,32 @@ def _prefixes(width: int, percent: int, flags: bytes):
                 sizes.append(n)
                 one.append(int.from_bytes(d[:8], "big", signed=True))
                 two.append(int.from_bytes(d[8:], "big", signed=True))
-                lates.append(int(n - late.sum()))
                 prefixes.append(np.concatenate([h[~late], h[late]])[: n - _need(n, percent) + _least(n, percent)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(prefixes), pa.array(lates, pa.int32())], ["doc_id", "n", "d1", "d2", "prefix", "late"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(prefixes)], ["doc_id", "n", "d1", "d2", "prefix"])
 
     return run
 
 
-def _place(ids: np.ndarray) -> np.ndarray:
-    """Bits of ids in the filter."""
+def _place(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Places of ids in a filter."""
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(32))) >> np.uint64(64 - FILTER)).astype(np.int64)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_place(batch.column("doc_id").to_numpy(zero_copy_only=False))))], ["bit"])
+def _marks(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_place(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)))], ["place"])
+
+    return run
 
 
-def _sets(width: int, wanted: bytes):
+def _sets(width: int, bits: int, wanted: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(wanted), np.uint8)).astype(bool)
+        marked = np.unpackbits(np.frombuffer(zlib.decompress(wanted), np.uint8)).astype(bool)
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
-            batch = batch.filter(pa.array(bits[_place(batch.column("doc_id").to_numpy())]))
+            batch = batch.filter(pa.array(marked[_place(batch.column("doc_id").to_numpy(), bits)]))
             sets = [gram_set(x.as_py(), width) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), _lists(sets)], ["doc_id", "n", "grams"])
 
@@ -278,16 +283,14 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     mean = (bins.agg(F.sum("n")).first()[0] or 0) / (1 << BITS)
     flags = np.zeros(1 << BITS, bool)
     flags[[r[0] for r in bins.where(F.col("n") > mean + 6 * mean**0.5 + 12).select("bin").collect()]] = True
-    marked = stage(text.mapInArrow(_prefixes(width, percent, np.packbits(flags).tobytes()), "doc_id long, n int, d1 long, d2 long, prefix array<long>, late int"), "ngram-prefixes")
+    marked = stage(text.mapInArrow(_prefixes(width, percent, np.packbits(flags).tobytes()), "doc_id long, n int, d1 long, d2 long, prefix array<long>"), "ngram-prefixes")
 
     key = ["n", "d1", "d2"]
     classes = stage(marked.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "ngram-classes")
-    reps = marked.join(classes, [*key]).where("doc_id = class_id").select(F.col("doc_id").alias("id"), "prefix", "late")
-    posts = reps.select("id", "late", F.posexplode("prefix").alias("pos", "gram"))
-    rare = posts.where("pos < late").select("gram", "id", "pos").withColumn("members", F.count("*").over(Window.partitionBy("gram"))).where("members > 1")
-    often = posts.where("pos >= late").select("gram", "id", "pos")
-    lists = often.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
-    posts = stage(rare.unionByName(often.join(lists, "gram")), "ngram-lists")
+    reps = marked.join(classes, [*key]).where("doc_id = class_id").select(F.col("doc_id").alias("id"), "prefix")
+    posts = reps.select("id", F.posexplode("prefix").alias("pos", "gram"))
+    lists = posts.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
+    posts = stage(posts.join(lists, "gram"), "ngram-lists")
 
     # sets with fewer shared n-grams than any link needs are out
     sizes = classes.select(F.col("class_id").alias("id"), "n").distinct()
@@ -329,20 +332,18 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     totals = placed.groupBy("group").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("n") <= BLOCK_GRAMS)).alias("one"))
     placed = stage(placed.select("id", "group").distinct().join(totals, "group"), "ngram-placed")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """(group, doc_id, n, grams) of placed ids. Their texts are read again through a filter of a fixed size; what
-        passes it by chance finds no group. A doc_id that is repeated with other texts has several sets; each is one of
-        this vertex."""
-        marks = ids.select(F.col("id").alias("doc_id")).mapInArrow(_marks, "bit long").distinct()
-        bits = np.zeros(1 << FILTER, bool)
-        bits[[r[0] for r in marks.collect()]] = True
-        sets = text.mapInArrow(_sets(width, zlib.compress(np.packbits(bits).tobytes())), "doc_id long, n int, grams array<long>")
-        return sets.where("n > 0").join(ids, sets["doc_id"] == ids["id"]).select("group", "doc_id", "n", "grams")
-
-    small_links = sets_of(placed.where("one")).groupBy("group").applyInArrow(_group(percent), "u long, v long")
+    # the sets of placed ids, with their groups; what passes the filter by chance finds no group. A doc_id that is
+    # repeated with other texts has several sets; each is one of this vertex
+    bits = min(FILTER[1], max(FILTER[0], (8 * placed.count()).bit_length()))
+    marks = placed.select(F.col("id").alias("doc_id")).mapInArrow(_marks(bits), "place long")
+    wanted = zlib.compress(np.packbits(bitmap(marks, F.col("place"), bits)).tobytes())
+    read = text.mapInArrow(_sets(width, bits, wanted), "doc_id long, n int, grams array<long>").where("n > 0")
+    sets = stage(read.join(placed, read["doc_id"] == placed["id"]).select("group", "one", "doc_id", "n", "grams"), "ngram-sets", batch=1000)
+
+    small_links = sets.where("one").groupBy("group").applyInArrow(_group(percent), "u long, v long")
     small_links = stage(small_links, "ngram-small", batch=1000)
     # a large group's sets are sent around as their differences from the set of its least doc_id
-    whole = stage(sets_of(placed.where("NOT one")), "ngram-large", batch=1000)
+    whole = sets.where("NOT one").drop("one")
     reps = whole.where("doc_id = group").dropDuplicates(["group"]).select("group", F.col("grams").alias("rep"))
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int").alias("size")
     rows = whole.join(reps, "group").select("group", "doc_id", "n", size, "grams", "rep").mapInArrow(_differ, "group long, doc_id long, n int, size int, lacks int, rep_size int, grams array<long>")
@@ -383,6 +384,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     kept = link_components(docs, width, percent).where("n > 0 AND component_id = doc_id").select(F.col("doc_id").alias(own)).distinct()
     blank = F.length(F.translate(F.coalesce("text", F.lit("")), SPACE, "")) == 0
     rows = docs.join(kept, F.col("doc_id").cast("long") == F.col(own), "left").where(F.col(own).isNotNull() | blank | F.col("doc_id").isNull())
-    # rows of one doc_id are told apart by their text; the blank ones come last
-    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(blank, "text")))
+    # rows of one doc_id are told apart by their text; the blank ones, and those without an id, all stay and are spread
+    spread = F.when(F.col("doc_id").isNull() | blank, F.monotonically_increasing_id())
+    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", spread).orderBy("text")))
     return rows.where((F.col(rank) == 1) | blank | F.col("doc_id").isNull()).select(*docs.columns)
