@@ -61,21 +61,30 @@ class Tokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, worked out for some words at once, with spaces between them, and cut at word numbers."""
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            said, cuts = np.array(e.ids, "<u4").tobytes(), (4 * (np.flatnonzero(np.diff(e.word_ids)) + 1)).tolist()
+            parts = [said[a:b] for a, b in zip([0, *cuts], [*cuts, len(said)])]
+            self.update(zip(group, parts if len(parts) == len(group) else self._ids(group)))
+
     def of(self, texts: list[str]) -> list[bytes]:
-        plain = [self.PLAIN.fullmatch(t) and not (self.added and self.added.search(t)) for t in texts]
+        plain = [self.PLAIN.fullmatch(t) and not any(a in t for a in self.added) for t in texts]
         split = [self.WORD.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
         if len(self) > self.MOST:
             self.clear()
-        new = list({w for x in split if x for w in x if w not in self})
-        self.update(zip(new, self._ids(new)))
+        looked = [None if x is None else list(map(self.get, x)) for x in split]
+        new = list({w for x, got in zip(split, looked) if got and None in got for w, ids in zip(x, got) if ids is None})
+        if new:
+            self._learn(new)
         whole = iter(self._ids([t for t, x in zip(texts, split) if x is None]))
-        return [next(whole) if x is None else b"".join(map(self.__getitem__, x)) for x in split]
+        return [next(whole) if got is None else b"".join(map(self.__getitem__, x) if None in got else got) for x, got in zip(split, looked)]
 
 
 _tokens: dict[str, Tokens] = {}
