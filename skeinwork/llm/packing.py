@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +40,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Tokens(dict):
+class Tokens:
     """Token ids of texts, as bytes of unsigned 32-bit numbers.
 
-    A text that has only characters whose normal form, case and class are beyond doubt is split into words as the
-    tokenizer does, and each word's ids are looked up or, batch by batch, worked out and kept, up to a bounded number of
-    words. Any other text, and any that holds one of the tokenizer's added tokens, goes through the tokenizer whole. Both
-    ways give the same ids."""
+    A text that has only characters whose normal form, case and class are beyond doubt is split at white space, which no
+    token crosses. Its chunks are numbered against the known ones, of which a bounded number is kept, and the ids are
+    gathered by number; new chunks are tokenised some at once. Any other text, and any that holds one of the tokenizer's
+    added tokens, goes through the tokenizer whole. Both ways give the same ids."""
 
     # The tokenizer's word pattern for lower-case text of these characters.
     PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7e\xa1-\xa7\xa9\xab\xac\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*")
@@ -59,49 +60,85 @@ class Tokens(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.size, self.said = pa.array([], pa.large_string()), np.empty(0, np.int64), np.empty(0, "<u4")
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words, worked out for some words at once, with spaces between them, and cut at word numbers."""
-        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            said, cuts = np.array(e.ids, "<u4").tobytes(), (4 * (np.flatnonzero(np.diff(e.word_ids)) + 1)).tolist()
-            parts = [said[a:b] for a, b in zip([0, *cuts], [*cuts, len(said)])]
-            self.update(zip(group, parts if len(parts) == len(group) else self._ids(group)))
+    def _learn(self, chunks: pa.Array) -> None:
+        """Ids of new chunks, of many at once with spaces between them, cut by the number of words in each."""
+        texts = chunks.to_pylist()
+        words = np.array([len(self.WORD.findall(c.lower())) for c in texts], np.int64)
+        groups = [texts[i : i + 128] for i in range(0, len(texts), 128)]
+        said, size = [self.said], np.empty(len(texts), np.int64)
+        for k, e in enumerate(self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            part = slice(128 * k, 128 * k + len(groups[k]))
+            # e.word_ids numbers the words of the group; its steps are where a word begins
+            begins = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1))
+            if len(begins) == words[part].sum():
+                size[part] = np.diff(np.concatenate([begins, [len(e.ids)]])[np.concatenate([[0], np.cumsum(words[part])])])
+                said.append(np.array(e.ids, "<u4"))
+            else:
+                each = self._ids(groups[k])
+                size[part] = [len(x) // 4 for x in each]
+                said.append(np.frombuffer(b"".join(each), "<u4"))
+        self.known = pa.concat_arrays([self.known, chunks])
+        self.size, self.said = np.concatenate([self.size, size]), np.concatenate(said)
 
     def of(self, texts: list[str]) -> list[bytes]:
         plain = [self.PLAIN.fullmatch(t) and not any(a in t for a in self.added) for t in texts]
-        split = [self.WORD.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
-        if len(self) > self.MOST:
-            self.clear()
-        looked = [None if x is None else list(map(self.get, x)) for x in split]
-        new = list({w for x, got in zip(split, looked) if got and None in got for w, ids in zip(x, got) if ids is None})
-        if new:
+        if len(self.known) > self.MOST:
+            self._forget()
+        lists = pc.ascii_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.large_string()))
+        chunks = lists.flatten().dictionary_encode()
+        new = chunks.dictionary.filter(pc.invert(pc.is_in(chunks.dictionary, value_set=self.known)))
+        if len(new):
             self._learn(new)
-        whole = iter(self._ids([t for t, x in zip(texts, split) if x is None]))
-        return [next(whole) if got is None else b"".join(map(self.__getitem__, x) if None in got else got) for x, got in zip(split, looked)]
+        number = pc.index_in(chunks.dictionary, value_set=self.known).to_numpy()[chunks.indices.to_numpy()]
+        held = self.size[number]
+        first, upto = (np.cumsum(self.size) - self.size)[number], np.concatenate([[0], np.cumsum(held)])
+        said = self.said[np.arange(upto[-1]) + np.repeat(first - upto[:-1], held)].tobytes()
+        ends = 4 * upto[lists.offsets.to_numpy()]
+        whole = iter(self._ids([t for t, p in zip(texts, plain) if not p]))
+        return [said[a:b] if p else next(whole) for p, a, b in zip(plain, ends.tolist(), ends[1:].tolist())]
 
 
 _tokens: dict[str, Tokens] = {}
 
 
+def _groups(column: pa.Array, most: int = 1 << 23) -> Iterator[tuple[list[int], list[str]]]:
+    """Rows and texts, so many at once as hold about `most` characters; null texts are empty."""
+    rows, texts, held = [], [], 0
+    for row, x in enumerate(column):
+        text = x.as_py() or ""
+        rows.append(row)
+        texts.append(text)
+        held += len(text)
+        if held >= most:
+            yield rows, texts
+            rows, texts, held = [], [], 0
+    if rows:
+        yield rows, texts
+
+
 def _pieces(tokenizer: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens.get(tokenizer) or _tokens.setdefault(tokenizer, Tokens(tokenizer))
         last = end.to_bytes(4, "little")
         for batch in batches:
             docs, out = batch.column("doc_id"), []
-            for i in range(0, batch.num_rows, 256):
-                for k, ids in enumerate(tokens.of([x.as_py() or "" for x in batch.column("text")[i : i + 256]])):
+            for rows, texts in _groups(batch.column("text")):
+                for row, ids in zip(rows, tokens.of(texts)):
                     ids += last
                     for n, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
-                        out.append((docs[i + k].as_py(), n, at // 4, len(part) // 4, zlib.crc32(part)))
+                        out.append((docs[row].as_py(), n, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
