@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -98,6 +98,60 @@ def normalised(rows: DataFrame) -> DataFrame:
     return rows.select("a", "b", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
+def multipartite(params: DataFrame) -> DataFrame:
+    """(sizes, u, v): complete multipartite graphs with any number of parts, for every row of params(sizes); labels are
+    part_place, and vertices of different parts are joined."""
+    rows = params.select("sizes", F.posexplode("sizes").alias("p", "n")).where("n > 0").withColumn("i", F.explode(F.expr("sequence(0, n - 1)")))
+    later = F.expr("filter(transform(sizes, (m, q) -> struct(q, m)), x -> x.q > p AND x.m > 0)")
+    rows = rows.withColumn("o", F.explode(later)).withColumn("j", F.explode(F.expr("sequence(0, o.m - 1)")))
+    return rows.select("sizes", F.concat_ws("_", "p", "i").alias("u"), F.concat_ws("_", "o.q", "j").alias("v"))
+
+
+#: Sweeps of one parameter: its first value.
+LINES = {"periodic_theta": 1, "complete_graph": 1, "fan": 2, "wheel": 3, "ladder": 2, "circular_ladder": 3, "hypercube": 1, "friendship": 1, "mobius_ladder": 2}
+#: Sweeps of two: the ranges of a and b, what must hold, and the order.
+PAIRS = {
+    "sierpinski": ((2, 13), (1, 7), "true", "array(a * b, b, a)"),
+    "complete_bipartite": ((1, 20), (1, 20), "a <= b", "array(a + b, b, a)"),
+    "grid": ((1, 10), (1, 12), "true", "array(a * b, a + b, a, b)"),
+    "cylinder": ((2, 10), (2, 12), "true", "array(a * b, a + b, a, b)"),
+    "windmill": ((3, 10), (2, 20), "true", "array(1 + b * (a - 1), a + b, a, b)"),
+    "generalized_petersen": ((5, 30), (1, 14), "2 * b < a", "array(a, b)"),
+}
+# The sets of jumps of circulant graphs.
+JUMPS = ((1,), (2,), (1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (1, 2, 3))
+
+
+def _tuple(x: str) -> str:
+    return f"concat('(', array_join({x}, ', '), if(size({x}) = 1, ',)', ')'))"
+
+
+def sweeps(spark: SparkSession, count: int) -> DataFrame:
+    """(family, rank, params): the first `count` parameters of every family in the order of its sweep, as tuples."""
+    row = spark.range(1, numPartitions=1)
+    out = []
+    for name, first in LINES.items():
+        rows = row.select(F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))).alias("a"))
+        out.append(rows.select(F.lit(name).alias("family"), F.array("a").alias("key"), F.expr(_tuple("array(a)")).alias("params")))
+    for name, ((a0, a1), (b0, b1), holds, key) in PAIRS.items():
+        rows = row.select(F.explode(F.sequence(F.lit(a0), F.lit(a1))).alias("a")).withColumn("b", F.explode(F.sequence(F.lit(b0), F.lit(b1)))).where(holds)
+        out.append(rows.select(F.lit(name).alias("family"), F.expr(key).alias("key"), F.expr(_tuple("array(a, b)")).alias("params")))
+    # parts of five at most, the largest first, ten vertices in all
+    parts = row.select(F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")).select(F.array("n").alias("p"))
+    for _ in range(4):
+        parts = parts.withColumn("n", F.explode(F.sequence(F.lit(1), F.element_at("p", -1)))).select(F.concat("p", F.array("n")).alias("p"))
+        parts = parts.where("aggregate(p, 0, (s, x) -> s + x) <= 10")
+        rows = parts.select(F.lit("complete_multipartite").alias("family"), F.expr("concat(array(aggregate(p, 0, (s, x) -> s + x), size(p)), p)").alias("key"), F.expr(_tuple("p")).alias("params"))
+        out.append(rows)
+    jumps = row.select(F.explode(F.sequence(F.lit(4), F.lit(30))).alias("a"), F.lit([list(j) for j in JUMPS]).alias("js")).select("a", F.explode("js").alias("j")).where("array_max(j) < a")
+    out.append(jumps.select(F.lit("circulant").alias("family"), F.expr("concat(array(a, size(j)), j)").alias("key"), F.concat(F.lit("("), F.col("a"), F.lit(", "), F.expr(_tuple("j")), F.lit(")")).alias("params")))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy("key")))
+    return ranked.where(F.col("rank") <= count).select("family", "rank", "params")
+
+
 def ngon(labels: DataFrame, radius: float = 1.0, phase: float = math.pi / 2) -> DataFrame:
     """labels(g, label) on a regular polygon by label order; a single one at the origin."""
     w = Window.partitionBy("g")

@@ -4,12 +4,33 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder, or the one that spark.checkpoint.dir names. One
+    of our own is made on a single machine only, as in tests; a cluster must name one."""
+    sc = spark.sparkContext
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        return have.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skeinwork-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the session; one of our own where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skeinwork-"))
+    """Checkpoint to the shared folder of the session."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Drop cached tables and the session's checkpoints, as after a run of queries whose results are no longer needed."""
+    spark.catalog.clearCache()
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        at = spark._jvm.org.apache.hadoop.fs.Path(have.get())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

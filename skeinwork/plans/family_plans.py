@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import families as fam
 from ..operators import kernels
 from ..operators import polynomials as poly
+from ..sources import dataset
+from .common import shared_dir
 
 
 def params(spark, d, second):
@@ -15,21 +18,48 @@ def params(spark, d, second):
     return p.withColumn("b", F.expr(f"cast({second or 0} as int)"))
 
 
-def duck(sql):
-    return sql.replace(" as string)", " as varchar)").replace(" div ", " // ").replace("power(", "pow(")
+def _pairs(n, holds, u="CAST(i AS VARCHAR)", v="CAST(j AS VARCHAR)"):
+    """Pairs i < j of n numbered vertices for which a test holds."""
+    return f"SELECT a, b, {u} AS u, {v} AS v FROM (SELECT a, b, i, unnest(range({n})) j FROM (SELECT a, b, unnest(range({n})) i FROM p)) WHERE i < j AND ({holds})"
+
+
+def _each(n, u, v):
+    """An edge for each number i below n."""
+    return f"SELECT a, b, {u} AS u, {v} AS v FROM (SELECT a, b, unnest(range({n})) i FROM p)"
+
+
+def _board(w):
+    """Labels row_column of vertices numbered by rows of w."""
+    return f"(i // {w}) || '_' || (i % {w})", f"(j // {w}) || '_' || (j % {w})"
+
+
+_STEP = lambda w: f"abs(i // {w} - j // {w}) + abs(i % {w} - j % {w}) = 1"
+#: family: its DuckDB twin, which tests pairs of vertices where the operator generates edges.
+TWINS = {
+    "bouquet": _each("a", "'0'", "'0'"),
+    "theta": _each("a", "'0'", "'1'"),
+    "periodic_theta": " UNION ALL ".join([_each("a", "'L'", "'m' || i"), _each("a", "'m' || i", "'R'"), _pairs("a", "j = i + 1 OR j = i + a - 1", "'m' || i", "'m' || j")]),
+    "sierpinski": _pairs("a * a", "i // a = j // a OR (i // a = j % a AND i % a = j // a)"),
+    "complete_graph": _pairs("a", "true"),
+    "complete_bipartite": _pairs("a + b", "i < a AND j >= a", "'l' || i", "'r' || (j - a)"),
+    "complete_multipartite": " UNION ALL ".join([_pairs("a + b", "i < a AND j >= a", "'l' || i", "'m' || (j - a)"), _each("a", "'l' || i", "'r0'"), _each("b", "'m' || i", "'r0'")]),
+    "fan": " UNION ALL ".join([_each("a", "'c'", "CAST(i AS VARCHAR)"), _pairs("a", "j = i + 1")]),
+    "wheel": " UNION ALL ".join([_each("a", "'c'", "CAST(i AS VARCHAR)"), _pairs("a", "j = i + 1 OR j = i + a - 1")]),
+    "ladder": _pairs("2 * a", _STEP(2), *_board(2)),
+    "circular_ladder": _pairs("2 * a", f"{_STEP(2)} OR (i % 2 = j % 2 AND j - i = 2 * (a - 1))", *_board(2)),
+    "grid": _pairs("a * b", _STEP("b"), *_board("b")),
+    "cylinder": _pairs("a * b", f"{_STEP('b')} OR (i // b = j // b AND j - i = b - 1)", *_board("b")),
+    "hypercube": _pairs("1 << a", "bit_count(xor(i, j)) = 1"),
+    "friendship": " UNION ALL ".join([_each("2 * a", "'c'", "CAST(i AS VARCHAR)"), _pairs("2 * a", "i % 2 = 0 AND j = i + 1")]),
+    "windmill": " UNION ALL ".join([_each("b * (a - 1)", "'c'", "(i // (a - 1)) || '_' || (i % (a - 1))"), _pairs("b * (a - 1)", "i // (a - 1) = j // (a - 1)", *_board("(a - 1)"))]),
+    "circulant": _pairs("a", "least(j - i, a - j + i) <= b"),
+    "generalized_petersen": " UNION ALL ".join([_pairs("a", "j = i + 1 OR j = i + a - 1"), _each("a", "CAST(i AS VARCHAR)", "'n' || i"), _pairs("a", "j = i + b OR j = i + a - b", "'n' || i", "'n' || j")]),
+    "mobius_ladder": _pairs("2 * a", "j - i IN (1, a, 2 * a - 1)"),
+}
 
 
 def family_sql(name):
-    f = fam.FAMILIES[name]
-    out = []
-    for i, part in enumerate(f.parts):
-        sql = f"SELECT a, b FROM p WHERE a >= {f.least}"
-        for var, lo, hi in part.ranges:
-            sql = f"SELECT *, unnest(range(CAST({duck(lo)} AS BIGINT), CAST({duck(hi)} AS BIGINT) + 1)) {var} FROM ({sql})"
-        out.append(f"SELECT a, b, {duck(part.u)} u, {duck(part.v)} v FROM ({sql}) WHERE {duck(part.where)}")
-    low = "SELECT a, b, least(u, v) AS u, greatest(u, v) AS v FROM e"
-    tail = f"SELECT DISTINCT * FROM ({low}) WHERE u <> v" if f.dedup else low
-    return f"WITH p AS (SELECT DISTINCT CAST(p_size % 8 + 3 AS INTEGER) a, CAST({f.second or 0} AS INTEGER) b FROM part), e AS ({' UNION ALL '.join(out)}) {tail}"
+    return f"WITH p AS (SELECT DISTINCT CAST(p_size % 8 + 3 AS INTEGER) a, CAST({fam.FAMILIES[name].second or 0} AS INTEGER) b FROM part), e AS ({TWINS[name]}) SELECT a, b, least(u, v) AS u, greatest(u, v) AS v FROM e"
 
 
 def family(name):
@@ -46,7 +76,7 @@ def small_edges(spark):
     out = None
     for name, f in fam.FAMILIES.items():
         top = {"sierpinski": 3, "hypercube": 3, "complete_graph": 6, "complete_multipartite": 3}.get(name, 5)
-        p = spark.range(max(1, f.least), top + 1).select(F.col("id").cast("int").alias("a"), F.expr(f"cast({f.second or 0} as int)").alias("b"))
+        p = spark.range(max(1, f.least), top + 1, numPartitions=1).select(F.col("id").cast("int").alias("a"), F.expr(f"cast({f.second or 0} as int)").alias("b"))
         e = fam.edges(p, name).select(F.concat_ws("_", F.lit(name), "a", "b").alias("g"), "u", "v")
         out = e if out is None else out.unionByName(e)
     return out
@@ -159,18 +189,34 @@ NGON = f"l AS (SELECT CAST(n_regionkey AS BIGINT) g, n_name AS label, CASE WHEN
 
 
 def _sweep(spark, d):
-    """Parameter pairs of two-parameter families by size and then parameters: the first ten of each."""
-    r = spark.range(2, 8).select(F.col("id").cast("int").alias("a"))
-    both = r.crossJoin(r.select(F.col("a").alias("b"))).withColumn("size", F.col("a") * F.col("b"))
-    w = Window.orderBy("size", "a", "b")
-    return both.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("rank", "a", "b", "size")
+    return fam.sweeps(spark, 10)
+
+
+_IN = lambda lo, hi, c: f"(SELECT CAST(i AS INTEGER) {c} FROM range({lo}, {hi + 1}) t(i))"
+_TWO = lambda name, a, b, order, holds="true": f"SELECT '{name}' family, list_value({order}) k, '(' || a || ', ' || b || ')' params FROM {_IN(*a, 'a')}, {_IN(*b, 'b')} WHERE {holds}"
+_SIZES = " UNION ALL ".join(
+    f"SELECT '{name}' family, list_value(a) k, '(' || a || ',)' params FROM {_IN(lo, lo + 9, 'a')}"
+    for name, lo in (("periodic_theta", 1), ("complete_graph", 1), ("fan", 2), ("wheel", 3), ("ladder", 2), ("circular_ladder", 3), ("hypercube", 1), ("friendship", 1), ("mobius_ladder", 2))
+)
+_FIVE = "(SELECT unnest([0, 1, 2, 3, 4, 5]) {c})"
+SWEEP = f"""WITH c AS ({_SIZES} UNION ALL {_TWO('sierpinski', (2, 13), (1, 7), 'a * b, b, a')} UNION ALL {_TWO('complete_bipartite', (1, 20), (1, 20), 'a + b, greatest(a, b), least(a, b)', 'b >= a')}
+UNION ALL {_TWO('grid', (1, 10), (1, 12), 'a * b, a + b, a, b')} UNION ALL {_TWO('cylinder', (2, 10), (2, 12), 'a * b, a + b, a, b')} UNION ALL {_TWO('windmill', (3, 10), (2, 20), '1 + b * (a - 1), a + b, a, b')}
+UNION ALL {_TWO('generalized_petersen', (5, 30), (1, 15), 'a, b', 'b < a / 2.0')}
+UNION ALL SELECT 'complete_multipartite', [list_sum(p), len(p)] || p, '(' || array_to_string(p, ', ') || ')' FROM (SELECT list_filter([v, w, x, y, z], lambda n: n > 0) p FROM {', '.join(_FIVE.format(c=c) for c in 'vwxyz')} WHERE v >= w AND w >= x AND x >= y AND y >= z AND w > 0 AND v + w + x + y + z <= 10)
+UNION ALL SELECT 'circulant', [a, len(j)] || j, '(' || a || ', (' || array_to_string(j, ', ') || CASE WHEN len(j) = 1 THEN ',))' ELSE '))' END FROM {_IN(4, 30, 'a')}, (SELECT unnest([[1], [2], [1, 2], [1, 3], [2, 3], [1, 4], [2, 4], [1, 2, 3]]) j) WHERE list_max(j) < a),
+r AS (SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY k) AS INTEGER) AS rank, params FROM c) SELECT family, rank, params FROM r WHERE rank <= 10"""
 
 
 def _coverage(spark, d):
-    """Families without a sweep row, and sweep rows without a family."""
-    have = spark.createDataFrame([(n,) for n in fam.names()], "name string")
-    want = small_edges(spark).select(F.regexp_replace("g", "_[0-9]+_[0-9]+$", "").alias("name")).distinct()
-    return have.exceptAll(want).withColumn("what", F.lit("missing")).unionByName(want.exceptAll(have).withColumn("what", F.lit("extra")))
+    """Families with the number of rows in their sweep; 0 for the two that have none."""
+    n = fam.sweeps(spark, 10).groupBy("family").agg(F.count("*").alias("rows"))
+    return spark.createDataFrame([(x,) for x in fam.names()], "family string").join(n, "family", "left").select("family", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def _written(spark, d):
+    """The sweeps written as a dataset and read back."""
+    path = f"{shared_dir(spark)}/family-dataset-{uuid.uuid4().hex}"
+    return dataset.read(spark, dataset.write(_sweep(spark, d).select("family", "params"), path))
 
 
 def _consensus(spark, d):
@@ -190,8 +236,9 @@ def plans():
         "layout_ngon": (_layout("ngon"), f"WITH {NGON} SELECT g, label, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM l"),
         "layout_column": (_layout("column"), f"WITH {NGON} SELECT g, label, CAST(0 AS DOUBLE) AS x, CAST((n - 1) / 2.0 - k AS DOUBLE) AS y FROM l"),
         "normalize_layout": (_layout("normalise"), f"WITH {NGON}, b AS (SELECT *, min(x) OVER w x0, max(x) OVER w x1, min(y) OVER w y0, max(y) OVER w y1 FROM l WINDOW w AS (PARTITION BY g)) SELECT g, label, round((x - (x0 + x1) / 2) * 4 / greatest(x1 - x0, y1 - y0, 1.0), 6) + 0.0 AS x, round((y - (y0 + y1) / 2) * 4 / greatest(x1 - x0, y1 - y0, 1.0), 6) + 0.0 AS y FROM b"),
-        "sweep_params": (_sweep, "WITH r AS (SELECT CAST(i AS INTEGER) i FROM range(2, 8) t(i)) SELECT CAST(row_number() OVER (ORDER BY a.i * b.i, a.i, b.i) AS INTEGER) AS rank, a.i AS a, b.i AS b, a.i * b.i AS size FROM r a, r b QUALIFY rank <= 10"),
-        "sweep_coverage": (_coverage, "SELECT '' AS name, '' AS what WHERE false"),
+        "sweep_params": (_sweep, SWEEP),
+        "sweep_coverage": (_coverage, "WITH n AS (SELECT unnest(['bouquet', 'theta', " + ", ".join(f"'{x}'" for x in sorted(set(TWINS) - {"bouquet", "theta"})) + "]) AS family) SELECT family, CASE WHEN family IN ('bouquet', 'theta') THEN 0 ELSE 10 END AS rows FROM n"),
+        "dataset_sink": (_written, SWEEP.replace("SELECT family, rank, params FROM r", "SELECT family, params FROM r")),
         "poly_add": (lambda s, d: big(poly.add(events_poly(s, d, 7), events_poly(s, d, 4))), f"WITH {P}, r AS ({total('SELECT * FROM p UNION ALL SELECT * FROM q')})" + show),
         "poly_mul": (lambda s, d: big(poly.multiply(poly.clean(events_poly(s, d, 7)), poly.clean(events_poly(s, d, 4)))), f"WITH {P}, a AS ({total('SELECT * FROM p')}), b AS ({total('SELECT * FROM q')}), r AS ({total('SELECT a.g, a.e + b.e AS e, a.c * b.c AS c FROM a JOIN b USING (g)')})" + show),
         "poly_eq": (lambda s, d: poly.equal(events_poly(s, d, 7), poly.clean(events_poly(s, d, 7)).unionByName(s.createDataFrame([(3, 0, "1")], "g long, e int, coeff string").withColumn("coeff", F.col("coeff").cast(poly.EXACT)))), "SELECT DISTINCT CAST(user_id % 20 AS BIGINT) AS g, user_id % 20 <> 3 AS equal FROM events"),
