@@ -7,12 +7,13 @@ curves or projections run as one plan.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Cells along each axis of the bounding box in which segments look for partners.
-CELLS = 8
+#: The most cells along each axis of the bounding box in which segments look for partners.
+CELLS = 4096
 
 
 def rotation(angles: tuple[Column | float, ...], order: str, degrees: bool = True) -> list[list[Column]]:
@@ -65,9 +66,15 @@ def crossings(segs: DataFrame) -> DataFrame:
     Touching doesn't count: both orientation tests are strict.
 
     Segments are dealt to the cells of a grid over their graph's bounding box and meet by an equi-join on (g, cell); a
-    pair is taken in the one cell that holds the corner where their boxes begin to overlap, so nothing is deduplicated."""
-    box = segs.groupBy("g").agg(F.min(F.least("x1", "x2")).alias("bx"), F.min(F.least("y1", "y2")).alias("by"), (F.greatest(F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2")), F.lit(1e-300)) / CELLS).alias("wx"), (F.greatest(F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2")), F.lit(1e-300)) / CELLS).alias("wy"))
-    cell = lambda v, a: F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor((v - F.col(f"b{a}")) / F.col(f"w{a}")).cast("int")))
+    pair is taken in the one cell that holds the corner where their boxes begin to overlap, so nothing is deduplicated.
+    Along each axis there are as many cells as the mean segment fits into the box, and no more than the root of their
+    number: long segments fall into few cells each, and short ones find few others in theirs."""
+    lo, hi = (lambda a: F.least(f"{a}1", f"{a}2")), (lambda a: F.greatest(f"{a}1", f"{a}2"))
+    box = segs.groupBy("g").agg(F.count("*").alias("count"), *[e for a in "xy" for e in (F.min(lo(a)).alias(f"b{a}"), F.greatest(F.max(hi(a)) - F.min(lo(a)), F.lit(1e-300)).alias(f"e{a}"), F.avg(hi(a) - lo(a)).alias(f"m{a}"))])
+    many = lambda a: F.greatest(F.lit(1.0), F.least(F.lit(float(CELLS)), F.ceil(F.sqrt("count")), F.floor(F.col(f"e{a}") / F.greatest(f"m{a}", F.col(f"e{a}") / CELLS))))
+    box = box.select("g", "bx", "by", *[many(a).cast("int").alias(f"k{a}") for a in "xy"], *[(F.col(f"e{a}") / many(a)).alias(f"w{a}") for a in "xy"])
+    place = lambda v, t, a: F.least(F.col(f"{t}k{a}") - 1, F.greatest(F.lit(0), F.floor((v - F.col(f"{t}b{a}")) / F.col(f"{t}w{a}")).cast("int")))
+    cell = lambda v, a: place(v, "", a)
     rows = segs.join(box, "g")
     for a in "xy":
         rows = rows.withColumn(f"lo{a}", F.least(f"{a}1", f"{a}2")).withColumn(f"hi{a}", F.greatest(f"{a}1", f"{a}2"))
@@ -75,7 +82,7 @@ def crossings(segs: DataFrame) -> DataFrame:
     p, q = rows.alias("p"), rows.alias("q")
     c = F.col
     low = lambda a: F.greatest(c(f"p.lo{a}"), c(f"q.lo{a}"))
-    here = lambda a: F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor((low(a) - c(f"p.b{a}")) / c(f"p.w{a}")).cast("int"))) == c(f"p.c{a}")
+    here = lambda a: place(low(a), "p.", a) == c(f"p.c{a}")
     meets = (c("p.seg") < c("q.seg")) & (c("p.lox") <= c("q.hix")) & (c("q.lox") <= c("p.hix")) & (c("p.loy") <= c("q.hiy")) & (c("q.loy") <= c("p.hiy")) & here("x") & here("y")
     met = p.join(q, (c("p.g") == c("q.g")) & (c("p.cx") == c("q.cx")) & (c("p.cy") == c("q.cy")) & meets)
     o1, o2 = _turn("p", "q.x1", "q.y1"), _turn("p", "q.x2", "q.y2")
@@ -147,13 +154,32 @@ def codes(ordered: DataFrame) -> DataFrame:
     return both.select("g", F.size(F.filter("r", lambda p: p["k"] == 0)).cast("bigint").alias("n_vertices"), F.size(F.filter("r", lambda p: p["k"] == 1)).cast("bigint").alias("n_crossings"), F.array_join(F.col("r.part"), ";").alias("pd_code"))
 
 
-def diagram(points: DataFrame) -> DataFrame:
-    """points to codes in one plan."""
-    segs = segments(points)
-    seen = visits(crossings(segs), segs)
+def diagram(points: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """points to codes; `cut` may store the segments and the visits, which are used several times."""
+    segs = cut(segments(points))
+    seen = cut(visits(crossings(segs), segs))
     return codes(ccw(incidences(seen, segs)))
 
 
+def canonical_turn(a: Column) -> Column:
+    """An array of distinct values rotated so that its least comes first."""
+    at = F.array_position(a, F.array_min(a)).cast("int")
+    return F.concat(F.slice(a, at, F.size(a)), F.slice(a, F.lit(1), at - 1))
+
+
+def orders_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(g, nodes, kept): of the crossings that two embeddings of a diagram (as from ccw) share, told by their four arcs, how
+    many have the arcs around them in the same cyclic order."""
+
+    def orders(found: DataFrame, name: str) -> DataFrame:
+        rows = found.where("kind = 'x'").groupBy("g", "id").agg(F.array_sort(F.collect_list(F.struct("place", "arc_id")))["arc_id"].alias("o"))
+        rows = rows.where(F.size(F.array_distinct("o")) == 4)
+        return rows.select("g", F.array_sort("o").alias("arcs"), canonical_turn(F.col("o")).alias(name))
+
+    both = orders(before, "b").join(orders(after, "a"), ["g", "arcs"])
+    return both.groupBy("g").agg(F.count("*").alias("nodes"), F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("kept"))
+
+
 def cyclic_equal(a: Column, b: Column) -> Column:
     """Whether array b is a rotation of array a."""
     twice = F.concat(a, a)

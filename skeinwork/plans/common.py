@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the session."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared folder and read back, worked out once; the table goes at the end of the session."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Drop cached tables and the session's checkpoints, as after a run of queries whose results are no longer needed."""
+    """Drop cached tables and what the session has cut, as after a run of queries whose results are no longer needed."""
     spark.catalog.clearCache()
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as geo
 from ..sources import pd_codes
+from .common import cut
 
 VIEWS = 10
 CODES = ["V[0,2];V[3,5];X[1,4,0,5];X[3,2,4,1]", "V[0,2];V[3,5];X[4,1,3,2];X[0,5,1,4]", "V[]", "V[0,0]", " V[0,1] ; ;V[1,0]", "V[0,1];Y[0,1]", "X[0,1,1]"]
@@ -60,9 +61,8 @@ def sql(select):
 
 
 def _parts(spark, d):
-    segs = geo.segments(curves(spark, d))
-    seen = geo.visits(geo.crossings(segs), segs)
-    return segs, seen
+    segs = cut(geo.segments(curves(spark, d)))
+    return segs, cut(geo.visits(geo.crossings(segs), segs))
 
 
 def _angles(spark, d):
@@ -150,6 +150,34 @@ def _cyclic(spark, d):
     return after.join(before, ["g", "id"]).groupBy("g").agg(F.sum(F.when(geo.cyclic_equal(F.col("a"), F.col("b")), 1).otherwise(0)).alias("same"), F.count("*").alias("n"))
 
 
+def turned(a):
+    """A list rotated so that its least comes first."""
+    return f"list_concat({a}[list_position({a}, list_min({a})):], {a}[:list_position({a}, list_min({a})) - 1])"
+
+
+def _orders(spark, d):
+    """Orders around crossings after a turn of the plane, which keeps them, and after a reflection, which doesn't."""
+    at = lambda p: geo.ccw(geo.incidences(*reversed([cut(x) for x in _seen(p)])))
+    p, c = curves(spark, d), F.col
+    before = at(p)
+    turn = geo.orders_preserved(before, at(p.select("g", "seq", (c("x") * 0.6 - c("y") * 0.8).alias("x"), (c("x") * 0.8 + c("y") * 0.6).alias("y"), "z")))
+    flip = geo.orders_preserved(before, at(p.select("g", "seq", (-c("x")).alias("x"), "y", "z")))
+    return turn.withColumnRenamed("kept", "kept_by_turn").join(flip.select("g", c("kept").alias("kept_by_reflection")), "g")
+
+
+def _seen(points):
+    segs = geo.segments(points)
+    return segs, geo.visits(geo.crossings(segs), segs)
+
+
+def _order_sql(x, y):
+    moved = f"mp AS (SELECT g, seq, {x} x, {y} y, z FROM pts)"
+    return f"(WITH {moved}, {chain('mp')}, o AS (SELECT g, list(arc_id ORDER BY place) o FROM cc WHERE kind = 'x' GROUP BY g, id HAVING count(DISTINCT arc_id) = 4) SELECT g, list_sort(o) arcs, {turned('o')} o FROM o)"
+
+
+ORDERS = f"WITH {PTS} SELECT b.g, count(*) AS nodes, CAST(sum(CASE WHEN b.o = t.o THEN 1 ELSE 0 END) AS BIGINT) AS kept_by_turn, CAST(sum(CASE WHEN b.o = f.o THEN 1 ELSE 0 END) AS BIGINT) AS kept_by_reflection FROM {_order_sql('x', 'y')} b JOIN {_order_sql('x * 0.6::DOUBLE - y * 0.8::DOUBLE', 'x * 0.8::DOUBLE + y * 0.6::DOUBLE')} t ON t.g = b.g AND t.arcs = b.arcs JOIN {_order_sql('-x', 'y')} f ON f.g = b.g AND f.arcs = b.arcs GROUP BY b.g"
+
+
 def plans():
     p = _parts
     over = lambda s, d: geo.over_under(geo.ccw(geo.incidences(*reversed(p(s, d)))))
@@ -166,12 +194,13 @@ def plans():
         "incidences": (lambda s, d: geo.incidences(*reversed(p(s, d))).select("g", "kind", "id", "arc_id", r6(F.col("angle"), "angle")), sql("SELECT g, kind, id, arc_id, round(angle, 6) + 0.0 AS angle FROM inc")),
         "ccw_order": (lambda s, d: geo.ccw(geo.incidences(*reversed(p(s, d)))).select("g", "kind", "id", "arc_id", "place"), sql("SELECT g, kind, id, arc_id, place FROM cc")),
         "over_under": (over, sql("SELECT g, id, over, a[1] AS a0, a[2] AS a1, a[3] AS a2, a[4] AS a3 FROM ou")),
-        "pd_code": (lambda s, d: geo.diagram(curves(s, d)).select(F.col("g").alias("curve_id"), "n_vertices", "n_crossings", "pd_code"), sql("SELECT g AS curve_id, n_vertices, n_crossings, pd_code FROM pd")),
+        "pd_code": (lambda s, d: geo.diagram(curves(s, d), cut).select(F.col("g").alias("curve_id"), "n_vertices", "n_crossings", "pd_code"), sql("SELECT g AS curve_id, n_vertices, n_crossings, pd_code FROM pd")),
         "under_flags": (_under, sql("SELECT g, id, a[2] AS arc_id FROM ou UNION ALL SELECT g, id, a[4] FROM ou")),
         "trim_under": (_trim, sql(", ".join(["SELECT g, arc_id", "round(s0 + CAST(0.01 AS DOUBLE), 6) + 0.0 AS s0", "round(s1 - CAST(0.01 AS DOUBLE), 6) + 0.0 AS s1"]) + " FROM ar JOIN (SELECT g, a[2] AS arc_id FROM ou UNION SELECT g, a[4] FROM ou) USING (g, arc_id) WHERE s1 - s0 - 0.02 > 0")),
         "cut_line": (_cut_line, sql("SELECT g, k AS piece, CAST(k AS DOUBLE) AS s0, round(least(k + 1.0::DOUBLE, total), 6) + 0.0 AS s1 FROM (SELECT g, total, unnest(range(CAST(floor(total) AS BIGINT) + 1)) k FROM tl)")),
         "isotopy_projections": (_projections, PROJECTIONS),
         "pd_parse": (lambda s, d: pd_codes.parse(codes_frame(s)).select("code_id", "pos", "kind", F.coalesce("place", F.lit(-1)).alias("place"), F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"), "bad"), f"WITH {CODES_SQL} SELECT code_id, pos, kind, coalesce(place, -1) AS place, CAST(coalesce(label, -1) AS BIGINT) AS label, bad FROM lb"),
         "pd_validate": (lambda s, d: pd_codes.validate(pd_codes.parse(codes_frame(s))), f"WITH {CODES_SQL}, c AS (SELECT code_id, label, count(*) n FROM lb WHERE label IS NOT NULL GROUP BY ALL), w AS (SELECT code_id, count(*) labels, CAST(sum(CASE WHEN n <> 2 THEN 1 ELSE 0 END) AS BIGINT) wrong FROM c GROUP BY code_id), b AS (SELECT code_id, bool_or(bad) bad FROM lb GROUP BY code_id) SELECT code_id, coalesce(labels, 0) AS labels, coalesce(wrong, 0) AS wrong, NOT bad AND coalesce(wrong, 0) = 0 AS ok FROM b LEFT JOIN w USING (code_id)"),
-        "cyclic_equal": (_cyclic, sql("SELECT g, count(*) AS same, count(*) AS n FROM ou GROUP BY g")),
+        "cyclic_equal": (_cyclic, sql(f", bo AS (SELECT g, id, list(arc_id ORDER BY place) b FROM cc WHERE kind = 'x' GROUP BY g, id) SELECT g, CAST(sum(CASE WHEN {turned('a')} = {turned('b')} THEN 1 ELSE 0 END) AS BIGINT) AS same, count(*) AS n FROM ou JOIN bo USING (g, id) GROUP BY g")),
+        "orders_preserved": (_orders, ORDERS),
     }

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import graphs
 from .common import cut
 
-HOT = 2
-
 
 def trade(spark, d):
     """(u, v): one edge per line item, customer nation to supplier nation. Dimension sides are pruned to two columns."""
@@ -24,20 +22,20 @@ def trade(spark, d):
 TRADE = "mg AS (SELECT CAST(c_nationkey AS BIGINT) u, CAST(s_nationkey AS BIGINT) v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
 
 
-def hot(spark, d, k=HOT):
-    """The k most frequent supplier nations of each customer nation, as edges. At most 25 k rows after the count."""
+def whole(spark, d):
+    """The trade multigraph, every line item an edge with an id: equal rows can't be told apart, so ids come from pairs and
+    their counts."""
     n = trade(spark, d).groupBy("u", "v").agg(F.count("*").alias("n"))
-    top = n.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("n"), "v"))).where(F.col("r") <= k)
-    return top.select((F.row_number().over(Window.orderBy("u", "v")) - 1).cast("bigint").alias("eid"), "u", "v")
+    rows = n.select("u", "v", F.explode(F.expr("sequence(0L, n - 1)")).alias("k"))
+    return rows.select(((F.col("u") * 1000 + F.col("v")) * 10**12 + F.col("k")).alias("eid"), "u", "v")
 
 
-def hot_sql(k=HOT):
-    return f"{TRADE}, hc AS (SELECT u, v, count(*) n FROM mg GROUP BY u, v), e AS (SELECT row_number() OVER (ORDER BY u, v) - 1 AS eid, u, v FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n DESC, v) r FROM hc) WHERE r <= {k})"
+WHOLE = f"{TRADE}, e AS (SELECT (u * 1000 + v) * 1000000000000 + k AS eid, u, v FROM (SELECT u, v, unnest(range(n)) k FROM (SELECT u, v, count(*) n FROM mg GROUP BY u, v)))"
 
 
 ENDS = "ends AS (SELECT eid, u AS v, v AS w FROM e UNION ALL SELECT eid, v, u FROM e), deg AS (SELECT v, count(*) AS degree FROM ends GROUP BY v)"
 # components by repeated reach; graphs here have a few dozen vertices
-REACH = "reach AS (SELECT v, v AS w FROM deg UNION SELECT reach.v, ends.w FROM reach JOIN ends ON reach.w = ends.v), comp AS (SELECT v, min(w) component FROM reach GROUP BY v)"
+REACH = "near AS (SELECT DISTINCT v, w FROM ends), reach AS (SELECT v, v AS w FROM deg UNION SELECT reach.v, near.w FROM reach JOIN near ON reach.w = near.v), comp AS (SELECT v, min(w) component FROM reach GROUP BY v)"
 
 
 def walk(spark, d):
@@ -59,16 +57,22 @@ def _canonical(spark, d):
     return graphs.canonical(e).groupBy("u", "v").agg((F.max("k") + 1).cast("bigint").alias("parallel"))
 
 
+def supply(spark, d):
+    """The trade multigraph with every supplier hung on its nation as a leaf."""
+    su = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") + 10**17).cast("bigint").alias("eid"), (F.col("s_suppkey") + 100000).cast("bigint").alias("u"), F.col("s_nationkey").cast("bigint").alias("v"))
+    return whole(spark, d).unionByName(su)
+
+
 def _prune(spark, d):
-    return graphs.prune_leaves(hot(spark, d, 1), cut).select("eid", "u", "v")
+    return graphs.prune_leaves(supply(spark, d), cut).select("eid", "u", "v")
 
 
 def prune_sql():
-    # whatever is left after 30 rounds on at most 25 vertices has no leaves
-    parts = [hot_sql(1).replace("e AS (", "p0 AS (", 1)]
-    for i in range(26):
-        parts.append(f"d{i} AS (SELECT v, count(*) n FROM (SELECT u AS v FROM p{i} UNION ALL SELECT v FROM p{i}) GROUP BY v), p{i + 1} AS (SELECT * FROM p{i} WHERE u NOT IN (SELECT v FROM d{i} WHERE n = 1) AND v NOT IN (SELECT v FROM d{i} WHERE n = 1))")
-    return "WITH " + ", ".join(parts).replace(" AS (SELECT", " AS MATERIALIZED (SELECT") + " SELECT eid, u, v FROM p26"
+    # whatever is left after eight rounds has no leaves
+    parts = [WHOLE, "p0 AS (SELECT * FROM e UNION ALL SELECT s_suppkey + 100000000000000000, s_suppkey + 100000, s_nationkey FROM supplier)"]
+    for i in range(8):
+        parts.append(f"d{i} AS (SELECT v FROM (SELECT u AS v FROM p{i} UNION ALL SELECT v FROM p{i}) GROUP BY v HAVING count(*) = 1), p{i + 1} AS (SELECT * FROM p{i} WHERE u NOT IN (SELECT v FROM d{i}) AND v NOT IN (SELECT v FROM d{i}))")
+    return "WITH " + ", ".join(parts) + " SELECT eid, u, v FROM p8"
 
 
 def forest(spark, d):
@@ -97,14 +101,14 @@ def _chains(spark, d):
 
 
 def forest_ring(spark, d):
-    """The hot graph with every edge cut in two by a vertex of its own, so that it has chains."""
-    e = hot(spark, d, 3)
-    mid = (F.col("eid") + 1000).alias("m")
+    """The trade multigraph with every edge cut in two by a vertex of its own, so that it has chains."""
+    e = whole(spark, d)
+    mid = (F.col("eid") + 10**17).alias("m")
     return e.select((2 * F.col("eid")).alias("eid"), "u", mid.alias("v")).unionByName(e.select((2 * F.col("eid") + 1).alias("eid"), mid.alias("u"), "v"))
 
 
 def _summary(spark, d):
-    e = cut(hot(spark, d))
+    e = cut(whole(spark, d))
     s, c = graphs.summary(e), graphs.cycle_rank(e, cut)
     return s.join(c.select("components", "rank")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("property"), F.col(k).cast("bigint").alias("value")) for k in ("nodes", "edges", "loops", "max_multiplicity", "components", "rank")])).alias("x")).select("x.*")
 
@@ -119,27 +123,27 @@ def _positions(spark, d):
 
 
 def _short(spark, d):
-    return graphs.shortest(hot(spark, d), _positions(spark, d), 1e9).select("eid", "u", "v", (F.round("length", 4) + 0.0).alias("length"), "keep")
+    return graphs.shortest(whole(spark, d), _positions(spark, d), 1e9).select("eid", "u", "v", (F.round("length", 4) + 0.0).alias("length"), "keep")
 
 
-SHORT = f"WITH {hot_sql()}, {ENDS}, pos AS (SELECT CAST(c_nationkey AS BIGINT) v, round(avg(c_acctbal), 2) x, round(min(c_acctbal), 2) y, round(max(c_acctbal), 2) z FROM customer GROUP BY 1), l AS (SELECT eid, e.u, e.v, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS length, a.degree da, b.degree db FROM e JOIN pos p ON p.v = e.u JOIN pos q ON q.v = e.v JOIN deg a ON a.v = e.u JOIN deg b ON b.v = e.v WHERE e.u <> e.v) SELECT eid, u, v, round(length, 4) + 0.0 AS length, CASE WHEN da > db OR (da = db AND CAST(u AS VARCHAR) <= CAST(v AS VARCHAR)) THEN u ELSE v END AS keep FROM l ORDER BY length, eid LIMIT 1"
+SHORT = f"WITH {WHOLE}, {ENDS}, pos AS (SELECT CAST(c_nationkey AS BIGINT) v, round(avg(c_acctbal), 2) x, round(min(c_acctbal), 2) y, round(max(c_acctbal), 2) z FROM customer GROUP BY 1), l AS (SELECT eid, e.u, e.v, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS length, a.degree da, b.degree db FROM e JOIN pos p ON p.v = e.u JOIN pos q ON q.v = e.v JOIN deg a ON a.v = e.u JOIN deg b ON b.v = e.v WHERE e.u <> e.v) SELECT eid, u, v, round(length, 4) + 0.0 AS length, CASE WHEN da > db OR (da = db AND CAST(u AS VARCHAR) <= CAST(v AS VARCHAR)) THEN u ELSE v END AS keep FROM l ORDER BY length, eid LIMIT 1"
 
 
 def _contract(spark, d):
-    e = cut(hot(spark, d))
+    e = cut(whole(spark, d))
     return graphs.contract(e, graphs.pick_edge(e).first()["eid"])
 
 
 def _delete(spark, d):
-    e = cut(hot(spark, d))
+    e = cut(whole(spark, d))
     return graphs.delete(e, graphs.pick_edge(e).first()["eid"])
 
 
 def _minor(spark, d):
-    """Whether K3 and K4 are minors of small graphs: each customer nation's neighbourhood in the hot graph."""
+    """Whether K3 and K4 are minors of small graphs: each nation's neighbourhood in the trade graph."""
     from ..operators.kernels import minors
 
-    e = cut(hot(spark, d, 3))
+    e = cut(whole(spark, d))
     near = graphs.ends(e).select(F.col("v").alias("graph_id"), F.col("w").alias("x")).where("graph_id <> x").distinct()
     a, b = near.select("graph_id", F.col("x").alias("u")), near.select("graph_id", F.col("x").alias("v"))
     sub = graphs.simple(e).join(a, "u").join(b, ["graph_id", "v"]).select("graph_id", "u", "v")
@@ -147,25 +151,25 @@ def _minor(spark, d):
 
 
 def _wl(spark, d):
-    return graphs.wl_key(graphs.wl_hash(hot(spark, d)))
+    return graphs.wl_key(graphs.wl_hash(whole(spark, d)))
 
 
 def wl_sql():
-    sql = f"WITH {hot_sql()}, sp AS (SELECT DISTINCT least(u, v) u, greatest(u, v) v FROM e WHERE u <> v), nb AS (SELECT u, v FROM sp UNION ALL SELECT v, u FROM sp), l0 AS (SELECT u AS v, CAST(count(*) AS VARCHAR) label FROM nb GROUP BY u)"
+    sql = f"WITH {WHOLE}, sp AS (SELECT DISTINCT least(u, v) u, greatest(u, v) v FROM e WHERE u <> v), nb AS (SELECT u, v FROM sp UNION ALL SELECT v, u FROM sp), l0 AS (SELECT u AS v, CAST(count(*) AS VARCHAR) label FROM nb GROUP BY u)"
     for i in range(3):
         sql += f", t{i} AS (SELECT nb.u, string_agg(l.label, ',' ORDER BY l.label) around FROM nb JOIN l{i} l ON l.v = nb.v GROUP BY nb.u), l{i + 1} AS (SELECT l.v, md5(l.label || '|' || t.around) label FROM l{i} l JOIN t{i} t ON t.u = l.v)"
     return sql + ", c AS (SELECT label || ':' || count(*) s FROM l3 GROUP BY label) SELECT md5(string_agg(s, ';' ORDER BY s)) AS wl_hash FROM c"
 
 
-LABEL = f"WITH {hot_sql()}, i AS (SELECT v AS x, row_number() OVER (ORDER BY CAST(v AS VARCHAR)) - 1 AS id FROM (SELECT u AS v FROM e UNION SELECT v FROM e)), p AS (SELECT least(a.id, b.id) a, greatest(a.id, b.id) b FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v)"
-CANON = f"WITH {hot_sql()}, {ENDS}, lo AS (SELECT u AS v, count(*) loops FROM e WHERE u = v GROUP BY u), ar AS (SELECT ends.v, string_agg(lpad(CAST(d.degree AS VARCHAR), 6, '0'), ',' ORDER BY d.degree) around FROM ends JOIN deg d ON d.v = ends.w GROUP BY ends.v), i AS (SELECT deg.v AS x, row_number() OVER (ORDER BY degree, coalesce(loops, 0), around, deg.v) - 1 AS id FROM deg LEFT JOIN lo ON lo.v = deg.v JOIN ar ON ar.v = deg.v), p AS (SELECT least(a.id, b.id) a, greatest(a.id, b.id) b FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v)"
+LABEL = f"WITH {WHOLE}, i AS (SELECT v AS x, row_number() OVER (ORDER BY CAST(v AS VARCHAR)) - 1 AS id FROM (SELECT u AS v FROM e UNION SELECT v FROM e)), p AS (SELECT least(a.id, b.id) a, greatest(a.id, b.id) b FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v)"
+CANON = f"WITH {WHOLE}, {ENDS}, lo AS (SELECT u AS v, count(*) loops FROM e WHERE u = v GROUP BY u), ar AS (SELECT ends.v, string_agg(lpad(CAST(d.degree AS VARCHAR), 6, '0'), ',' ORDER BY d.degree) around FROM ends JOIN deg d ON d.v = ends.w GROUP BY ends.v), i AS (SELECT deg.v AS x, row_number() OVER (ORDER BY degree, coalesce(loops, 0), around, deg.v) - 1 AS id FROM deg LEFT JOIN lo ON lo.v = deg.v JOIN ar ON ar.v = deg.v), p AS (SELECT least(a.id, b.id) a, greatest(a.id, b.id) b FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v)"
 LIST = "string_agg(a || '-' || b, ',' ORDER BY a, b)"
-DIST = f"WITH RECURSIVE {hot_sql()}, nb AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v), vs AS (SELECT DISTINCT u FROM nb), bf AS (SELECT u AS src, u AS dst, 0 AS d FROM vs UNION SELECT src, nb.v, d + 1 FROM bf JOIN nb ON nb.u = bf.dst WHERE d < 12), di AS (SELECT src, dst, min(d) d FROM bf GROUP BY src, dst), n AS (SELECT count(*) n FROM (SELECT u FROM e UNION SELECT v FROM e))"
-PICK = f"WITH {hot_sql()}, pick AS (SELECT * FROM e WHERE u <> v ORDER BY eid LIMIT 1)"
+DIST = f"WITH RECURSIVE {WHOLE}, nb AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v), vs AS (SELECT DISTINCT u FROM nb), bf AS (SELECT u AS src, u AS dst, 0 AS d FROM vs UNION SELECT src, nb.v, d + 1 FROM bf JOIN nb ON nb.u = bf.dst WHERE d < 12), di AS (SELECT src, dst, min(d) d FROM bf GROUP BY src, dst), n AS (SELECT count(*) n FROM (SELECT u FROM e UNION SELECT v FROM e))"
+PICK = f"WITH {WHOLE}, pick AS (SELECT * FROM e WHERE u <> v ORDER BY eid LIMIT 1)"
 
 
 def plans():
-    comp = f"WITH RECURSIVE {hot_sql()}, {ENDS}, {REACH}"
+    comp = f"WITH RECURSIVE {WHOLE}, {ENDS}, {REACH}"
     return {
         "graph_counts": (lambda s, d: graphs.summary(part_supp(s, d)).select("nodes", "edges"), "WITH e AS (SELECT DISTINCT l_partkey u, l_suppkey + 1000000000 v FROM lineitem) SELECT (SELECT count(*) FROM (SELECT u FROM e UNION SELECT v FROM e)) AS nodes, (SELECT count(*) FROM e) AS edges"),
         "canonical_edges": (_canonical, f"WITH {TRADE} SELECT least(u, v) AS u, greatest(u, v) AS v, count(*) AS parallel FROM mg GROUP BY 1, 2"),
@@ -176,19 +180,19 @@ def plans():
         "graph_summary": (_summary, comp + f", {SUMMARY_CTE} SELECT unnest(['nodes', 'edges', 'loops', 'max_multiplicity', 'components', 'rank']) AS property, unnest([nodes, edges, loops, max_multiplicity, components, edges - nodes + components]) AS value FROM s"),
         "components": (lambda s, d: graphs.connected(orders_forest(s, d), cut).groupBy("component").agg(F.count("*").alias("vertices")), "SELECT CAST(o_custkey AS BIGINT) AS component, count(*) + 1 AS vertices FROM orders GROUP BY o_custkey"),
         "forest_components": (lambda s, d: graphs.connected(forest(s, d), cut), f"WITH RECURSIVE {FOREST}, {ENDS}, r AS (SELECT v, v AS root FROM deg WHERE v < 1000 UNION ALL SELECT ends.v, r.root FROM r JOIN ends ON ends.w = r.v WHERE ends.v > r.v) SELECT v, root AS component FROM r"),
-        "has_cycle": (lambda s, d: graphs.cycle_rank(cut(hot(s, d)), cut).select("vertices", "edges", "components", "has_cycle"), comp + " SELECT count(*) AS vertices, (SELECT count(*) FROM e) AS edges, count(DISTINCT component) AS components, (SELECT count(*) FROM e) - count(*) + count(DISTINCT component) > 0 AS has_cycle FROM comp"),
-        "is_trivalent": (lambda s, d: graphs.is_trivalent(hot(s, d)), f"WITH {hot_sql()}, {ENDS} SELECT max(degree) <= 3 AS is_trivalent FROM deg"),
+        "has_cycle": (lambda s, d: graphs.cycle_rank(cut(whole(s, d)), cut).select("vertices", "edges", "components", "has_cycle"), comp + " SELECT count(*) AS vertices, (SELECT count(*) FROM e) AS edges, count(DISTINCT component) AS components, (SELECT count(*) FROM e) - count(*) + count(DISTINCT component) > 0 AS has_cycle FROM comp"),
+        "is_trivalent": (lambda s, d: graphs.is_trivalent(whole(s, d)), f"WITH {WHOLE}, {ENDS} SELECT max(degree) <= 3 AS is_trivalent FROM deg"),
         "prune_leaves": (_prune, prune_sql()),
-        "contract_chains": (_chains, f"WITH {hot_sql(3)} SELECT least(u, v) AS u, greatest(u, v) AS v, CAST(2 AS BIGINT) AS edges FROM e"),
-        "simplify_edges": (lambda s, d: graphs.simplify(forest_ring(s, d), cut), f"WITH {hot_sql(3)}, {ENDS}, i AS (SELECT v AS x, row_number() OVER (ORDER BY v) - 1 AS id FROM deg) SELECT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v, CAST(2 AS BIGINT) AS edges FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v"),
-        "diameter_avgpath": (lambda s, d: graphs.diameter(cut(hot(s, d)), cut).select("is_connected", "diameter", (F.round("average_path", 6) + 0.0).alias("average_path")), DIST + " SELECT count(*) = max(n) * max(n) AS is_connected, CASE WHEN count(*) = max(n) * max(n) THEN CAST(max(d) AS BIGINT) END AS diameter, CASE WHEN count(*) = max(n) * max(n) THEN round(CAST(sum(d) AS DOUBLE) / (max(n) * (max(n) - 1)), 6) + 0.0 END AS average_path FROM di, n"),
+        "contract_chains": (_chains, f"WITH {WHOLE} SELECT least(u, v) AS u, greatest(u, v) AS v, CAST(2 AS BIGINT) AS edges FROM e"),
+        "simplify_edges": (lambda s, d: graphs.simplify(forest_ring(s, d), cut), f"WITH {WHOLE}, {ENDS}, i AS (SELECT v AS x, row_number() OVER (ORDER BY v) - 1 AS id FROM deg) SELECT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v, CAST(2 AS BIGINT) AS edges FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v"),
+        "diameter_avgpath": (lambda s, d: graphs.diameter(cut(whole(s, d)), cut).select("is_connected", "diameter", (F.round("average_path", 6) + 0.0).alias("average_path")), DIST + " SELECT count(*) = max(n) * max(n) AS is_connected, CASE WHEN count(*) = max(n) * max(n) THEN CAST(max(d) AS BIGINT) END AS diameter, CASE WHEN count(*) = max(n) * max(n) THEN round(CAST(sum(d) AS DOUBLE) / (max(n) * (max(n) - 1)), 6) + 0.0 END AS average_path FROM di, n"),
         "wl_hash": (_wl, wl_sql()),
-        "label_key": (lambda s, d: graphs.label_key(hot(s, d)), LABEL + f" SELECT (SELECT count(*) FROM i) AS n, {LIST} AS edge_list FROM p"),
-        "canonical_key": (lambda s, d: graphs.canonical_key(hot(s, d)), CANON + f" SELECT (SELECT count(*) FROM i) AS n, sha256((SELECT count(*) FROM i) || '|' || {LIST}) AS canonical_key FROM p"),
-        "pick_edge": (lambda s, d: graphs.pick_edge(hot(s, d)), PICK + " SELECT eid, u, v FROM pick"),
+        "label_key": (lambda s, d: graphs.label_key(whole(s, d)), LABEL + f" SELECT (SELECT count(*) FROM i) AS n, {LIST} AS edge_list FROM p"),
+        "canonical_key": (lambda s, d: graphs.canonical_key(whole(s, d)), CANON + f" SELECT (SELECT count(*) FROM i) AS n, sha256((SELECT count(*) FROM i) || '|' || {LIST}) AS canonical_key FROM p"),
+        "pick_edge": (lambda s, d: graphs.pick_edge(whole(s, d)), PICK + " SELECT eid, u, v FROM pick"),
         "edge_delete": (_delete, PICK + " SELECT eid, u, v FROM e WHERE eid <> (SELECT eid FROM pick)"),
         "edge_contract": (_contract, PICK + ", g AS (SELECT greatest(u, v) gone, least(u, v) keep FROM pick) SELECT eid, CASE WHEN u = gone THEN keep ELSE u END AS u, CASE WHEN v = gone THEN keep ELSE v END AS v FROM e, g WHERE eid <> (SELECT eid FROM pick)"),
-        "minor_k3": (lambda s, d: graphs.cycle_rank(graphs.simple(hot(s, d)).withColumn("eid", F.xxhash64("u", "v")), cut).select(F.col("has_cycle").alias("has_k3_minor")), comp + ", sg AS (SELECT DISTINCT least(u, v) u, greatest(u, v) v FROM e WHERE u <> v) SELECT (SELECT count(*) FROM sg) - count(*) + count(DISTINCT component) > 0 AS has_k3_minor FROM comp"),
+        "minor_k3": (lambda s, d: graphs.cycle_rank(graphs.simple(whole(s, d)).withColumn("eid", F.xxhash64("u", "v")), cut).select(F.col("has_cycle").alias("has_k3_minor")), comp + ", sg AS (SELECT DISTINCT least(u, v) u, greatest(u, v) v FROM e WHERE u <> v) SELECT (SELECT count(*) FROM sg) - count(*) + count(DISTINCT component) > 0 AS has_k3_minor FROM comp"),
         "minor": (_minor, None),
         "contract_short_step": (_short, SHORT),
     }
