@@ -59,19 +59,20 @@ def rest_lengths(points: DataFrame) -> DataFrame:
 
 
 def relax_step(particles: DataFrame, springs: DataFrame, repulsion: float, stiffness: float, dt: float) -> DataFrame:
-    """particles(pid, x, y) after one step of pairwise repulsion k / d^2 and springs(a, b, rest) of force k ln(d / rest).
-    All pairs act on each other, as the layout asks; the particles of one diagram are few."""
+    """particles(g, pid, x, y) after one step of pairwise repulsion k / d^2 and springs(a, b, rest) of force k ln(d / rest).
+    All pairs of a diagram g act on each other, as the layout asks, and they are few; pids are told apart over all."""
     a, b = particles.alias("a"), particles.alias("b")
     dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
     d2 = dx * dx + dy * dy + 1e-6
-    push = a.join(b, F.col("a.pid") != F.col("b.pid")).select(F.col("a.pid").alias("pid"), (repulsion * dx / (d2 * F.sqrt(d2))).alias("fx"), (repulsion * dy / (d2 * F.sqrt(d2))).alias("fy"))
+    push = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.pid") != F.col("b.pid"))).select(F.col("a.pid").alias("pid"), (repulsion * dx / (d2 * F.sqrt(d2))).alias("fx"), (repulsion * dy / (d2 * F.sqrt(d2))).alias("fy"))
     both = springs.select(F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q"), "rest"), F.struct(F.col("b").alias("p"), F.col("a").alias("q"), "rest"))).alias("s")).select("s.*")
-    p, q = particles.toDF("p", "px", "py"), particles.toDF("q", "qx", "qy")
+    at = particles.select("pid", "x", "y")
+    p, q = at.toDF("p", "px", "py"), at.toDF("q", "qx", "qy")
     ex, ey = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
     d = F.sqrt(ex * ex + ey * ey + 1e-6)
     pull = both.join(p, "p").join(q, "q").select(F.col("p").alias("pid"), (stiffness * F.log(d / F.col("rest")) * ex / d).alias("fx"), (stiffness * F.log(d / F.col("rest")) * ey / d).alias("fy"))
     force = push.unionByName(pull).groupBy("pid").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-    return particles.join(force, "pid", "left").select("pid", (F.col("x") + dt * F.coalesce("fx", F.lit(0.0))).alias("x"), (F.col("y") + dt * F.coalesce("fy", F.lit(0.0))).alias("y"))
+    return particles.join(force, "pid", "left").select("g", "pid", (F.col("x") + dt * F.coalesce("fx", F.lit(0.0))).alias("x"), (F.col("y") + dt * F.coalesce("fy", F.lit(0.0))).alias("y"))
 
 
 def tangents(points: DataFrame) -> DataFrame:
@@ -84,15 +85,15 @@ def tangents(points: DataFrame) -> DataFrame:
 
 
 def tangent_repulsion(points: DataFrame, k: float) -> DataFrame:
-    """(g, seq, fx, fy): forces k / (perp^2 d^2) between points of different curves, perp the distance from the other's
-    tangent line."""
-    rows = tangents(points).select("g", "seq", "x", "y", "tx", "ty")
+    """(d, g, seq, fx, fy): forces k / (perp^2 d^2) between points of different curves g of one diagram d, perp the distance
+    from the other's tangent line. points: (d, g, seq, x, y)."""
+    rows = tangents(points).select("d", "g", "seq", "x", "y", "tx", "ty")
     a, b = rows.alias("a"), rows.alias("b")
     dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
     perp = dx * F.col("b.ty") - dy * F.col("b.tx")
     d2 = dx * dx + dy * dy + 1e-6
     f = k / ((perp * perp + 1e-6) * d2)
-    return a.join(b, F.col("a.g") != F.col("b.g")).groupBy(F.col("a.g").alias("g"), F.col("a.seq").alias("seq")).agg(F.sum(f * dx / F.sqrt(d2)).alias("fx"), F.sum(f * dy / F.sqrt(d2)).alias("fy"))
+    return a.join(b, (F.col("a.d") == F.col("b.d")) & (F.col("a.g") != F.col("b.g"))).groupBy(F.col("a.d").alias("d"), F.col("a.g").alias("g"), F.col("a.seq").alias("seq")).agg(F.sum(f * dx / F.sqrt(d2)).alias("fx"), F.sum(f * dy / F.sqrt(d2)).alias("fy"))
 
 
 def bezier(arcs: DataFrame, steps: int = 10, reach: float = 0.35) -> DataFrame:
@@ -146,6 +147,51 @@ def glue_endpoints(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(moved, ["g", "tip"], "left").select("g", "seq", *[F.coalesce(f"m{a}", a).alias(a) for a in "xyz"])
 
 
+def replace_endpoint(points: DataFrame, moves: DataFrame) -> DataFrame:
+    """points with one end of each moved curve put elsewhere: the end that is closer to the old place, the first if both
+    are. moves: (g, ox, oy, oz, nx, ny, nz)."""
+    w = Window.partitionBy("g")
+    rows = points.join(moves, "g", "left")
+    far = F.sqrt(sum(((F.col(a) - F.col(f"o{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
+    rows = rows.withColumns({"first": F.min("seq").over(w), "last": F.max("seq").over(w), "far": far})
+    at = lambda k: F.max(F.when(F.col("seq") == F.col(k), F.col("far"))).over(w)
+    rows = rows.withColumn("goes", F.when(at("first") <= at("last"), F.col("first")).otherwise(F.col("last")))
+    moved = F.col("nx").isNotNull() & (F.col("seq") == F.col("goes"))
+    return rows.select("g", "seq", *[F.when(moved, F.col(f"n{a}")).otherwise(F.col(a)).alias(a) for a in "xyz"])
+
+
+def tubes(points: DataFrame, radius: float, sides: int = 8) -> DataFrame:
+    """(g, seq, side, x, y, z): rings of `sides` points around each curve's points, across its direction by central
+    differences; the table a drawing of tubes is made of."""
+    w = Window.partitionBy("g").orderBy("seq")
+    d = {a: F.coalesce(F.lead(a).over(w), F.col(a)) - F.coalesce(F.lag(a).over(w), F.col(a)) for a in "xyz"}
+    rows = points.withColumns({f"d{a}": v for a, v in d.items()})
+    n = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2)
+    rows = rows.where(n > 0).withColumns({f"d{a}": F.col(f"d{a}") / n for a in "xyz"})
+    # a first normal: the direction crossed with the axis that it is furthest from
+    flat = F.abs("dz") < 0.9
+    ux, uy, uz = F.when(flat, F.col("dy")).otherwise(0.0), F.when(flat, -F.col("dx")).otherwise(F.col("dz")), F.when(flat, 0.0).otherwise(-F.col("dy"))
+    rows = rows.withColumns({"ux": ux, "uy": uy, "uz": uz})
+    m = F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2)
+    rows = rows.withColumns({f"u{a}": F.col(f"u{a}") / m for a in "xyz"})
+    cross = {"x": "dy * uz - dz * uy", "y": "dz * ux - dx * uz", "z": "dx * uy - dy * ux"}
+    rows = rows.withColumns({f"v{a}": F.expr(e) for a, e in cross.items()}).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    t = F.col("side") * (2 * math.pi / sides)
+    return rows.select("g", "seq", "side", *[(F.col(a) + radius * (F.cos(t) * F.col(f"u{a}") + F.sin(t) * F.col(f"v{a}"))).alias(a) for a in "xyz"])
+
+
+def tube_triangles(rings: DataFrame, sides: int = 8) -> DataFrame:
+    """(g, seq, side, half, a, b, c): the triangles between a ring and the next, two a side; corners are numbered
+    place * sides + side, place counting a curve's rings from 0."""
+    w = Window.partitionBy("g").orderBy("seq")
+    rows = rings.select("g", "seq").distinct().select("g", "seq", (F.row_number().over(w) - 1).alias("place"), F.lead("seq").over(w).alias("next")).where("next IS NOT NULL")
+    rows = rows.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    here, there, turn = F.col("place") * sides, (F.col("place") + 1) * sides, (F.col("side") + 1) % sides
+    one = F.struct(F.lit(0).alias("half"), (here + F.col("side")).alias("a"), (here + turn).alias("b"), (there + F.col("side")).alias("c"))
+    two = F.struct(F.lit(1).alias("half"), (here + turn).alias("a"), (there + turn).alias("b"), (there + F.col("side")).alias("c"))
+    return rows.select("g", "seq", "side", F.explode(F.array(one, two)).alias("t")).select("g", "seq", "side", "t.*")
+
+
 def recenter(points: DataFrame) -> DataFrame:
     """points less the mean of their curve."""
     w = Window.partitionBy("g")

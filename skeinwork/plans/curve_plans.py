@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import curves as cv
@@ -22,59 +23,77 @@ def xyz(df, *keys):
     return df.select(*keys, *[r6(F.col(a), a) for a in "xyz"])
 
 
-def flat(spark, d):
-    """The first six points of each curve, as particles in the plane."""
-    return curves(spark, d).where("seq < 6")
+def groups(spark, d, size):
+    """Short curves that take up all vectors: `size` of them after one another make a curve g."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("bigint").alias("i"), F.slice("embedding", 1, 3).alias("e"))
+    return e.select(F.floor(F.col("i") / size).alias("g"), (F.col("i") % size).alias("seq"), *[F.col("e")[k].cast("double").alias(a) for k, a in enumerate("xyz")])
+
+
+def groups_sql(size):
+    return f"p AS (SELECT CAST(vec_id AS BIGINT) // {size} g, CAST(vec_id AS BIGINT) % {size} seq, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z FROM embeddings)"
+
+
+def diagrams(spark, d):
+    """(particles, springs): curves of six points as diagrams of their own."""
+    p = groups(spark, d, 6)
+    springs = p.select((F.col("g") * 6 + F.col("seq")).alias("a"), (F.col("g") * 6 + F.col("seq") + 1).alias("b"), F.lit(0.5).alias("rest"), "g", "seq")
+    return p.select("g", (F.col("g") * 6 + F.col("seq")).alias("pid"), "x", "y"), springs.where("seq < 5").select("g", "a", "b", "rest")
 
 
 def _relax(spark, d):
-    p = flat(spark, d).select((F.col("g") * 100 + F.col("seq")).alias("pid"), "x", "y")
-    s = flat(spark, d).where("seq < 5").select((F.col("g") * 100 + F.col("seq")).alias("a"), (F.col("g") * 100 + F.col("seq") + 1).alias("b"), F.lit(0.5).alias("rest"))
-    return cv.relax_step(p, s, 0.01, 0.1, 0.05).select("pid", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
+    p, s = diagrams(spark, d)
+    return cv.relax_step(p, s.drop("g"), 0.01, 0.1, 0.05).select("pid", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
+
+
+RELAX = f"""WITH {groups_sql(6)}, q AS (SELECT g, g * 6 + seq pid, x, y FROM p), ps AS (SELECT a.pid, 0.01::DOUBLE * (a.x - b.x) / (d2 * sqrt(d2)) fx, 0.01::DOUBLE * (a.y - b.y) / (d2 * sqrt(d2)) fy FROM (SELECT a, b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + 1e-6 d2 FROM q a JOIN q b ON a.g = b.g AND a.pid <> b.pid)),
+sp AS (SELECT a.pid p, b.pid q, a.x px, a.y py, b.x qx, b.y qy, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + 1e-6) d FROM q a JOIN q b ON a.g = b.g AND abs(a.pid - b.pid) = 1),
+f AS (SELECT pid, sum(fx) fx, sum(fy) fy FROM (SELECT * FROM ps UNION ALL SELECT p, 0.1::DOUBLE * ln(d / 0.5) * (qx - px) / d, 0.1::DOUBLE * ln(d / 0.5) * (qy - py) / d FROM sp) GROUP BY pid) SELECT pid, round(x + 0.05::DOUBLE * fx, 6) + 0.0 AS x, round(y + 0.05::DOUBLE * fy, 6) + 0.0 AS y FROM q JOIN f USING (pid)"""
+
 
+def _tangent(spark, d):
+    p = groups(spark, d, 6).select(F.floor(F.col("g") / 5).alias("d"), "g", "seq", "x", "y")
+    return cv.tangent_repulsion(p, 0.001).select("g", "seq", (F.round("fx", 4) + 0.0).alias("fx"), (F.round("fy", 4) + 0.0).alias("fy"))
 
-RELAX = f"""WITH {PTS}, p AS (SELECT g * 100 + seq pid, x, y FROM pts WHERE abs(seq) < 6), ps AS (SELECT a.pid, 0.01::DOUBLE * (a.x - b.x) / (d2 * sqrt(d2)) fx, 0.01::DOUBLE * (a.y - b.y) / (d2 * sqrt(d2)) fy FROM (SELECT a, b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + 1e-6 d2 FROM p a JOIN p b ON a.pid <> b.pid)),
-sp AS (SELECT a.pid p, b.pid q, a.x px, a.y py, b.x qx, b.y qy, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + 1e-6) d FROM p a JOIN p b ON a.pid // 100 = b.pid // 100 AND abs(a.pid - b.pid) = 1),
-f AS (SELECT pid, sum(fx) fx, sum(fy) fy FROM (SELECT * FROM ps UNION ALL SELECT p, 0.1::DOUBLE * ln(d / 0.5) * (qx - px) / d, 0.1::DOUBLE * ln(d / 0.5) * (qy - py) / d FROM sp) GROUP BY pid) SELECT pid, round(x + 0.05::DOUBLE * fx, 6) + 0.0 AS x, round(y + 0.05::DOUBLE * fy, 6) + 0.0 AS y FROM p JOIN f USING (pid)"""
 
-TANGENT = f"""WITH {PTS}, p AS (SELECT * FROM pts WHERE abs(seq) < 6), t0 AS (SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) ax, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) ay FROM p WINDOW w AS (PARTITION BY g ORDER BY seq)),
-t AS (SELECT g, seq, x, y, ax / sqrt(ax * ax + ay * ay) tx, ay / sqrt(ax * ax + ay * ay) ty FROM t0), m AS (SELECT a.g, a.seq, a.x - b.x dx, a.y - b.y dy, b.tx, b.ty FROM t a JOIN t b ON a.g <> b.g), n AS (SELECT *, dx * dx + dy * dy + 1e-6 d2, (dx * ty - dy * tx) ** 2 + 1e-6 p2 FROM m)
+TANGENT = f"""WITH {groups_sql(6)}, t0 AS (SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) ax, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) ay FROM p WINDOW w AS (PARTITION BY g ORDER BY seq)),
+t AS (SELECT g, seq, x, y, ax / sqrt(ax * ax + ay * ay) tx, ay / sqrt(ax * ax + ay * ay) ty FROM t0), m AS (SELECT a.g, a.seq, a.x - b.x dx, a.y - b.y dy, b.tx, b.ty FROM t a JOIN t b ON a.g // 5 = b.g // 5 AND a.g <> b.g), n AS (SELECT *, dx * dx + dy * dy + 1e-6 d2, (dx * ty - dy * tx) ** 2 + 1e-6 p2 FROM m)
 SELECT g, seq, round(sum(0.001::DOUBLE / (p2 * d2) * dx / sqrt(d2)), 4) + 0.0 AS fx, round(sum(0.001::DOUBLE / (p2 * d2) * dy / sqrt(d2)), 4) + 0.0 AS fy FROM n GROUP BY g, seq"""
 
 
 def _bezier(spark, d):
-    p = curves(spark, d)
-    a = p.where("seq = 0").select(F.col("g").alias("aid"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("a1"))
-    b = p.where("seq = 1").select(F.col("g").alias("aid"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("a2"))
-    return cv.bezier(a.join(b, "aid")).select("aid", "k", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
+    """A cubic from every point of a curve to the next."""
+    w = Window.partitionBy("g").orderBy("seq")
+    arcs = curves(spark, d).select((F.col("g") * 10**6 + F.col("seq")).alias("aid"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("a1"), *[F.lead(c).over(w).alias(n) for c, n in (("x", "x2"), ("y", "y2"), ("z", "a2"))])
+    return cv.bezier(arcs.where("x2 IS NOT NULL")).select("aid", "k", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
 
 
 def bez(a, f):
     return f"round((1 - t) ** 3 * {a}1 + 3 * (1 - t) ** 2 * t * ({a}1 + c * {f}(a1)) + 3 * (1 - t) * t ** 2 * ({a}2 + c * {f}(a2)) + t ** 3 * {a}2, 6) + 0.0 AS {a}"
 
 
-BEZIER = f"WITH {PTS}, e AS (SELECT p.g aid, p.x x1, p.y y1, p.z a1, q.x x2, q.y y2, q.z a2, 0.35 * sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) c FROM pts p JOIN pts q ON p.g = q.g AND p.seq = 0 AND q.seq = 1), k AS (SELECT *, unnest(range(11)) k FROM e), t AS (SELECT *, k / 10.0::DOUBLE t FROM k) SELECT aid, k, {bez('x', 'cos')}, {bez('y', 'sin')} FROM t"
+BEZIER = f"WITH {PTS}, e AS (SELECT p.g * 1000000 + p.seq aid, p.x x1, p.y y1, p.z a1, q.x x2, q.y y2, q.z a2, 0.35 * sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) c FROM pts p JOIN pts q ON p.g = q.g AND q.seq = p.seq + 1), k AS (SELECT *, unnest(range(11)) k FROM e), t AS (SELECT *, k / 10.0::DOUBLE t FROM k) SELECT aid, k, {bez('x', 'cos')}, {bez('y', 'sin')} FROM t"
 
 
 def _glue(spark, d):
-    p = flat(spark, d)
+    p = groups(spark, d, 6)
     nodes = p.select("g").distinct().select("g", F.explode(F.array(F.struct(F.lit(0).alias("tip"), (F.col("g") % 3).alias("node")), F.struct(F.lit(1).alias("tip"), (F.col("g") % 3 + 10).alias("node")))).alias("t")).select("g", "t.*")
     return xyz(cv.glue_endpoints(p, nodes), "g", "seq")
 
 
-GLUE = f"WITH {PTS}, p AS (SELECT *, CASE WHEN seq = 0 THEN g % 3 WHEN seq = 5 THEN g % 3 + 10 ELSE NULL END node FROM pts WHERE abs(seq) < 6), m AS (SELECT node, avg(x) mx, avg(y) my, avg(z) mz FROM p WHERE node IS NOT NULL GROUP BY node) SELECT g, seq, round(coalesce(mx, x), 6) + 0.0 AS x, round(coalesce(my, y), 6) + 0.0 AS y, round(coalesce(mz, z), 6) + 0.0 AS z FROM p LEFT JOIN m USING (node)"
+GLUE = f"WITH {groups_sql(6).replace('p AS', 'p0 AS')}, p AS (SELECT *, CASE WHEN seq = 0 THEN g % 3 WHEN seq = max(seq) OVER (PARTITION BY g) THEN g % 3 + 10 ELSE NULL END node FROM p0), m AS (SELECT node, avg(x) mx, avg(y) my, avg(z) mz FROM p WHERE node IS NOT NULL GROUP BY node) SELECT g, seq, round(coalesce(mx, x), 6) + 0.0 AS x, round(coalesce(my, y), 6) + 0.0 AS y, round(coalesce(mz, z), 6) + 0.0 AS z FROM p LEFT JOIN m USING (node)"
 
 
 def _pdb_lines(spark, d):
-    """Embeddings written as the fixed-width records of a structure: alpha carbons between other atoms."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 400")
+    """Embeddings written as the fixed-width records of a structure: alpha carbons between other atoms. Residues are
+    numbered up to 9,999 and then once more under the next insertion code."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
     v = lambda k: F.round(F.col("embedding")[k].cast("double") * 10, 3)
-    line = lambda atom, n: F.format_string("%-6s%5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f", F.lit("ATOM"), n, F.lit(atom), F.lit("GLY"), F.when(F.col("label") % 2 == 0, "A").otherwise("B"), F.col("vec_id"), v(0), v(1), v(2))
+    line = lambda atom, n: F.format_string("%-6s%5d %-4s %3s %1s%4d%1s   %8.3f%8.3f%8.3f", F.lit("ATOM"), n % 100000, F.lit(atom), F.lit("GLY"), F.when(F.col("label") % 2 == 0, "A").otherwise("B"), F.col("vec_id") % 10000, F.when(F.col("vec_id") < 10000, " ").otherwise(F.char(64 + F.floor(F.col("vec_id") / 10000))), v(0), v(1), v(2))
     both = F.array(F.struct((3 * F.col("vec_id")).alias("n"), line(" N", 3 * F.col("vec_id")).alias("value")), F.struct((3 * F.col("vec_id") + 1).alias("n"), line(" CA", 3 * F.col("vec_id") + 1).alias("value")), F.struct((3 * F.col("vec_id") + 2).alias("n"), F.concat(F.lit("HETATM"), F.substring(line(" CA", 3 * F.col("vec_id") + 2), 7, 80)).alias("value")))
     return e.select(F.explode(both).alias("r")).select("r.*")
 
 
-PDB = "ca AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, CAST(vec_id AS INTEGER) AS res_seq, round(CAST(embedding[1] AS DOUBLE) * 10, 3) x, round(CAST(embedding[2] AS DOUBLE) * 10, 3) y, round(CAST(embedding[3] AS DOUBLE) * 10, 3) z FROM embeddings WHERE vec_id < 400 AND label % 2 = 0)"
+PDB = "ca AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, CAST(vec_id % 10000 AS INTEGER) AS res_seq, round(CAST(embedding[1] AS DOUBLE) * 10, 3) x, round(CAST(embedding[2] AS DOUBLE) * 10, 3) y, round(CAST(embedding[3] AS DOUBLE) * 10, 3) z FROM embeddings WHERE label % 2 = 0)"
 ARCS = [(0, 0, 10, 20), (0, 1, 40, 35), (1, 0, 10, 2), (2, 0, 5, 30), (2, 1, 50, 52)]
 
 
@@ -125,9 +144,67 @@ def _kron(spark, d):
 
 
 def _hermite(spark, d):
-    p = curves(spark, d).where("seq < 2").groupBy("g").agg(F.min_by("x", "seq").alias("p0"), F.max_by("x", "seq").alias("p1"), F.min_by("y", "seq").alias("m0"), F.max_by("y", "seq").alias("m1"))
+    """Blends from every point of a curve to the next."""
+    w = Window.partitionBy("g").orderBy("seq")
+    p = curves(spark, d).select("g", "seq", F.col("x").alias("p0"), F.lead("x").over(w).alias("p1"), F.col("y").alias("m0"), F.lead("y").over(w).alias("m1")).where("p1 IS NOT NULL")
     rows = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
-    return rows.select("g", F.col("k").cast("bigint").alias("k"), r6(cv.hermite(F.col("p0"), F.col("p1"), F.col("m0"), F.col("m1"), F.col("k") / 4), "x"))
+    return rows.select("g", "seq", F.col("k").cast("bigint").alias("k"), r6(cv.hermite(F.col("p0"), F.col("p1"), F.col("m0"), F.col("m1"), F.col("k") / 4), "x"))
+
+
+def uneven(spark, d):
+    """Curves of one, two and four points that take up all vectors."""
+    p = groups(spark, d, 7)
+    part = F.when(F.col("seq") < 1, 0).when(F.col("seq") < 3, 1).otherwise(2)
+    return p.select((F.col("g") * 3 + part).alias("g"), (F.col("seq") - F.when(F.col("seq") < 1, 0).when(F.col("seq") < 3, 1).otherwise(3)).alias("seq"), "x", "y", "z")
+
+
+UNEVEN = f"{groups_sql(7).replace('p AS', 'p0 AS')}, p1 AS (SELECT g * 3 + CASE WHEN seq < 1 THEN 0 WHEN seq < 3 THEN 1 ELSE 2 END AS g, seq - CASE WHEN seq < 1 THEN 0 WHEN seq < 3 THEN 1 ELSE 3 END AS seq, x, y, z FROM p0), p AS (SELECT *, count(*) OVER (PARTITION BY g) n FROM p1)"
+
+
+def _replace(spark, d):
+    """The end of each curve that is closer to its middle point is moved to its mean."""
+    p = curves(spark, d)
+    n = F.count("*").over(Window.partitionBy("g"))
+    mid = p.withColumn("n", n).where("seq = floor(n / 2)").select("g", *[F.col(a).alias(f"o{a}") for a in "xyz"])
+    mean = p.groupBy("g").agg(*[F.avg(a).alias(f"n{a}") for a in "xyz"])
+    return xyz(cv.replace_endpoint(p, mid.join(mean, "g")), "g", "seq")
+
+
+_FAR = "(x - ox) ** 2 + (y - oy) ** 2 + (z - oz) ** 2"
+REPLACE = f"WITH {PTS}, n AS (SELECT g, count(*) n, avg(x) nx, avg(y) ny, avg(z) nz FROM pts GROUP BY g), o AS (SELECT pts.g, x ox, y oy, z oz, n, nx, ny, nz FROM pts JOIN n ON n.g = pts.g AND seq = n // 2), e AS (SELECT pts.g, arg_min(seq, {_FAR}) goes FROM pts JOIN o ON o.g = pts.g WHERE seq IN (0, n - 1) GROUP BY pts.g) SELECT pts.g, seq, " + ", ".join(f"round(CASE WHEN seq = goes THEN n{a} ELSE {a} END, 6) + 0.0 AS {a}" for a in "xyz") + " FROM pts JOIN o ON o.g = pts.g JOIN e ON e.g = pts.g"
+TUBE = f"""WITH {PTS}, d0 AS (SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) ax, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) ay, coalesce(lead(z) OVER w, z) - coalesce(lag(z) OVER w, z) az FROM pts WINDOW w AS (PARTITION BY g ORDER BY seq)),
+d1 AS (SELECT g, seq, x, y, z, ax / n dx, ay / n dy, az / n dz FROM (SELECT *, sqrt(ax * ax + ay * ay + az * az) n FROM d0) WHERE n > 0), u0 AS (SELECT *, CASE WHEN abs(dz) < 0.9 THEN dy ELSE 0 END ax, CASE WHEN abs(dz) < 0.9 THEN -dx ELSE dz END ay, CASE WHEN abs(dz) < 0.9 THEN 0 ELSE -dy END az FROM d1),
+u AS (SELECT *, ax / n ux, ay / n uy, az / n uz FROM (SELECT *, sqrt(ax * ax + ay * ay + az * az) n FROM u0)), v AS (SELECT *, dy * uz - dz * uy vx, dz * ux - dx * uz vy, dx * uy - dy * ux vz FROM u), s AS (SELECT *, unnest(range(6)) i FROM v)
+SELECT g, seq, CAST(i AS INTEGER) AS side, """ + ", ".join(f"round({a} + 0.1::DOUBLE * (cos(i * 2 * pi() / 6) * u{a} + sin(i * 2 * pi() / 6) * v{a}), 5) + 0.0 AS {a}" for a in "xyz") + " FROM s"
+
+
+def _tubes(spark, d):
+    return cv.tubes(curves(spark, d), 0.1, 6).select("g", "seq", "side", *[(F.round(a, 5) + 0.0).alias(a) for a in "xyz"])
+
+
+def _triangles(spark, d):
+    got = cv.tube_triangles(curves(spark, d), 6)
+    return got.groupBy("g").agg(F.count("*").alias("triangles"), F.countDistinct("a").alias("corners"), F.max(F.greatest("a", "b", "c")).cast("bigint").alias("last"))
+
+
+def _directions(spark, d):
+    """Slab matrices along each of the three axes, open and periodic, by their sums."""
+    out = None
+    for axis in "xyz":
+        for closed in (False, True):
+            m = slab.matrices(slab.hoppings(spark.createDataFrame(FOURIER, KIND), mesh(spark), axis), 4, 2, closed)
+            m = m.groupBy("k2", "k3").agg(F.count("*").alias("entries"), r6(F.sum("re"), "re"), r6(F.sum("im"), "im")).select(F.lit(axis).alias("axis"), F.lit(closed).alias("closed"), "k2", "k3", "entries", "re", "im")
+            out = m if out is None else out.unionByName(m)
+    return out
+
+
+def _directions_sql():
+    parts = []
+    for axis, (a, b, c) in {"x": (1, 2, 3), "y": (2, 3, 1), "z": (3, 1, 2)}.items():
+        for closed in (False, True):
+            to, where = ("((n + shift) % 4 + 4) % 4", "true") if closed else ("n + shift", "n + shift BETWEEN 0 AND 3")
+            parts.append(f"SELECT '{axis}' AS axis, {str(closed).lower()} AS closed, k2, k3, count(*) AS entries, round(sum(re), 6) + 0.0 AS re, round(sum(im), 6) + 0.0 AS im FROM (SELECT k2, k3, n, i, j, {to} m, sum(re) re, sum(im) im FROM (SELECT k2, k3, n{a} shift, i, j, unnest(range(4)) n, re * cos(n{b} * k2 + n{c} * k3) - im * sin(n{b} * k2 + n{c} * k3) re, re * sin(n{b} * k2 + n{c} * k3) + im * cos(n{b} * k2 + n{c} * k3) im FROM fo, me) WHERE {where} GROUP BY ALL) GROUP BY k2, k3")
+    return f"WITH {FSQL} " + " UNION ALL ".join(parts)
 
 
 def _cross(spark, d):
@@ -144,11 +221,15 @@ def plans():
     return {
         "resample": (lambda s, d: xyz(cv.resample(curves(s, d), 0.5), "g", "k"), asof(f"SELECT g, k, total * k / m s FROM (SELECT g, total, m, unnest(range(m + 1)) k FROM (SELECT g, total, greatest(2, CAST(round(total / 0.5) AS BIGINT)) m FROM ({total})))")),
         "resample_asof": (lambda s, d: xyz(cv.at_lengths(curves(s, d), curves(s, d).select("g", F.col("seq").alias("k"), (F.col("seq") * 0.37).alias("s"))), "g", "k"), asof("SELECT g, seq AS k, seq * 0.37::DOUBLE s FROM pts")),
-        "densify": (lambda s, d: xyz(cv.densify(curves(s, d).where("seq < 1 + g % 3")), "g", "seq"), f"WITH {PTS}, p AS (SELECT *, count(*) OVER (PARTITION BY g) n FROM pts WHERE seq < 1 + g % 3) SELECT g, seq * 2 AS seq, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM p UNION ALL SELECT g, 1, round(avg(x), 6) + 0.0, round(avg(y), 6) + 0.0, round(avg(z), 6) + 0.0 FROM p WHERE n = 2 GROUP BY g"),
+        "densify": (lambda s, d: xyz(cv.densify(uneven(s, d)), "g", "seq"), f"WITH {UNEVEN} SELECT g, seq * 2 AS seq, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM p UNION ALL SELECT g, 1, round(avg(x), 6) + 0.0, round(avg(y), 6) + 0.0, round(avg(z), 6) + 0.0 FROM p WHERE n = 2 GROUP BY g"),
+        "replace_endpoint": (_replace, REPLACE),
+        "tube_points": (_tubes, TUBE),
+        "tube_triangles": (_triangles, f"WITH {PTS}, n AS (SELECT g, count(*) n FROM pts GROUP BY g) SELECT g, (n - 1) * 12 AS triangles, (n - 1) * 6 AS corners, n * 6 - 1 AS \"last\" FROM n"),
+        "slab_directions": (_directions, _directions_sql()),
         "control_points": (lambda s, d: xyz(cv.control_points(curves(s, d), 4), "g", "k"), asof("SELECT g, k, total * k / 5 s FROM (SELECT g, total, unnest(range(1, 5)) k FROM tl)")),
         "rest_lengths": (lambda s, d: cv.rest_lengths(curves(s, d)).select("g", r6(F.col("rest"), "rest"), r6(F.col("median"), "median")), f"WITH {P3} SELECT g, round(total / n, 6) + 0.0 AS rest, round((SELECT median(total) FROM tl), 6) + 0.0 AS median FROM tl"),
         "relax_step": (_relax, RELAX),
-        "tangent_repulsion": (lambda s, d: cv.tangent_repulsion(flat(s, d), 0.001).select("g", "seq", (F.round("fx", 4) + 0.0).alias("fx"), (F.round("fy", 4) + 0.0).alias("fy")), TANGENT),
+        "tangent_repulsion": (_tangent, TANGENT),
         "bezier": (_bezier, BEZIER),
         "length_energy": (lambda s, d: cv.length_energy(curves(s, d), F.lit(10.0)).select("g", r6(F.col("energy"), "energy")), f"WITH {P3} SELECT g, round((total - 10.0) ** 2, 6) + 0.0 AS energy FROM tl"),
         "bending_energy": (lambda s, d: cv.bending_energy(curves(s, d)).select("g", r6(F.col("energy"), "energy")), f"WITH {PTS}, b AS (SELECT g, (lead(x) OVER w - 2 * x + lag(x) OVER w) ** 2 + (lead(y) OVER w - 2 * y + lag(y) OVER w) ** 2 + (lead(z) OVER w - 2 * z + lag(z) OVER w) ** 2 b FROM pts WINDOW w AS (PARTITION BY g ORDER BY seq)) SELECT g, round(sum(b), 6) + 0.0 AS energy FROM b GROUP BY g"),
@@ -156,7 +237,7 @@ def plans():
         "glue_endpoints": (_glue, GLUE),
         "recenter": (lambda s, d: xyz(cv.recenter(curves(s, d)), "g", "seq"), f"WITH {PTS} SELECT g, seq, round(x - avg(x) OVER w, 6) + 0.0 AS x, round(y - avg(y) OVER w, 6) + 0.0 AS y, round(z - avg(z) OVER w, 6) + 0.0 AS z FROM pts WINDOW w AS (PARTITION BY g)"),
         "closure_point": (lambda s, d: xyz(cv.closure_point(curves(s, d), (1.0, 2.0, 2.0)), "g"), f"WITH {PTS}, m AS (SELECT g, avg(x) mx, avg(y) my, avg(z) mz FROM pts GROUP BY g), r AS (SELECT g, mx, my, mz, max(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)) r FROM pts JOIN m USING (g) GROUP BY ALL) SELECT g, round(mx + r * 2 / 3, 6) + 0.0 AS x, round(my + r * 4 / 3, 6) + 0.0 AS y, round(mz + r * 4 / 3, 6) + 0.0 AS z FROM r"),
-        "hermite_blend": (_hermite, f"WITH {PTS}, p AS (SELECT g, arg_min(x, seq) p0, arg_max(x, seq) p1, arg_min(y, seq) m0, arg_max(y, seq) m1 FROM pts WHERE abs(seq) < 2 GROUP BY g), k AS (SELECT *, unnest(range(5)) k FROM p), t AS (SELECT *, k / 4.0::DOUBLE t FROM k) SELECT g, k, round((2 * t ** 3 - 3 * t ** 2 + 1) * p0 + (t ** 3 - 2 * t ** 2 + t) * m0 + (3 * t ** 2 - 2 * t ** 3) * p1 + (t ** 3 - t ** 2) * m1, 6) + 0.0 AS x FROM t"),
+        "hermite_blend": (_hermite, f"WITH {PTS}, p AS (SELECT g, seq, x p0, lead(x) OVER w p1, y m0, lead(y) OVER w m1 FROM pts WINDOW w AS (PARTITION BY g ORDER BY seq)), k AS (SELECT *, unnest(range(5)) k FROM p WHERE p1 IS NOT NULL), t AS (SELECT *, k / 4.0::DOUBLE t FROM k) SELECT g, seq, k, round((2 * t ** 3 - 3 * t ** 2 + 1) * p0 + (t ** 3 - 2 * t ** 2 + t) * m0 + (3 * t ** 2 - 2 * t ** 3) * p1 + (t ** 3 - t ** 2) * m1, 6) + 0.0 AS x FROM t"),
         "edges_cross": (_cross, "WITH " + PTS + ", " + chain() + " SELECT g, g IN (SELECT g FROM cr) AS crosses FROM tl"),
         "pdb_code": (_codes, "SELECT * FROM (VALUES ('5osqA', '5OSQ', 'A'), ('1aoc', '1AOC', '-'), ('1aocBB', '1AOC', 'BB'), ('ab', '-', '-')) t(code, structure, chain)"),
         "pdb_ca": (lambda s, d: xyz(pdb.alpha_carbons(_pdb_lines(s, d), "A"), "i", "res_seq"), f"WITH {PDB} SELECT i, res_seq, x, y, z FROM ca"),
