@@ -324,6 +324,56 @@ def has_clique_minor(n: int, edges: set[frozenset[int]], k: int) -> bool:
     return search(frozenset(range(n)), frozenset(edges))
 
 
+def _holds(links: frozenset, vertices: list[int], host: list[tuple[int, int]], size: int) -> bool:
+    """Whether a simple graph has one with vertices 0 to size - 1 as a subgraph, by backtracking."""
+    near = {v: {x for e in links if v in e for x in e if x != v} for v in vertices}
+    want = {i: {b if a == i else a for a, b in host if i in (a, b)} for i in range(size)}
+
+    def place(i: int, at: dict[int, int]) -> bool:
+        if i == size:
+            return True
+        for v in vertices:
+            if v not in at.values() and len(near[v]) >= len(want[i]) and all(at[j] in near[v] for j in want[i] if j < i):
+                if place(i + 1, at | {i: v}):
+                    return True
+        return False
+
+    return place(0, {})
+
+
+def has_minor(n: int, edges: set[frozenset[int]], host: list[tuple[int, int]], size: int) -> bool:
+    """Whether a simple graph on n vertices has any simple graph, the edges `host` on `size` vertices, as a minor: as a
+    subgraph after some contractions. For small graphs."""
+    seen: set = set()
+
+    def search(vertices: frozenset, links: frozenset) -> bool:
+        if len(vertices) < size or len(links) < len(host) or (vertices, links) in seen:
+            return False
+        seen.add((vertices, links))
+        if _holds(links, sorted(vertices), host, size):
+            return True
+        for a, b in sorted(map(sorted, links)):
+            merged = frozenset(x for x in (frozenset(a if y == b else y for y in f) for f in links) if len(x) == 2)
+            if search(vertices - {b}, merged):
+                return True
+        return False
+
+    return search(frozenset(range(n)), frozenset(edges))
+
+
+def host_minors(edges: DataFrame, hosts: dict[str, list[tuple[int, int]]]) -> DataFrame:
+    """(graph_id, <name>...): which of the small graphs `hosts`, lists of edges over vertices from 0, are minors of the
+    simple graphs edges(graph_id, u, v)."""
+    kind = dict(edges.dtypes)["graph_id"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = {x: i for i, x in enumerate(sorted({*pdf["u"], *pdf["v"]}))}
+        links = {frozenset((ids[u], ids[v])) for u, v in zip(pdf["u"], pdf["v"]) if u != v}
+        return pd.DataFrame([{"graph_id": pdf["graph_id"].iloc[0], **{name: has_minor(len(ids), links, h, 1 + max(map(max, h))) for name, h in hosts.items()}}])
+
+    return edges.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, " + ", ".join(f"{n} boolean" for n in hosts))
+
+
 def minors(edges: DataFrame, cliques: dict[str, int]) -> DataFrame:
     """(graph_id, <name>...): clique minors of the small simple graphs edges(graph_id, u, v)."""
     kind = dict(edges.dtypes)["graph_id"]

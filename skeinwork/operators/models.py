@@ -89,4 +89,21 @@ def s2(d: Bloch) -> Z:
     return out
 
 
-__all__ = ["Bloch", "TORUS", "from_matrix", "lift", "named", "on_grid", "opaque", "s2", "to_matrix", "torus"]
+def berry_prerequisites(sampled: DataFrame) -> DataFrame:
+    """One row over a sampled Bloch vector (as from on_grid): valid where exactly two components are real throughout and the
+    third is one imaginary constant; then gamma, that constant, with its index and those of the real ones, else nulls."""
+    stats = []
+    for a in "xyz":
+        re, im = F.col(f"d{a}_re"), F.col(f"d{a}_im")
+        stats += [F.max(F.abs(re)).alias(f"re_{a}"), F.max(F.abs(im)).alias(f"im_{a}"), F.min(im).alias(f"lo_{a}"), F.max(im).alias(f"hi_{a}")]
+    row = sampled.agg(*stats)
+    is_real = {a: F.col(f"im_{a}") == 0 for a in "xyz"}
+    fixed = {a: (F.col(f"re_{a}") == 0) & (F.col(f"im_{a}") > 0) & (F.col(f"lo_{a}") == F.col(f"hi_{a}")) for a in "xyz"}
+    reals = F.array_compact(F.array(*[F.when(is_real[a], i) for i, a in enumerate("xyz")]))
+    fixes = F.array_compact(F.array(*[F.when(fixed[a], F.struct(F.lit(i).alias("i"), F.col(f"lo_{a}").alias("gamma"))) for i, a in enumerate("xyz")]))
+    got = row.select(reals.alias("r"), fixes.alias("f")).withColumn("valid", (F.size("r") == 2) & (F.size("f") == 1))
+    when = lambda c: F.when(F.col("valid"), c)
+    return got.select("valid", when(F.get("f", F.lit(0))["gamma"]).alias("gamma"), when(F.get("f", F.lit(0))["i"]).alias("gamma_idx"), when(F.get("r", F.lit(0))).alias("d1_idx"), when(F.get("r", F.lit(1))).alias("d2_idx"))
+
+
+__all__ = ["berry_prerequisites", "Bloch", "TORUS", "from_matrix", "lift", "named", "on_grid", "opaque", "s2", "to_matrix", "torus"]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fields, skeleton
 from ..streaming import consensus
+from .common import shared_dir
+from .curve_plans import P3
 from .field_plans import N, hopf, interior_sql, steps
 from .geometry_plans import PTS, curves, r6
 
@@ -31,8 +33,7 @@ def _graph(short):
 
 
 def _stream(spark, d):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skeinwork-")
-    return consensus.agreed(consensus.drain(consensus.event_tries(spark, d), f"{folder}/consensus-{uuid.uuid4().hex}"), 3)
+    return consensus.agreed(consensus.drain(consensus.event_tries(spark, d), f"{shared_dir(spark)}/consensus-{uuid.uuid4().hex}"), 3)
 
 
 def _smooth(spark, d):
@@ -41,8 +42,19 @@ def _smooth(spark, d):
 
 
 def _repel(spark, d):
+    """The energy before, to five digits, and whether less of it is left and the ends are where they were."""
     got = skeleton.repel(curves(spark, d), 60)
-    return got.groupBy("g").agg(F.count("*").alias("points"), (F.max("after") <= F.max("before")).alias("lower"))
+    at = curves(spark, d).select("g", "seq", F.struct("x", "y", "z").alias("from"))
+    n = F.max("seq").over(Window.partitionBy("g"))
+    rows = got.join(at, ["g", "seq"]).withColumn("end", (F.col("seq") == 0) | (F.col("seq") == n))
+    return rows.groupBy("g").agg(F.count("*").alias("points"), F.format_string("%.4e", F.max("before")).alias("before"), (F.max("after") < F.max("before")).alias("lower"), F.max(F.when(F.col("end"), F.struct("x", "y", "z") != F.col("from"))).alias("moved_ends"))
+
+
+# pieces have their rest lengths at first, so the energy is that of tangents and points and of bending
+REPEL = f"""WITH {P3}, m AS (SELECT g, seg, len, (x1 + x2) / 2 mx, (y1 + y2) / 2 my, (z1 + z2) / 2 mz, (x2 - x1) / len tx, (y2 - y1) / len ty, (z2 - z1) / len tz FROM pc WHERE len > 0),
+q AS (SELECT a.g, a.len * b.len ll, (b.mx - a.mx) ** 2 + (b.my - a.my) ** 2 + (b.mz - a.mz) ** 2 + 1e-9 d2, (b.mx - a.mx) * a.tx + (b.my - a.my) * a.ty + (b.mz - a.mz) * a.tz al FROM m a JOIN m b ON a.g = b.g AND abs(a.seg - b.seg) > 1),
+e AS (SELECT g, sum(greatest(0.0, d2 - al * al) / (d2 * d2) * ll) e FROM q GROUP BY g), b AS (SELECT g, (lead(x) OVER w - 2 * x + lag(x) OVER w) ** 2 + (lead(y) OVER w - 2 * y + lag(y) OVER w) ** 2 + (lead(z) OVER w - 2 * z + lag(z) OVER w) ** 2 b FROM pts WINDOW w AS (PARTITION BY g ORDER BY seq)), c AS (SELECT g, sum(b) b, count(*) n FROM b GROUP BY g)
+SELECT g, n AS points, printf('%.4e', e + 0.05 * b) AS before, true AS lower, false AS moved_ends FROM e JOIN c USING (g)"""
 
 
 def plans():
@@ -57,7 +69,7 @@ def plans():
         "skeleton_graph_mb": (_graph(2.0), None),
         "contract_short": (_graph(4.0), None),
         "smooth_rdp": (_smooth, None),
-        "repel": (_repel, pts.replace(" AS points FROM", " AS points, true AS lower FROM")),
+        "repel": (_repel, REPEL),
         "stream_consensus": (_stream, "SELECT g, count(*) AS polys FROM (SELECT CAST(user_id % 50 AS BIGINT) g, event_type || ':' || (event_id % 3) poly, count(*) n FROM events GROUP BY ALL HAVING count(*) >= 3) GROUP BY g"),
         "event_windows": (lambda s, d: consensus.windows(s.read.parquet(f"{d}/events.parquet")).select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     }
