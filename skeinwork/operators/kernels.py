@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def eigvalsh(rows: DataFrame, key: str, values: str, n: int) -> DataFrame:
+def eigvalsh(rows: DataFrame, key: str, values: str, n: int, digits: int | None = 6) -> DataFrame:
     """(key, band, value): ascending eigenvalues of Hermitian n x n matrices, one batched solve per Arrow batch. `values`
-    is an array whose first n entries are the diagonal, then real and imaginary parts of the upper triangle by rows."""
+    is an array whose first n entries are the diagonal, then real and imaginary parts of the upper triangle by rows.
+    Eigenvalues are rounded to `digits`, if any."""
     upper = [(i, j) for i in range(n) for j in range(i + 1, n)]
 
     def run(batches):
@@ -21,7 +22,7 @@ def eigvalsh(rows: DataFrame, key: str, values: str, n: int) -> DataFrame:
                 h[:, i, j] = v[:, n + 2 * k] + 1j * v[:, n + 2 * k + 1]
                 h[:, j, i] = np.conj(h[:, i, j])
             e = np.linalg.eigvalsh(h) if len(b) else np.zeros((0, n))
-            yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), n), "band": np.tile(np.arange(n), len(b)), "value": np.round(e.ravel(), 6) + 0.0})
+            yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), n), "band": np.tile(np.arange(n), len(b)), "value": (e.ravel() if digits is None else np.round(e.ravel(), digits)) + 0.0})
 
     kind = dict(rows.dtypes)[key]
     return rows.select(key, values).mapInPandas(run, f"{key} {kind}, band int, value double")
@@ -216,6 +217,18 @@ def diagram_states(code: str, compatible: bool = False):
         yield power, len(kept), [(ids[e[0]], ids[e[1]]) for e in ends.values() if len(e) == 2], loops
 
 
+def state_rows(codes: DataFrame, compatible: bool = False) -> DataFrame:
+    """(g, power, vertices, edges, loops) of every smoothing of codes(g, pd_code), in Arrow batches; 3^c rows a code."""
+
+    def run(batches):
+        for b in batches:
+            for g, code in zip(b["g"], b["pd_code"]):
+                rows = [(g, p, n, len(e), f) for p, n, e, f in diagram_states(code, compatible)]
+                yield pd.DataFrame(rows, columns=["g", "power", "vertices", "edges", "loops"])
+
+    return codes.select("g", "pd_code").mapInPandas(run, f"g {dict(codes.dtypes)['g']}, power int, vertices int, edges int, loops int")
+
+
 def _compatible(nodes, where, crossings, spins, pairs):
     """The graph after each crossing in turn is replaced by edges between the nodes that its arcs led to at first."""
     edges = [(e[0], e[1]) if len(e) == 2 else (e[0], e[0]) for e in where.values()]

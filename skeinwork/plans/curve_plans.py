@@ -131,6 +131,19 @@ def _eig(spark, d):
     return got.select("k2", "k3", "band", r6(F.col("re"), "re"), r6(F.col("im"), "im"))
 
 
+def _eig_moments(spark, d):
+    """Sums of the eigenvalues of the open slab and of their squares, which are traces."""
+    e = slab.eigenvalues(slab.matrices(hops(spark), 4, 2, False), 8)
+    square = (F.col("re") ** 2 - F.col("im") ** 2, 2 * F.col("re") * F.col("im"))
+    r = lambda c, n: (F.round(F.sum(c), 5) + 0.0).alias(n)
+    return e.groupBy("k2", "k3").agg(r(F.col("re"), "s1_re"), r(F.col("im"), "s1_im"), r(square[0], "s2_re"), r(square[1], "s2_im"))
+
+
+EIG_MOMENTS = HOPS + """, nn AS (SELECT *, unnest(range(4)) n FROM ho), mm AS (SELECT k2, k3, n * 2 + i r, (n + shift) * 2 + j c, sum(re) re, sum(im) im FROM nn WHERE n + shift BETWEEN 0 AND 3 GROUP BY 1, 2, 3, 4),
+t1 AS (SELECT k2, k3, sum(re) re, sum(im) im FROM mm WHERE r = c GROUP BY 1, 2), t2 AS (SELECT a.k2, a.k3, sum(a.re * b.re - a.im * b.im) re, sum(a.re * b.im + a.im * b.re) im FROM mm a JOIN mm b ON a.k2 = b.k2 AND a.k3 = b.k3 AND a.c = b.r AND a.r = b.c GROUP BY 1, 2)
+SELECT t1.k2, t1.k3, round(t1.re, 5) + 0.0 AS s1_re, round(t1.im, 5) + 0.0 AS s1_im, round(t2.re, 5) + 0.0 AS s2_re, round(t2.im, 5) + 0.0 AS s2_im FROM t1 JOIN t2 ON t1.k2 = t2.k2 AND t1.k3 = t2.k3"""
+
+
 def _modes(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     v = e.select((F.col("vec_id") % 7).cast("double").alias("k2"), (F.col("label") * 1.0).alias("k3"), F.col("embedding")[0].cast("double").alias("re"), F.col("embedding")[1].cast("double").alias("im"))
@@ -246,6 +259,7 @@ def plans():
         "slab_matrix": _matrix(False),
         "slab_matrix_periodic": _matrix(True),
         "slab_eig": (_eig, None),
+        "slab_eig_moments": (_eig_moments, EIG_MOMENTS),
         "surface_mode_count": (_modes, "SELECT CAST(vec_id % 7 AS DOUBLE) AS k2, CAST(label AS DOUBLE) AS k3, count(*) AS modes FROM embeddings WHERE sqrt(CAST(embedding[1] AS DOUBLE) ** 2 + CAST(embedding[2] AS DOUBLE) ** 2) < 0.4 GROUP BY 1, 2"),
         "shift_matrix": (lambda s, d: slab.shift_matrix(s, 6, 2, True), "SELECT i AS row, (i + 2) % 6 AS col, 1.0::DOUBLE AS value FROM range(6) t(i)"),
         "kron": (_kron, "SELECT a.i * 5 + n_nationkey % 5 AS row, ((a.i + 1) % 4) * 5 + n_nationkey // 5 AS col, CAST(n_regionkey AS DOUBLE) AS value FROM range(4) a(i), nation"),

@@ -146,8 +146,8 @@ def codes(spark):
 
 
 def _states(spark, d):
-    rows = [(g, p, n, len(e), f) for g, c in HOPF for p, n, e, f in kernels.diagram_states(c)]
-    return spark.createDataFrame(rows, "g string, power int, vertices int, edges int, loops int").groupBy("g", "power").agg(F.count("*").alias("states"), F.sum("edges").alias("edges"), F.sum("loops").alias("loops"))
+    rows = kernels.state_rows(codes(spark))
+    return rows.groupBy("g", "power").agg(F.count("*").alias("states"), F.sum("edges").alias("edges"), F.sum("loops").alias("loops"))
 
 
 def _diagram(compatible):
@@ -157,6 +157,17 @@ def _diagram(compatible):
     return run
 
 
+# subsets of the edges of the networks of tiny(), by number, with the parts that each leaves
+SUBSETS = "WITH RECURSIVE p AS (SELECT 3 a, 0 b), e AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY u, v) - 1 i FROM (" + " UNION ALL ".join(f"SELECT '{n}' g, u, v FROM ({TWINS[n]})" for n in ("theta", "fan", "wheel", "periodic_theta")) + """)),
+vs AS (SELECT g, u x FROM e UNION SELECT g, v FROM e), c AS (SELECT g, count(*) ne FROM e GROUP BY g), ms AS (SELECT g, ne, unnest(range(CAST(1 << ne AS BIGINT))) mask FROM c),
+k AS (SELECT ms.g, mask, u, v FROM ms JOIN e ON e.g = ms.g AND (mask >> i) & 1 = 1), b AS (SELECT g, mask, u, v FROM k UNION SELECT g, mask, v, u FROM k),
+r AS (SELECT ms.g, mask, x, x y FROM ms JOIN vs ON vs.g = ms.g UNION SELECT r.g, r.mask, r.x, b.v FROM r JOIN b ON b.g = r.g AND b.mask = r.mask AND b.u = r.y),
+m AS (SELECT g, mask, count(DISTINCT l) mu, count(*) nv FROM (SELECT g, mask, x, min(y) l FROM r GROUP BY ALL) GROUP BY g, mask),
+h AS (SELECT g, CAST(ne - bit_count(mask) AS INTEGER) AS removed, CAST(bit_count(mask) - nv + mu AS INTEGER) AS beta, CAST(mu AS INTEGER) AS mu, count(*) AS n FROM m JOIN c USING (g) GROUP BY ALL)"""
+# (-A - 2 - 1/A)^k is (-1)^k (A + 1)^2k / A^k
+ABSTRACT = SUBSETS + ", t AS (SELECT g, e, sum(n * CASE WHEN (mu + beta) % 2 = 0 THEN 1 ELSE -1 END * CAST(factorial(2 * beta) // (factorial(CAST(beta + e AS INTEGER)) * factorial(CAST(beta - e AS INTEGER))) AS BIGINT)) c FROM (SELECT *, unnest(range(-beta, beta + 1)) e FROM h) GROUP BY g, e HAVING c <> 0) SELECT g, string_agg(e || ':' || c, ' ' ORDER BY e) AS poly FROM t GROUP BY g"
+
+
 def events_poly(spark, d, col):
     """A polynomial per user: exponents and coefficients from events."""
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -245,6 +256,6 @@ def plans():
         "normalize_poly": (lambda s, d: big(poly.normalise(poly.clean(events_poly(s, d, 7)))), f"WITH {P}, a AS ({total('SELECT * FROM p')}), l AS (SELECT g, min(e) low FROM a GROUP BY g), r AS (SELECT g, e - low AS e, CASE WHEN low % 2 = 0 THEN c ELSE -c END c FROM a JOIN l USING (g))" + show),
         "poly_rollup": (_rollup, f"WITH {P}, a AS ({total('SELECT * FROM p')}) SELECT coalesce(g, -1) AS g, coalesce(e, -99) AS e, CAST(sum(c) AS BIGINT) AS coeff, count(*) AS terms FROM a GROUP BY ROLLUP (g, e)"),
         "yamada_consensus": (_consensus, CONSENSUS),
-        "negami": (_negami, None), "yamada_abstract": (_abstract, None), "yamada_sigma": (_sigma, None), "yamada_recursive": (_recursive, None),
+        "negami": (_negami, SUBSETS + " SELECT g, removed, beta, mu, n FROM h"), "yamada_abstract": (_abstract, ABSTRACT), "yamada_sigma": (_sigma, None), "yamada_recursive": (_recursive, None),
         "laurent_to_sigma": (_back, None), "family_dataset": (_dataset, None), "yamada_states": (_states, None), "yamada_diagram": (_diagram(False), None), "yamada_diagram_compatible": (_diagram(True), None),
     }

@@ -226,12 +226,53 @@ EIGEN_SQL = """WITH h AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) a, CAST(em
 r AS (SELECT *, sqrt((a - c) * (a - c) / 4 + br * br + bi * bi) s FROM h) SELECT vec_id, round((a + c) / 2 - s, 6) + 0.0 AS low, round((a + c) / 2 + s, 6) + 0.0 AS high, round(s, 6) + 0.0 AS pair FROM r"""
 
 
-def _eigen_n(spark, sf_dir):
+def _eigen_n(spark, sf_dir, digits=6):
     """Eigenvalues of a Hermitian 4x4 matrix per embedding, ascending, by batches."""
     from ..operators.kernels import eigvalsh
 
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    return eigvalsh(rows, "vec_id", "e", 4)
+    return eigvalsh(rows, "vec_id", "e", 4, digits)
+
+
+def _eigen_3(spark, sf_dir):
+    """Eigenvalues of a Hermitian 3x3 matrix per embedding, ascending, in one row."""
+    from ..operators.kernels import eigvalsh
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    got = eigvalsh(rows, "vec_id", "e", 3, None).groupBy("vec_id")
+    return got.agg(*[(F.round(F.max(F.when(F.col("band") == k, F.col("value"))), 5) + 0.0).alias(n) for k, n in enumerate(("low", "mid", "high"))])
+
+
+# the cubic's roots by angles: p is the spread of the matrix about its mean q, and r its determinant in these units
+EIGEN_3 = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) e FROM embeddings), h AS (SELECT vec_id, e[1] a, e[2] b, e[3] c, e[4] ur, e[5] ui, e[6] vr, e[7] vi, e[8] wr, e[9] wi FROM e),
+q AS (SELECT *, (a + b + c) / 3 q, ur * ur + ui * ui u2, vr * vr + vi * vi v2, wr * wr + wi * wi w2 FROM h), p AS (SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (u2 + v2 + w2)) / 6) p FROM q),
+r AS (SELECT *, ((a - q) * (b - q) * (c - q) + 2 * ((ur * wr - ui * wi) * vr + (ur * wi + ui * wr) * vi) - (a - q) * w2 - (b - q) * v2 - (c - q) * u2) / (2 * p ** 3) r FROM p),
+t AS (SELECT *, acos(greatest(-1.0, least(1.0, r))) / 3 t FROM r), l AS (SELECT vec_id, q, q + 2 * p * cos(t) high, q + 2 * p * cos(t + 2 * pi() / 3) low FROM t)
+SELECT vec_id, round(low, 5) + 0.0 AS low, round(3 * q - low - high, 5) + 0.0 AS mid, round(high, 5) + 0.0 AS high FROM l"""
+
+
+def _moments(spark, sf_dir):
+    """Power sums of the eigenvalues of the 4x4 matrices, which are the traces of their powers."""
+    e = _eigen_n(spark, sf_dir, None).groupBy("vec_id")
+    return e.agg(*[(F.round(F.sum(F.pow("value", F.lit(k))), 3) + 0.0).alias(f"m{k}") for k in (1, 2, 3, 4)])
+
+
+def moments_sql():
+    upper, at = [(i, j) for i in range(4) for j in range(i + 1, 4)], {}
+    for i in range(4):
+        at[i, i] = (f"e[{i + 1}]", "0.0::DOUBLE")
+    for k, (i, j) in enumerate(upper):
+        at[i, j], at[j, i] = (f"e[{5 + 2 * k}]", f"e[{6 + 2 * k}]"), (f"e[{5 + 2 * k}]", f"-e[{6 + 2 * k}]")
+    cells = ", ".join(f"{{'i': {i}, 'j': {j}, 're': {re}, 'im': {im}}}" for (i, j), (re, im) in at.items())
+    return f"""WITH h AS (SELECT vec_id, unnest([{cells}], recursive := true) FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) e FROM embeddings)),
+s AS (SELECT a.vec_id, a.i, b.j, sum(a.re * b.re - a.im * b.im) re, sum(a.re * b.im + a.im * b.re) im FROM h a JOIN h b ON a.vec_id = b.vec_id AND a.j = b.i GROUP BY ALL),
+m1 AS (SELECT vec_id, sum(re) m FROM h WHERE i = j GROUP BY vec_id), m2 AS (SELECT vec_id, sum(re) m FROM s WHERE i = j GROUP BY vec_id),
+m3 AS (SELECT s.vec_id, sum(s.re * h.re - s.im * h.im) m FROM s JOIN h ON h.vec_id = s.vec_id AND s.j = h.i AND s.i = h.j GROUP BY s.vec_id), m4 AS (SELECT vec_id, sum(re * re + im * im) m FROM s GROUP BY vec_id)
+SELECT m1.vec_id, {', '.join(f'round(m{k}.m, 3) + 0.0 AS m{k}' for k in (1, 2, 3, 4))} FROM m1 JOIN m2 USING (vec_id) JOIN m3 USING (vec_id) JOIN m4 USING (vec_id)"""
+
+
+def _prerequisites(spark, sf_dir):
+    return models.berry_prerequisites(models.on_grid(*hopf(spark)))
 
 
 def _hermitian(spark, sf_dir):
@@ -282,6 +323,12 @@ def _berry_analytic(spark, sf_dir):
     return rows.select("ix", "iy", "iz", *[r6(F.when(eps2 > 0, scale * (df[u].im * df[v].re - df[v].im * df[u].re)).otherwise(0.0), f"b{a}") for a, (u, v) in cross.items()])
 
 
+BERRY_ANALYTIC = f"""WITH {grid_sql(N, HALF)}, v AS (SELECT ix, iy, iz, cos(2 * kz) + 0.5 zr, cos(kx) + cos(ky) + cos(kz) - 2 zi, sin(kx) wr, sin(ky) wi, -sin(kx) zx, -sin(ky) zy, -2 * sin(2 * kz) zzr, -sin(kz) zzi, cos(kx) wx, cos(ky) wy FROM k),
+f AS (SELECT *, zr * zr - zi * zi - wr * wr + wi * wi fr, 2 * (zr * zi - wr * wi) fi, 2 * (-zi * zx - wr * wx) xr, 2 * (zr * zx - wi * wx) xi, 2 * (-zi * zy + wi * wy) yr, 2 * (zr * zy - wr * wy) yi, 2 * (zr * zzr - zi * zzi) zr2, 2 * (zr * zzi + zi * zzr) zi2 FROM v),
+e AS (SELECT *, {GAMMA * GAMMA!r} - fr * fr - fi * fi eps FROM f), s AS (SELECT *, CASE WHEN eps > 0 THEN -{num(GAMMA)} / (2 * eps * sqrt(eps)) ELSE 0 END s FROM e)
+SELECT ix, iy, iz, round(s * (yi * zr2 - zi2 * yr), 6) + 0.0 AS bx, round(s * (zi2 * xr - xi * zr2), 6) + 0.0 AS by, round(s * (xi * yr - yi * xr), 6) + 0.0 AS bz FROM s"""
+
+
 def plans():
     """name: (query, SQL or None)."""
     out = {f"model_{n}": _model(n) for n in ("hopf", "trefoil", "cinquefoil", "solomon", "unknot", "threelink", "awesome")}
@@ -300,7 +347,8 @@ def plans():
         "dispersion": (_gradient("e_re", 1), grad("e_re", 1)),
         "im_dispersion": (_gradient("e_im", 2), grad("e_im", 2)),
         "berry_curvature": (_berry, berry_sql()),
-        "berry_analytic": (_berry_analytic, None),
+        "berry_analytic": (_berry_analytic, BERRY_ANALYTIC),
+        "berry_prerequisites": (_prerequisites, f"SELECT true AS valid, {num(GAMMA)} AS gamma, 1 AS gamma_idx, 0 AS d1_idx, 2 AS d2_idx"),
         "fields_volume": (_volume, volume_sql()),
         "field_derivative": (_derivative, derivative_sql()),
         "isosurface_points": (_surface, surface_sql()),
@@ -310,7 +358,9 @@ def plans():
         "mask_euler": (_euler, euler_sql()),
         "mask_components": (_components, components_sql()),
         "eigvals_2x2": (_eigen, EIGEN_SQL),
+        "eigvals_3x3": (_eigen_3, EIGEN_3),
         "eigvals_nxn": (_eigen_n, None),
+        "eigvals_moments": (_moments, moments_sql()),
         "is_hermitian": (_hermitian, f"SELECT {GAMMA} = 0 AS is_hermitian"),
         "is_pt": (_pt, PT_SQL),
         "edge_field_sample": (_sample, sample_sql()),

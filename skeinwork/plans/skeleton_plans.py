@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import fields, skeleton
 from ..streaming import consensus
-from .common import shared_dir
+from ..operators.connected import components
+from .common import cut, shared_dir
 from .curve_plans import P3
-from .field_plans import N, hopf, interior_sql, steps
+from .field_plans import N, components_sql, hopf, interior_sql, steps
 from .geometry_plans import PTS, curves, r6
 
 
@@ -36,6 +37,30 @@ def _stream(spark, d):
     return consensus.agreed(consensus.drain(consensus.event_tries(spark, d), f"{shared_dir(spark)}/consensus-{uuid.uuid4().hex}"), 3)
 
 
+def _topology(spark, d):
+    """Thinning keeps the number of parts and the Euler characteristic, and a part of the mask: those of the skeleton are
+    compared with those of the mask."""
+    m = cut(mask(spark))
+    thin = cut(skeleton.skeletonize(m).select("ix", "iy", "iz"))
+    place = lambda p: ((F.col(f"{p}x") * 1000 + F.col(f"{p}y")) * 1000 + F.col(f"{p}z")).cast("bigint")
+    joined = components(fields.neighbours(thin).select(place("i").alias("u"), place("j").alias("v")), cut)
+    parts = thin.select(place("i").alias("v")).join(joined, "v", "left").select(F.coalesce("component", "v").alias("c")).agg(F.countDistinct("c").alias("parts"))
+    inside = thin.join(m, ["ix", "iy", "iz"], "left_anti").agg((F.count("*") == 0).alias("inside"))
+    return fields.euler(thin).select("euler").join(parts).join(inside)
+
+
+TOPOLOGY = components_sql().split(" SELECT component")[0] + """, o AS (SELECT unnest(range(3)) v), cu AS (SELECT DISTINCT 2 * ix + a.v x, 2 * iy + b.v y, 2 * iz + c.v z FROM m, o a, o b, o c)
+SELECT (SELECT CAST(sum(CASE WHEN (x % 2 + y % 2 + z % 2) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) FROM cu) AS euler, (SELECT count(DISTINCT component) FROM c) AS parts, true AS inside"""
+
+
+def _windows(spark, d):
+    """Windows of the event stream, run until the source is empty."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = consensus.settle(consensus.windows(events), f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}")
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
+
+
 def _smooth(spark, d):
     got = skeleton.smooth(curves(spark, d), 0.2)
     return got.select("g", "seq", *[r6(F.col(a), a) for a in "xyz"])
@@ -64,6 +89,7 @@ def plans():
         "edge_point_count": (lambda s, d: curves(s, d).groupBy("g").agg(F.count("*").alias("points")), pts),
         "voxel_graph": (lambda s, d: skeleton.voxel_degrees(mask(s)), voxel),
         "skeletonize": (lambda s, d: skeleton.skeletonize(mask(s)), None),
+        "skeleton_topology": (_topology, TOPOLOGY),
         "skeleton_coords": (_coords, None),
         "skeleton_graph": (_graph(0.0), None),
         "skeleton_graph_mb": (_graph(2.0), None),
@@ -71,7 +97,7 @@ def plans():
         "smooth_rdp": (_smooth, None),
         "repel": (_repel, REPEL),
         "stream_consensus": (_stream, "SELECT g, count(*) AS polys FROM (SELECT CAST(user_id % 50 AS BIGINT) g, event_type || ':' || (event_id % 3) poly, count(*) n FROM events GROUP BY ALL HAVING count(*) >= 3) GROUP BY g"),
-        "event_windows": (lambda s, d: consensus.windows(s.read.parquet(f"{d}/events.parquet")).select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+        "event_windows": (_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     }
 
 

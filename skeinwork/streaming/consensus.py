@@ -16,16 +16,21 @@ def agreed(counts: DataFrame, overlaps: int) -> DataFrame:
     return counts.where(F.col("n") >= overlaps).groupBy("g").agg(F.count("*").alias("polys"))
 
 
-def drain(tries: DataFrame, folder: str) -> DataFrame:
-    """Run a stream of tries until its source is empty and return the final tallies. Each batch replaces the table in
+def settle(counts: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of counts until its source is empty and return the final table. Each batch replaces the table in
     `folder`, which all executors must share."""
 
     def save(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/tallies")
+        df.write.mode("overwrite").parquet(f"{folder}/table")
 
-    q = tallies(tries).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(save).trigger(availableNow=True).start()
+    q = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(save).trigger(availableNow=True).start()
     q.awaitTermination()
-    return tries.sparkSession.read.parquet(f"{folder}/tallies")
+    return counts.sparkSession.read.parquet(f"{folder}/table")
+
+
+def drain(tries: DataFrame, folder: str) -> DataFrame:
+    """The final tallies of a stream of tries."""
+    return settle(tallies(tries), folder)
 
 
 def event_tries(spark: SparkSession, sf_dir: str, streaming: bool = True) -> DataFrame:
@@ -38,5 +43,6 @@ def event_tries(spark: SparkSession, sf_dir: str, streaming: bool = True) -> Dat
 
 def windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """(start, event_type, n): tumbling counts behind a watermark, for streams that never end."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
