@@ -78,6 +78,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have in any case."""
     taken = {c.lower() for c in df.columns}

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, stage, words
+from .common import free_names, let, stage, words
 
 #: Units of a group, on average.
 FAN = 32
@@ -55,11 +55,6 @@ def targets(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     return src.select("source", "source_size", target.alias("target"), "units")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _chance(x: Column, level: int) -> Column:
     return F.pmod(F.xxhash64(x["doc_id"], x["size"], x["h"], F.lit(level)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
@@ -89,9 +84,9 @@ def _fold(items: Column, level: int) -> Column:
                 F.when(f, say(x, open_, inside(q2))).otherwise(say(a, open_, inside(q1))).alias("carry"),
                 F.concat(acc["out"], F.array(F.when(f, say(a, F.when(g, 0).otherwise(1), none)).otherwise(say(x, F.when(g, 1).otherwise(0), none)))).alias("out"),
             )
-            return _let(first, ends)
+            return let(first, ends)
 
-        return _let(odds, lambda o: _let(gives(o), settle))
+        return let(odds, lambda o: let(gives(o), settle))
 
     first = say(F.get(items, 0), open_, F.get(items, 0)["p"])
     start = F.struct(first.alias("carry"), F.array().cast(kind).alias("out"))
@@ -110,7 +105,7 @@ def _root(items: Column) -> Column:
         left = F.greatest(F.lit(0.0), need - rest)
         drawn = _chance(x, 1000) * acc["rest"] < need
         extra = F.when(taken < left, 1).when(taken > left, 0).otherwise(drawn.cast("int"))
-        return _let(extra, lambda e: F.struct((need - e * x["size"]).alias("need"), rest.alias("rest"), F.concat(acc["out"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["h"].alias("h"), x["m"].alias("m"), x["whole"].alias("whole"), e.alias("extra")))).alias("out")))
+        return let(extra, lambda e: F.struct((need - e * x["size"]).alias("need"), rest.alias("rest"), F.concat(acc["out"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["h"].alias("h"), x["m"].alias("m"), x["whole"].alias("whole"), e.alias("extra")))).alias("out")))
 
     start = F.struct(total(lambda x: x["p"] * x["size"]).alias("need"), total(lambda x: x["size"].cast("double")).alias("rest"), F.array().cast(kind).alias("out"))
     return F.aggregate(items, start, step, lambda acc: acc["out"])

@@ -5,6 +5,9 @@ them. Common words follow prose and not menus or boilerplate, so a fingerprint,
 its natural-language passages. Each signature is a 64-bit hash; two texts compare by Jaccard similarity of their sets.
 A text without a full chain has its three-word windows as signatures, with fewer words the hash of the whole text, so
 only equal texts are alike then. Null counts as empty.
+
+Repeated rows and ties of doc_id are ordered by text; rows without a doc_id come last, and an empty table gives an empty
+result. Extra columns aren't read by the query, and are carried along by the helpers whatever they are called.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stage
+from .common import free_name, let, stage
 
 #: Content words in a chain.
 CHAIN = 2
@@ -29,8 +32,8 @@ ses son sur un une vous
 al como con de del el ella en entre era es esta este ha la las lo los más me mi muy no o para pero por que se sin su sus
 también todo un una y ya yo
 """.split())
-#: Cells of the id histogram that orders the documents; fixed, whatever the input.
-CELLS = 4096
+#: Characters of a bucket of neighbouring documents, about, and the most buckets.
+BUCKET, BUCKETS = 1 << 22, 1 << 17
 
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -87,15 +90,21 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, sigs: DataFrame | None =
     """(a, b, similarity): pairs of signature classes, each under its smallest doc_id, that are alike.
 
     Sets are partitioned by length: bounds grow by 1/threshold, so a set meets only its own partition and the next.
-    Within these, two sets meet only over one of the hashes that a pair at the threshold can't all miss (the smallest
-    n - ceil(threshold * n) + 1 of each), and the lengths must fit before their similarity is worked out."""
+    Within these, two sets meet only over one of the hashes that a pair at the threshold can't all miss: the first
+    n - ceil(threshold * n) + 1 of each in the order of how many sets hold them, the rarest first, so that passages which
+    many texts share come last and seldom bring two sets together. The lengths must fit before a pair's similarity is
+    worked out. A hash that still is in very many sets is a skewed join key, which adaptive execution splits."""
     if sigs is None:
         sigs = stage(with_signatures(docs.select("doc_id", "text"), "text", "sigs").select("doc_id", "sigs"), "spot-sigs")
     reps = _classes(sigs).select(F.col("class_id").alias("doc_id")).distinct()
-    sets = sigs.join(reps, "doc_id", "left_semi").withColumn("n", F.size("sigs"))
-    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold)).cast("int")
+    sets = stage(sigs.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumn("n", F.size("sigs")), "spot-sets")
+    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
     take = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    keys = sets.select("doc_id", "n", part.alias("part"), F.explode(F.slice("sigs", 1, take)).alias("sig"))
+    held = sets.select("doc_id", "n", F.explode("sigs").alias("sig"))
+    often = held.groupBy("sig").agg(F.count("*").alias("held"))
+    first = F.array_sort(F.collect_list(F.struct("held", "sig")))["sig"]
+    ranked = held.join(often, "sig").groupBy("doc_id", "n").agg(first.alias("order"))
+    keys = stage(ranked.select("doc_id", "n", part.alias("part"), F.explode(F.slice("order", F.lit(1), take)).alias("sig")), "spot-keys")
     small = keys.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     big = keys.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), "sig", "part")
     fits = (F.col("n1") >= F.col("n2") * threshold) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b"))))
@@ -110,28 +119,31 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (with doc_id, text) and next_<c> for each of `columns`: that of the next document by descending doc_id, ties
     by text, null ids last; after the last comes the first again.
 
-    No task holds all rows: a histogram of CELLS equal id ranges (a fixed bound) deals them into buckets of like size,
-    the first row of each bucket is also sent to the bucket before it, and each bucket is windowed by itself."""
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo) // CELLS + 1
-    cell = F.coalesce(((F.lit(hi) - F.col("doc_id")) / F.lit(width)).cast("int"), F.lit(CELLS - 1))
-    found = sorted(docs.groupBy(cell.alias("cell")).agg(F.sum(F.length("text") + 100).alias("w"), F.max("doc_id").alias("head")).collect())
-    each = max(1 << 22, sum(r["w"] for r in found) // CELLS)
-    bucket_of, heads, held = {}, [], each
-    for r in found:
-        if held >= each:
-            heads.append(r["head"])
-            held = 0
-        bucket_of[r["cell"]] = len(heads) - 1
-        held += r["w"]
+    No task holds all rows: quantiles of the ids, as many as the texts ask for, deal them into buckets of like size, the
+    first row of each bucket is also sent to the bucket before it, and each bucket is windowed by itself. The driver gets
+    two numbers a bucket."""
+    held = docs.agg(F.sum(F.length("text") + 100)).first()[0] or 0
+    parts = max(1, min(BUCKETS, held // BUCKET))
+    found = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts + 100)).first()[0] if parts > 1 else None
+    bounds = sorted(set(found or []))
+    # the place of an id among the bounds, by halving; buckets go from the largest ids to the smallest, and then nulls
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    place, step = F.lit(0), 1 << len(bounds).bit_length()
+    while step := step >> 1:
+        place = let(place, lambda i, k=step: F.when((i + k <= len(bounds)) & (F.get(table, i + (k - 1)) <= F.col("doc_id")), i + k).otherwise(i))
+    home = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(len(bounds) - place) if bounds else F.lit(0)
+    firsts = {r["home"]: r["head"] for r in docs.groupBy(home.alias("home")).agg(F.max("doc_id").alias("head")).collect()}
+    # buckets that no row is in are left out
+    number = {b: i for i, b in enumerate(sorted(firsts))}
+    heads = [firsts[b] for b in sorted(firsts)]
     n = max(1, len(heads))
-    table = F.lit([bucket_of.get(i, 0) for i in range(CELLS)])
-    b, home, wrap = (free_name(docs, x) for x in ("n_bucket", "n_home", "n_copy"))
-    rows = docs.withColumn(home, F.get(table, cell) if n > 1 else F.lit(0))
-    is_head = F.col("doc_id").eqNullSafe(F.get(F.lit(heads).cast("array<bigint>"), F.col(home))) if heads else F.lit(False)
-    before = F.pmod(F.col(home) - 1, F.lit(n))
-    rows = rows.withColumn(b, F.explode(F.when(is_head, F.array(F.struct(F.col(home).alias("b"), F.lit(0).alias("copy")), F.struct(before.alias("b"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col(home).alias("b"), F.lit(0).alias("copy"))))))
+    texts = lambda xs: F.split(F.lit(",".join("" if x is None else str(x) for x in xs)), ",")
+    b, at, wrap = (free_name(docs, x) for x in ("n_bucket", "n_home", "n_copy"))
+    rows = docs.withColumn(at, F.get(texts([number.get(i, 0) for i in range(len(bounds) + 1)]).cast("array<int>"), home) if n > 1 else F.lit(0))
+    head = F.get(F.transform(texts(heads), lambda x: F.nullif(x, F.lit("")).cast("bigint")), F.col(at))
+    is_head = F.col("doc_id").eqNullSafe(head) if heads else F.lit(False)
+    before = F.pmod(F.col(at) - 1, F.lit(n))
+    rows = rows.withColumn(b, F.explode(F.when(is_head, F.array(F.struct(F.col(at).alias("b"), F.lit(0).alias("copy")), F.struct(before.alias("b"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col(at).alias("b"), F.lit(0).alias("copy"))))))
     rows = rows.withColumn(wrap, F.col(b)["copy"]).withColumn(b, F.col(b)["b"])
     w = Window.partitionBy(b).orderBy(F.col(wrap), F.col("doc_id").desc_nulls_last(), "text")
     got = rows.select(*docs.columns, wrap, *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
@@ -140,11 +152,12 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     """The contract of op7: fingerprints of every text and of its edited text."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_signatures(rows, "text", "sigs"), ["text", "sigs"])
-    n = F.length("text")
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("left(text, length(text) - length(text) div 3)"), F.expr("left(next_text, length(text) div 3)"))).drop("next_text", "text")
-    rows = with_signatures(rows, "edited", "edited_sigs")
+    rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"])
+    edited = F.concat(F.expr("left(text, length(text) - length(text) div 3)"), F.expr("left(next_text, length(text) div 3)"))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
+    # texts cross the shuffle, and signatures, which are as long, are worked out behind it
+    for text, out in (("text", "sigs"), ("next_text", "next_sigs"), ("edited", "edited_sigs")):
+        rows = with_signatures(rows, text, out)
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),

@@ -417,6 +417,63 @@ def test_spotsigs(docs, empty):
     assert spotsigs.query(docs).count() == docs.count() and spotsigs.query(empty).count() == 0
 
 
+def brute_signatures(text):
+    """The signatures of a text, by loops; hashes chain from one value to the next, beginning with 42."""
+    import xxhash
+
+    def chain(*xs):
+        h = 42
+        for x in xs:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        return h - (1 << 64) * (h >> 63)
+
+    import regex
+
+    w = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+    out = set()
+    for i, x in enumerate(w):
+        if x in spotsigs.ANCHORS:
+            after = [y for y in w[i + 1 :] if y not in spotsigs.ANCHORS][: spotsigs.CHAIN]
+            if len(after) == spotsigs.CHAIN:
+                out.add(chain(x, *after))
+    return out or {chain(*w[i : i + 3]) for i in range(len(w) - 2)} or {chain(text)}
+
+
+def test_spotsigs_by_brute_force(spark, sf):
+    """Fingerprints and likenesses of all documents."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in d.collect()), reverse=True)
+    got = {r["doc_id"]: r for r in spotsigs.query(d).collect()}
+    said = lambda s: "".join(f"{x & (2**64 - 1):016X}" for x in sorted(s))
+    alike = lambda a, b: len(a & b) / len(a | b)
+    for i, (k, t) in enumerate(rows):
+        nxt = rows[(i + 1) % len(rows)][1]
+        own, other, edited = (brute_signatures(x) for x in (t, nxt, t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]))
+        r = got[k]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (said(own), said(edited))
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((alike(own, edited), alike(own, other)))
+
+
+def test_spotsigs_neighbours(spark, monkeypatch):
+    """Small buckets, an id far from all others, ties and rows without an id: every row has the next one."""
+    r = random.Random(8)
+    ids = [r.randrange(500) for _ in range(300)] + [10**17, -(10**17), None, None, 7, 7]
+    rows = [(x, f"text {r.random()}" if x != 7 else "same") for x in ids]
+    monkeypatch.setattr(spotsigs, "BUCKET", 2000)
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_bucket", F.lit("clash"))
+    got = spotsigs.with_next(d.repartition(5), ["text"])
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]]))
+    assert sorted((str(x["doc_id"]), x["text"], x["next_text"]) for x in got.collect()) == want and "n_bucket" in got.columns
+
+
+def test_spotsigs_links(docs):
+    d = docs.dropDuplicates(["doc_id"])
+    pairs = [(r["a"], r["b"]) for r in spotsigs.near_pairs(d).collect()]
+    got = {r["doc_id"]: r for r in spotsigs.near_duplicates(d).collect()}
+    assert len(got) == d.count() and all(r["links"] == sum(r["class_id"] in p for p in pairs) for r in got.values())
+
+
 def test_spotsigs_pairs(docs):
     d = docs.dropDuplicates(["doc_id"])
     sets = {r["doc_id"]: set(r["sigs"]) for r in spotsigs.with_signatures(d.select("doc_id", "text"), "text", "sigs").collect()}
