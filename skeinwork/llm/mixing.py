@@ -174,12 +174,13 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     rows = docs.withColumns({size: _size(F.col("text")), h: F.xxhash64("text")})
     sized = stage(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(size).alias("size"), F.col(h).alias("h")), "mix-sizes")
     decided = copies(sized, share, cap, weights)
-    # a row meets its unit by one hash of all that makes a unit, and the unit must then agree
+    # a row meets its unit by one hash of all that makes a unit, and the unit must then agree; with the hash as the only
+    # key of the join, its turn among equal rows is found where it is
     rows = rows.withColumn(key, F.xxhash64("source", F.col("doc_id").cast("long"), size, h))
     names = dict(zip(("source", "doc_id", "size", "h", "total", "m", "key"), free_names(rows, "u_source", "u_doc_id", "u_size", "u_h", total, m, "u_key")))
     d = decided.select(F.xxhash64("source", "doc_id", "size", "h").alias(names["key"]), *[F.col(c).alias(n) for c, n in names.items() if c != "key"])
     same = rows["doc_id"].cast("long").eqNullSafe(d[names["doc_id"]]) & rows["source"].eqNullSafe(d[names["source"]]) & (rows[size] == d[names["size"]]) & (rows[h] == d[names["h"]])
-    got = rows.join(d, (rows[key] == d[names["key"]]) & same)
+    got = rows.join(d, (rows[key] == d[names["key"]]) & F.when(same, True).otherwise(False))
     turn = Window.partitionBy(key, names["source"], names["doc_id"], names["size"], names["h"]).orderBy(F.xxhash64(*plain))
     got = got.withColumn(k, F.row_number().over(turn))
     n = F.when(F.col(size) == 0, 1).otherwise(_share(F.col(names["total"]), F.col(names["m"]), F.col(k))).cast("int")
