@@ -1,14 +1,17 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Pass one parses every page, leaves out what is never article text (by element and by class or id), and scores the
-containers that are left by the share of the page's text that they hold. A container is named by its generalised path:
-element names with their first class, digits as #. Spark adds the scores up by host and path, pre-aggregated, so a host
-with a third of all pages costs a row per task and path. The host's path is the deepest that holds most of the text on
-most of its pages, or the outermost article or main around it. Pass two parses the pages again and takes the containers
-on their host's path; a page that has none falls back on its own best container.
+containers that are left by the share of the page's text that they hold, in millionths. A container is named by its
+generalised path: element names with their first class, digits as #. Paths go as hashes that are chained from container to
+container, so time and memory grow with the page however deep it is. Spark adds the scores up by host and path,
+pre-aggregated, so a host with a third of all pages costs a row per task and path; whole numbers add up alike in any
+order. The host's path is the deepest that holds most of the text of its pages, or the outermost article or main around
+it. Pass two parses the pages again and takes the containers on their host's path; a page that has none falls back on its
+own best container.
 
 Blocks follow block elements; br and inline markup are white space or nothing. Null html counts as empty; pages without
-a host vote as one group, by themselves if they have no path in common.
+a host, a null url among them, vote as one group, by themselves if they have no path in common. Rows that repeat are each
+extracted; an empty table gives an empty result, and extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -44,6 +48,7 @@ signup login related recommended recirc outbrain taboola skip complementary cont
 COMMENTS = frozenset("comment comments commentlist commentary respond reply replies disqus discussion".split())
 NEGATED = frozenset("no non not without has have with hide hides".split())
 _CLOSES_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+_LISTS = frozenset({"ul", "ol", "dl", "table", *CONTAINERS})
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 
 
@@ -78,13 +83,34 @@ def _step(tag: str, attributes: str) -> tuple[str, bool, str]:
     return tag + name, hidden, mark
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of each block of a page that isn't left out, in page order. A marked element that holds most of the
-    page's text stays, and so do comments that hold all of it."""
-    found: list[list[tuple[str, str | None, tuple[int, ...]]]] = []
-    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # element, path, left out, marked elements around it
-    marks: list[str] = []
-    run: list[tuple[str, str | None, tuple[int, ...]]] = []  # text, path, marked elements around it
+class Paths:
+    """The container paths of a page as a tree: for each its parent, its hash, its depth and the last step's name."""
+
+    def __init__(self) -> None:
+        self.parent, self.hash, self.depth, self.step = [0], [0], [0], [""]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def under(self, parent: int, step: str) -> int:
+        got = self._known.get((parent, step))
+        if got is None:
+            got = self._known[parent, step] = len(self.step)
+            h = xxhash.xxh3_64_intdigest(step, self.hash[parent] & (2**64 - 1))
+            self.parent.append(parent)
+            self.hash.append(h - (1 << 64) * (h >> 63))
+            self.depth.append(self.depth[parent] + 1)
+            self.step.append(step)
+        return got
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, str]]]:
+    """The paths of a page, and (path, text) of each of its blocks that isn't left out, in page order. A marked element that
+    holds most of the page's text stays, and so do comments that hold all of it."""
+    paths = Paths()
+    found: list[list[tuple[str, int | None, int]]] = []
+    stack: list[tuple[str, int, bool, int]] = []  # element, path, left out, innermost marked element around it
+    open_: dict[str, int] = {}  # how many of each element are open
+    marks: list[tuple[str, int]] = [("", 0)]  # mark, marked element around it
+    run: list[tuple[str, int | None, int]] = []  # text, path, marked element around it
 
     def flush() -> None:
         if run:
@@ -92,15 +118,25 @@ def blocks(page: str) -> list[tuple[str, str]]:
         run.clear()
 
     def close(k: int) -> None:
-        nonlocal stack
-        stack = stack[:k]
+        while len(stack) > k:
+            open_[stack.pop()[0]] -= 1
+
+    def last(names, stop=frozenset()) -> int:
+        """The place of the innermost open element of these names, above any of `stop`; -1 if there is none."""
+        if any(open_.get(x) for x in names):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in names:
+                    return i
+                if stack[i][0] in stop:
+                    break
+        return -1
 
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else end]
         if text and not (stack and stack[-1][2]):
-            run.append((text, stack[-1][1], stack[-1][3]) if stack else (text, "", ()))
+            run.append((text, stack[-1][1], stack[-1][3]) if stack else (text, 0, 0))
         if not m:
             break
         at = m.end()
@@ -111,11 +147,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if tag in BLOCKS:
             flush()
         elif tag == "br":
-            run.append((" ", None, ()))
+            run.append((" ", None, 0))
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             # a stray end tag doesn't close the containers around it
-            if k >= 0 and (tag in BLOCKS or not any(x[0] in BLOCKS for x in stack[k + 1 :])):
+            k = last((tag,), frozenset() if tag in BLOCKS else BLOCKS)
+            if k >= 0:
                 close(k)
             continue
         if tag in RAW:
@@ -124,98 +160,119 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        if tag in _CLOSES_P:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in CONTAINERS), -1)
-            if k >= 0 and stack[k][0] == "p":
-                close(k)
-        if tag in _SIBLINGS:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _SIBLINGS[tag] or stack[i][0] in ("ul", "ol", "dl", "table", *CONTAINERS)), -1)
-            if k >= 0 and stack[k][0] in _SIBLINGS[tag]:
-                close(k)
+        if tag in _CLOSES_P and (k := last(("p",), CONTAINERS)) >= 0:
+            close(k)
+        if tag in _SIBLINGS and (k := last(_SIBLINGS[tag], _LISTS)) >= 0:
+            close(k)
         step, hidden, mark = _step(tag, attributes)
-        path = stack[-1][1] if stack else ""
+        path, out, around = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (0, False, 0)
         if tag in CONTAINERS or hidden or mark:
-            path = f"{path}>{step}" if path else step
-        around = stack[-1][3] if stack else ()
+            path = paths.under(path, step)
         if mark:
-            marks.append(mark)
-            around = (*around, len(marks) - 1)
-        stack.append((tag, path, bool(stack and stack[-1][2]) or hidden or tag in DROPPED, around))
+            marks.append((mark, around))
+            around = len(marks) - 1
+        stack.append((tag, path, out or hidden or tag in DROPPED, around))
+        open_[tag] = open_.get(tag, 0) + 1
     flush()
-    kept: set[int] = set()
-    if marks:
-        held, total = [0] * len(marks), 0
+    held, gone = [0] * len(marks), [False] * len(marks)
+    if len(marks) > 1:
         for block in found:
             for text, _, around in block:
-                n = len("".join(text.split()))
-                total += n
-                for i in around:
-                    held[i] += n
-        kept = {i for i, n in enumerate(held) if n and (n == total if marks[i] == "comments" else 2 * n > total)}
-    out = []
+                held[around] += len("".join(text.split()))
+        for i in range(len(marks) - 1, 0, -1):  # an element comes after the ones around it
+            held[marks[i][1]] += held[i]
+        for i, (mark, around) in enumerate(marks[1:], 1):
+            stays = held[i] and (held[i] == held[0] if mark == "comments" else 2 * held[i] > held[0])
+            gone[i] = gone[around] or not stays
+    out_ = []
     for block in found:
-        said = [x for x in block if kept.issuperset(x[2])]
+        said = [x for x in block if not gone[x[2]]]
         text = " ".join(entities.unescape("".join(x[0] for x in said)).split())
         if text:
-            out.append((next(x[1] for x in said if x[1] is not None), text))
-    return out
+            out_.append((next(x[1] for x in said if x[1] is not None), text))
+    return paths, out_
 
 
-def votes(page: str) -> dict[str, float]:
-    """The share of a page's text under each container path."""
-    held: dict[str, int] = {}
-    total = 0
-    for path, text in blocks(page):
+def shares(paths: Paths, got: list[tuple[int, str]]) -> dict[int, int]:
+    """The share of a page's text under each container path that has any, in millionths."""
+    held, total = [0] * len(paths.step), 0
+    for path, text in got:
+        held[path] += len(text)
         total += len(text)
-        steps = path.split(">") if path else []
-        for k in range(1, len(steps) + 1):
-            p = ">".join(steps[:k])
-            held[p] = held.get(p, 0) + len(text)
-    return {p: n / total for p, n in held.items()}
+    for i in range(len(held) - 1, 0, -1):  # a path comes after its parent
+        held[paths.parent[i]] += held[i]
+    return {i: n * 1_000_000 // total for i, n in enumerate(held) if i and n}
 
 
-def choose(shares: dict[str, float]) -> str:
-    """The deepest path that holds most of the text, or the outermost article or main on it; '' where there is none."""
-    good = [p for p, s in shares.items() if s >= 0.6]
-    if not good:
-        return ""
-    best = max(good, key=lambda p: (p.count(">"), shares[p], p))
-    steps = best.split(">")
+#: A container that holds this much is the main one, in millionths; one around it that holds so much more is taken instead.
+MOST, MORE = 600_000, 20_000
+
+
+def own_path(paths: Paths, share: dict[int, int]) -> int | None:
+    """A page's own main container, by the same rule as chosen()."""
+    chain = sorted((i for i, n in share.items() if n >= MOST), key=lambda i: paths.depth[i])
+    if not chain:
+        return None
     for want in ("article", "main"):
-        for k, s in enumerate(steps):
-            if s.split(".")[0] == want:
-                return ">".join(steps[: k + 1])
-    # containers around it that hold more of the text are taken instead
-    while len(steps) > 1 and shares.get(">".join(steps[:-1]), 0) > shares[">".join(steps)] + 0.02 and steps[-2] != "html":
-        steps.pop()
-    return ">".join(steps)
+        for i in chain:
+            if paths.step[i].split(".")[0] == want:
+                return i
+    k = len(chain) - 1
+    while k and share[chain[k - 1]] > share[chain[k]] + MORE and paths.step[chain[k - 1]] != "html":
+        k -= 1
+    return chain[k]
+
 
+def extract(page: str, path: int | None) -> str:
+    """The text of a page's blocks under a path, told by its hash, or under the page's own best path if it has no such
+    container, or no path is given."""
+    paths, got = blocks(page)
 
-def extract(page: str, path: str) -> str:
-    """The text of a page's blocks under a path, or under the page's own best path if the page has no such container."""
-    got = blocks(page)
-    under = lambda p: [t for q, t in got if not p or q == p or q.startswith(p + ">")]
-    return "\n".join(under(path) or under(choose(votes(page))))
+    def under(goal: int | None) -> list[str]:
+        inside = [goal is not None and h == goal for h in paths.hash]
+        for i in range(1, len(inside)):
+            inside[i] = inside[i] or inside[paths.parent[i]]
+        return [t for i, t in got if inside[i]]
+
+    if text := under(path):
+        return "\n".join(text)
+    own = own_path(paths, shares(paths, got))
+    return "\n".join(t for _, t in got) if own is None else "\n".join(under(paths.hash[own]))
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(h, p, s) for h, x in zip(batch.column("host").to_pylist(), batch.column("html")) for p, s in votes(x.as_py() or "").items()]
-        cols = list(zip(*rows)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["host", "path", "share"])
+        rows = []
+        for host, x in zip(batch.column("host").to_pylist(), batch.column("html")):
+            paths, got = blocks(x.as_py() or "")
+            rows += [(host, paths.hash[i], paths.depth[i], paths.step[i], n) for i, n in shares(paths, got).items()]
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64()))], ["host", "path", "depth", "step", "share"])
+
+
+def chosen(chain: Column) -> Column:
+    """The path of a chain of containers (array of struct(depth, share, path, step), outermost first): the outermost
+    article, or else main, or else the innermost, from which containers around it that hold more text are taken instead."""
+    of = lambda want: F.get(F.filter(chain, lambda x: F.split(x["step"], r"\.")[0] == want), 0)["path"]
+    last = F.element_at(chain, -1)
+    start = F.struct(last["path"].alias("path"), last["share"].alias("share"), F.lit(True).alias("on"))
+
+    def climb(acc: Column, x: Column) -> Column:
+        up = acc["on"] & (x["share"] > acc["share"] + MORE) & (x["step"] != "html")
+        return F.struct(F.when(up, x["path"]).otherwise(acc["path"]).alias("path"), F.when(up, x["share"]).otherwise(acc["share"]).alias("share"), up.alias("on"))
+
+    outwards = F.reverse(F.slice(chain, F.lit(1), F.greatest(F.size(chain) - 1, F.lit(0))))
+    return F.coalesce(of("article"), of("main"), F.aggregate(outwards, start, climb, lambda acc: acc["path"]))
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, path) of pages(host, html): the path that most of a host's text stands under. Only paths that
-    hold 60 % of the text or more, over all of a host's pages, are compared; these are nested, so they are few."""
-    cast = pages.select("host", "html").mapInArrow(_vote, "host string, path string, share double")
-    cast = stage(cast.groupBy("host", "path").agg(F.sum("share").alias("share")), "html-votes")
+    """(host, path) of pages(host, html): the path that most of a host's text stands under. Only paths that hold MOST of the
+    text, over all of a host's pages, are compared; these lie within one another, so they are a short chain."""
+    cast = pages.select("host", "html").mapInArrow(_vote, "host string, path long, depth int, step string, share long")
+    cast = stage(cast.groupBy("host", "path").agg(F.sum("share").alias("share"), F.min("depth").alias("depth"), F.min("step").alias("step")), "html-votes")
     n = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    mean = cast.join(n, "host").withColumn("share", F.col("share") / F.col("pages")).where("share >= 0.6")
-    steps = F.size(F.split("path", ">"))
-    best = mean.groupBy("host").agg(F.max_by("path", F.struct(steps, "share", "path")).alias("best"), F.map_from_entries(F.collect_set(F.struct("path", "share"))).alias("shares"))
-    choice = F.udf(lambda shares: choose(shares or {}), "string")
-    return best.select("host", choice("shares").alias("path"))
+    mean = cast.join(n, "host").withColumn("share", F.expr("share div pages")).where(F.col("share") >= MOST)
+    return mean.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("depth", "share", "path", "step"))).alias("chain")).select("host", chosen(F.col("chain")).alias("path"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -225,7 +282,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(x.as_py() or "", p or "") for x, p in zip(batch.column("html"), batch.column("path").to_pylist())]
+            texts = [extract(x.as_py() or "", p) for x, p in zip(batch.column("html"), batch.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     got = rows.join(paths, "host", "left").select("page_id", "url", "html", "path")

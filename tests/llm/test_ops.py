@@ -512,7 +512,27 @@ def test_html(spark):
 ])
 def test_html_marks(page, want):
     """Only real marks leave an element out, and never one that holds most of the text."""
-    assert "\n".join(x for _, x in html.blocks(page)) == want
+    assert "\n".join(x for _, x in html.blocks(page)[1]) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + "deep", "<div class='x1 ad'>" * 20_000 + "deep", "<b>" * 30_000 + "</i>" * 30_000 + "deep", "<blockquote><p>" * 15_000 + "deep", "<ul><li>" * 15_000 + "deep", "<p>" * 30_000 + "deep"])
+def test_html_deep_pages(page):
+    """Time grows with the page, however deep it is."""
+    import time
+
+    at = time.perf_counter()
+    assert html.extract(page, None).strip() == "deep"
+    assert time.perf_counter() - at < 10
+
+
+def test_html_votes_decide(spark):
+    """A page on which another container is longer than the article: alone it would be taken along, the host's vote says
+    where the article is. So with votes all pages are right, and without them one is wrong."""
+    page = lambda a, b: f"<html><body><article><p>{a}</p></article><section class='box'><p>{b}</p></section></body></html>"
+    pages = [(i, f"http://h.example/{i}", page(f"article {i} " + "some words " * 30, "a box")) for i in range(20)] + [(99, "http://h.example/99", page("a short one", "box words " * 30))]
+    got = {r["page_id"]: r["text"] for r in html.query(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[99] == "a short one" and all(got[i].startswith("article") and "box" not in got[i] for i in range(20))
+    assert "box words" in html.extract(pages[-1][2], None)
 
 
 def test_urls(spark):
