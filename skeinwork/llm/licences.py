@@ -1,11 +1,14 @@
 """Licence scans by canonical digests.
 
-A text's canonical form is lower case, without copyright lines, with equivalent spellings made one, and with every run
-of other characters than letters and digits as one space. Its digest is joined by hash with the digests of known licence
-texts: the whole text first, and each line as a text of its own for the one-line notices, by lookup within the row. The
-known digests are a fixed list of under a hundred entries, which bounds the broadcast.
-
-Null and empty texts match nothing. Rows that share a doc_id and a text are each reported.
+A text's canonical form is lower case, without the line that names a short licence at its head and without copyright lines
+(and an "all rights reserved" right below one), with equivalent spellings made one, and with every run of other characters
+than letters and digits as one space. Its digest is joined by hash with the digests of known licence texts: the whole text
+first, and each line as a text of its own for the one-line notices, by lookup within the row. The known digests are a
+fixed list of under a hundred entries, which bounds the broadcast.
+
+Null and empty texts match nothing. Rows that share a doc_id and a text, or have no doc_id, are each reported; an empty
+table gives an empty result. Extra columns stay as they are; where one is called like a new column, the new one gets a name
+with _ after it.
 """
 
 from __future__ import annotations
@@ -66,6 +69,34 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 }
 KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace("THIS SOFTWARE IS", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS", 1)
 
+KNOWN["Unlicense"] = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+
+# Canonical digests of longer licence texts, by name; of Apache-2.0 with and without its appendix.
+DIGESTS = (
+    ("Apache-2.0", "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847"),
+    ("Apache-2.0", "108490d21e2d3edc9128233e48fabc169818d0c7c5f0bbdd58231a367d2d6c87"),
+    ("Artistic-1.0-Perl", "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd"),
+    ("GFDL-1.3", "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-3.0", "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8"),
+    ("LGPL-2.0", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
+
 # Notices of one line.
 NOTICES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License, Version 2.0."),
@@ -81,13 +112,15 @@ NOTICES = {
     "all-rights-reserved": ("All rights reserved.",),
 }
 #: A line that starts like this, to its end, is a copyright line.
-COPYRIGHT = r"(^|\n)[ \t/*#;-]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*"
+COPYRIGHT = r"(^|\n)[ \t/*#;-]*(copyright[ \t]*(\(c\)|©|[0-9]|\[yyyy\])|\(c\)|©)[^\n]*(\n[ \t/*#;-]*all rights reserved\.?[ \t\r]*)?"
+#: The line that names a short licence at the head of its text.
+TITLE = r"^[ \t\r\n]*(the )?((mit|expat|isc|x11|zlib|bsd( zero clause| [23]-clause)?|[023]-clause bsd|simplified bsd|new bsd|modified bsd) licen[sc]e( \([^\n)]*\))?|boost software license - version 1\.0 - august 17th, 2003)[ \t\r.:]*\n"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; see the module."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT, "$1"), r"[^\p{L}\p{N}]+", " ")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, TITLE, ""), COPYRIGHT, "$1"), r"[^\p{L}\p{N}]+", " ")
     t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -96,7 +129,7 @@ def canonical(text: Column) -> Column:
 
 def canonical_text(text: str) -> str:
     """As canonical, for one text on the driver."""
-    t = re.sub(COPYRIGHT, r"\1", text.lower())
+    t = re.sub(COPYRIGHT, r"\1", re.sub(TITLE, "", text.lower()))
     t = " " + re.sub(r"[\W_]+", " ", t).strip() + " "
     for a, b in SPELLINGS:
         t = t.replace(f" {a} ", f" {b} ")
@@ -110,7 +143,7 @@ def digest(text: Column) -> Column:
 def known(spark: SparkSession) -> DataFrame:
     """(digest, licence, notice) of the known texts and notices: a fixed list of under a hundred rows."""
     of = lambda t: hashlib.sha256(canonical_text(t).encode()).hexdigest()
-    rows = [(of(t), k, False) for k, t in KNOWN.items()] + [(of(t), k, True) for k, ts in NOTICES.items() for t in ts]
+    rows = [(of(t), k, False) for k, t in KNOWN.items()] + [(of(t), k, True) for k, ts in NOTICES.items() for t in ts] + [(d, k, False) for k, d in DIGESTS]
     return spark.createDataFrame(sorted(set(rows)), "digest string, licence string, notice boolean")
 
 
@@ -124,8 +157,9 @@ def scan(docs: DataFrame) -> DataFrame:
     table = {r["digest"]: r["licence"] for r in known(docs.sparkSession).where("notice").collect()}
     marks = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
     found = F.array_sort(F.array_distinct(F.array_compact(F.transform(said, lambda x: marks[digest(x)]))))
-    rows = docs.withColumn("licence_digest", F.when(F.length(canonical(F.col("text"))) > 0, digest(F.col("text")))).withColumn("notices", F.array_join(found, ","))
-    got = rows.join(texts.select(F.col("digest").alias(key), F.col("licence")), F.col("licence_digest") == F.col(key), "left")
+    said_digest, said_licence, said_notices = (free_name(docs, x) for x in ("licence_digest", "licence", "notices"))
+    rows = docs.withColumn(said_digest, F.when(F.length(canonical(F.col("text"))) > 0, digest(F.col("text")))).withColumn(said_notices, F.array_join(found, ","))
+    got = rows.join(texts.select(F.col("digest").alias(key), F.col("licence").alias(said_licence)), F.col(said_digest) == F.col(key), "left")
     return got.drop(key)
 
 

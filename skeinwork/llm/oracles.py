@@ -1,11 +1,12 @@
-"""DuckDB twins of the training-data queries that SQL can express. They share fixed values with the operators, no logic."""
+"""DuckDB twins of the training-data queries that SQL can express. They share fixed values with the operators;
+the licence scan's also shares the Python function that turns the known texts into digests."""
 
 from __future__ import annotations
 
 import hashlib
 import string
 
-from .licences import COPYRIGHT, KNOWN, NOTICES, SPELLINGS, canonical_text
+from .licences import COPYRIGHT, DIGESTS, KNOWN, NOTICES, SPELLINGS, TITLE, canonical_text
 from .quality import MEASURES, MIN_GROUP, REACH
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,14 +25,14 @@ SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.c) AS component_id F
 
 def licence_scan() -> str:
     def canonical(t: str) -> str:
-        t = f"regexp_replace(lower(coalesce({t}, '')), '{COPYRIGHT}', '\\1', 'g')"
+        t = f"regexp_replace(regexp_replace(lower(coalesce({t}, '')), '{TITLE}', ''), '{COPYRIGHT}', '\\1', 'g')"
         t = f"' ' || trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
         for a, b in SPELLINGS:
             t = f"replace({t}, ' {a} ', ' {b} ')"
         return f"trim({t})"
 
     of = lambda t: hashlib.sha256(canonical_text(t).encode()).hexdigest()
-    rows = sorted({(of(t), k, False) for k, t in KNOWN.items()} | {(of(t), k, True) for k, ts in NOTICES.items() for t in ts})
+    rows = sorted({(of(t), k, False) for k, t in KNOWN.items()} | {(of(t), k, True) for k, ts in NOTICES.items() for t in ts} | {(d, k, False) for k, d in DIGESTS})
     values = ", ".join(f"('{d}', '{k}', {str(n).lower()})" for d, k, n in rows)
     return f"""WITH k AS (SELECT * FROM (VALUES {values}) t(digest, licence, notice)), c AS (SELECT doc_id, text, {canonical('text')} c FROM documents),
 l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line FROM documents), d AS (SELECT doc_id, sha256({canonical('line')}) digest FROM l WHERE regexp_matches(line, '(?i)licen[sc]e|rights reserved')),

@@ -165,6 +165,21 @@ def test_licences(spark, docs, empty):
         assert row["c"] == licences.canonical_text(text)
 
 
+def test_licence_files(spark):
+    """Whole licence files as they are found: with titles, holders, another layout or spelling; and texts that are not one."""
+    mit, bsd = licences.KNOWN["MIT"], licences.KNOWN["BSD-3-Clause"]
+    rows = [
+        (1, f"MIT License\n\nCopyright (c) 2020 Jane Doe\n\n{mit}\n", "MIT"), (2, f"The MIT License (MIT)\n\nCopyright © 2011-2020 X\n{mit}".replace("\n\n", "\r\n \n"), "MIT"),
+        (3, f"Copyright (c) 2019, The Authors\nAll rights reserved.\n\n{bsd}", "BSD-3-Clause"), (4, f"BSD 3-Clause License\n\nCopyright 2019 X. All rights reserved.\n\n{bsd}".replace("copyright holder", "copyright owner"), "BSD-3-Clause"),
+        (5, licences.KNOWN["Unlicense"].upper(), "Unlicense"), (6, mit + " except on Sundays", None), (7, "MIT License\n", None), (8, "All rights reserved.", "all-rights-reserved"), (9, "MIT License", None),
+    ]
+    got = {r["doc_id"]: r["licence"] for r in licences.query(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    assert got == {i: want for i, _, want in rows}
+    odd = spark.createDataFrame([(1, mit, "a", 2, None)], "doc_id long, text string, licence string, Notices int, licence_key string")
+    assert licences.scan(odd).columns == [*odd.columns, "licence_digest", "notices_", "licence_"] and licences.scan(odd).first()["licence_"] == "MIT"
+    assert licences.scan(odd).first()["licence"] == "a"
+
+
 def test_additive_learns():
     r = np.random.default_rng(1)
     x = r.random((4000, 3))
