@@ -52,7 +52,7 @@ class Tokens:
     PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7e\xa1-\xa7\xa9\xab\xac\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*")
     LETTERS = r"a-z\xdf-\xf6\xf8-\xff"
     WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t\n\v\f\r 0-9{LETTERS}]+")
-    MOST = 1_000_000
+    MOST = 600_000
 
     def __init__(self, path: str):
         import os
@@ -73,23 +73,24 @@ class Tokens:
 
     def _learn(self, chunks: pa.Array) -> None:
         """Ids of new chunks, of many at once with spaces between them, cut by the number of words in each."""
-        texts = chunks.to_pylist()
-        words = np.array([len(self.WORD.findall(c.lower())) for c in texts], np.int64)
-        groups = [texts[i : i + 128] for i in range(0, len(texts), 128)]
-        said, size = [self.said], np.empty(len(texts), np.int64)
-        for k, e in enumerate(self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            part = slice(128 * k, 128 * k + len(groups[k]))
-            # e.word_ids numbers the words of the group; its steps are where a word begins
-            begins = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1))
-            if len(begins) == words[part].sum():
-                size[part] = np.diff(np.concatenate([begins, [len(e.ids)]])[np.concatenate([[0], np.cumsum(words[part])])])
-                said.append(np.array(e.ids, "<u4"))
-            else:
-                each = self._ids(groups[k])
-                size[part] = [len(x) // 4 for x in each]
-                said.append(np.frombuffer(b"".join(each), "<u4"))
+        said, size = [self.said], [self.size]
+        for at in range(0, len(chunks), 128 * 64):
+            texts = chunks.slice(at, 128 * 64).to_pylist()
+            words = [len(self.WORD.findall(c.lower())) for c in texts]
+            groups = range(0, len(texts), 128)
+            for k, e in zip(groups, self.tokenizer.encode_batch([" ".join(texts[k : k + 128]) for k in groups], add_special_tokens=False)):
+                # e.word_ids numbers the words of the group; its steps are where a word begins
+                begins = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1))
+                counts = np.cumsum([0, *words[k : k + 128]])
+                if len(begins) == counts[-1]:
+                    size.append(np.diff(np.append(begins, len(e.ids))[counts]))
+                    said.append(np.array(e.ids, "<u4"))
+                else:
+                    each = self._ids(texts[k : k + 128])
+                    size.append(np.array([len(x) // 4 for x in each], np.int64))
+                    said.append(np.frombuffer(b"".join(each), "<u4"))
         self.known = pa.concat_arrays([self.known, chunks])
-        self.size, self.said = np.concatenate([self.size, size]), np.concatenate(said)
+        self.size, self.said = np.concatenate(size), np.concatenate(said)
 
     def of(self, texts: list[str]) -> list[bytes]:
         plain = [self.PLAIN.fullmatch(t) and not any(a in t for a in self.added) for t in texts]
@@ -97,10 +98,12 @@ class Tokens:
             self._forget()
         lists = pc.ascii_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.large_string()))
         chunks = lists.flatten().dictionary_encode()
-        new = chunks.dictionary.filter(pc.invert(pc.is_in(chunks.dictionary, value_set=self.known)))
-        if len(new):
-            self._learn(new)
-        number = pc.index_in(chunks.dictionary, value_set=self.known).to_numpy()[chunks.indices.to_numpy()]
+        place = pc.index_in(chunks.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = place < 0
+        if new.any():
+            place[new] = np.arange(len(self.known), len(self.known) + new.sum())
+            self._learn(chunks.dictionary.filter(pa.array(new)))
+        number = place[chunks.indices.to_numpy()]
         held = self.size[number]
         first, upto = (np.cumsum(self.size) - self.size)[number], np.concatenate([[0], np.cumsum(held)])
         said = self.said[np.arange(upto[-1]) + np.repeat(first - upto[:-1], held)].tobytes()
@@ -112,7 +115,7 @@ class Tokens:
 _tokens: dict[str, Tokens] = {}
 
 
-def _groups(column: pa.Array, most: int = 1 << 23) -> Iterator[tuple[list[int], list[str]]]:
+def _groups(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[list[int], list[str]]]:
     """Rows and texts, so many at once as hold about `most` characters; null texts are empty."""
     rows, texts, held = [], [], 0
     for row, x in enumerate(column):
