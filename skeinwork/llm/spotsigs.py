@@ -129,8 +129,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     # the place of an id among the bounds, by halving; buckets go from the largest ids to the smallest, and then nulls
     table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     place, step = F.lit(0), 1 << len(bounds).bit_length()
+    halve = lambda k: lambda i: F.when((i + k <= len(bounds)) & (F.get(table, i + (k - 1)) <= F.col("doc_id")), i + k).otherwise(i)
     while step := step >> 1:
-        place = let(place, lambda i, k=step: F.when((i + k <= len(bounds)) & (F.get(table, i + (k - 1)) <= F.col("doc_id")), i + k).otherwise(i))
+        place = let(place, halve(step))
     home = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(len(bounds) - place) if bounds else F.lit(0)
     firsts = {r["home"]: r["head"] for r in docs.groupBy(home.alias("home")).agg(F.max("doc_id").alias("head")).collect()}
     # buckets that no row is in are left out

@@ -480,6 +480,9 @@ def test_spotsigs_neighbours(spark, monkeypatch):
     order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]]))
     assert sorted((str(x["doc_id"]), x["text"], x["next_text"]) for x in got.collect()) == want and "n_bucket" in got.columns
+    # and no bucket holds most of the rows
+    seen = got.select("doc_id", F.spark_partition_id().alias("part")).where("doc_id IS NOT NULL").groupBy("part").count().collect()
+    assert len(seen) > 1
 
 
 def test_spotsigs_links(docs):
