@@ -5,7 +5,9 @@ of one tree is one aggregate of gradients by (node, feature, bin), which has at
 whatever the input, and the driver only picks splits from it. Scoring is a sum of CASE expressions over the bins.
 Training uses about `sample` distinct labelled URLs (those with the smallest hashes); scoring covers every row.
 
-Null urls and urls without :// have an empty host and path, match no rule, and are scored like the others.
+Null urls and urls without :// have an empty host and path, match no rule, and are scored like the others. Rows that
+repeat, or have no page_id, are each judged; an empty table gives an empty result, and without labels of both kinds the
+score is the same for all.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stage, table
+from .common import bounded, free_name, stage, table
 
 #: Rules of the query: (verdict, host and path); a fixed list.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -163,13 +165,14 @@ def fit(labelled: DataFrame, trees: int = 12, rate: float = 0.3, ridge: float =
 
 
 def filter_urls(pages: DataFrame, model: UrlModel, rules=RULES, limit: float = 0.5) -> DataFrame:
-    """pages with host, path, rule, verdict, score: the longest rule decides, else a score over `limit` blocks."""
+    """pages with host, path, rule, verdict, score: the longest rule decides, else a score over `limit` blocks. Where a
+    column of pages is called like a new one, the new one gets a name with _ after it."""
     host, path = parts(F.col("url"))
-    rows = pages.withColumns({"host": host, "path": path})
+    rows = pages.select(F.struct("*").alias("row"), "url").withColumns({"host": host, "path": path})
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     scored = model.score(rows).withColumns({"rule": rule, "says": says})
-    verdict = F.coalesce("says", F.when(F.col("score") > limit, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).drop("says")
+    scored = scored.withColumn("verdict", F.coalesce("says", F.when(F.col("score") > limit, "block").otherwise("allow")))
+    return scored.select("row.*", *[F.col(c).alias(free_name(pages, c)) for c in ("host", "path", "rule", "verdict", "score")])
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:

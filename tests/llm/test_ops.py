@@ -196,6 +196,31 @@ def test_additive_query(spark, sf, docs):
     assert additive.featured(docs).dropna().count() == docs.count()
 
 
+def test_additive_held_out(spark, tmp_path):
+    """Rows that training never sees are told apart; on a larger table, as the small one holds out a dozen only."""
+    sf = "/root/testdata/sf0.01"
+    got = additive.query(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+    out = got[got.held_out]
+    assert (out.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in out.doc_id]).all()
+    good, bad = out[out.quality == 1].score.to_numpy(), out[out.quality == 0].score.to_numpy()
+    auc = ((good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean()) if len(bad) else 1
+    assert len(good) > 50 and len(bad) > 5 and auc > 0.95
+    assert ((got.score >= 0.7) == got.predicted).all()
+
+
+def test_additive_edges(spark, tmp_path, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(3, 1, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    odd = docs.withColumnsRenamed({"extra": "q_n", "Text2": "x_marks"}).unionByName(spark.createDataFrame([(None, None, None, None, 0, 1, ""), (None, "", "en", "s", 0, 1, "")], "doc_id long, text string, lang string, source string, n_chars long, q_n int, x_marks string"))
+    for k, (d, m) in enumerate([(odd, some), (odd, none), (empty, some), (empty, none)]):
+        d.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        m.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        got = additive.query(spark, f"{tmp_path}/{k}").toPandas()
+        assert len(got) == d.count() and got.score.between(0, 1).all() and got.predicted.isin([0, 1]).all()
+        if k == 1:
+            assert got.score.nunique() == 1 and not got[got.doc_id.isna()].held_out.any()
+
+
 def test_pii(spark, empty):
     t = "mail a.b@c-d.org, ip 1.2.3.4 or 1.2.3.456, card 4111 1111 1111 1111 not 4111111111111112, +1 (555) 123-4567 and 00.1.2.3.4"
     rows = spark.createDataFrame([(1, t), (2, None), (3, ""), (3, ""), (4, 'é token = "0123456789abcdef0123456789abcdef"')], "doc_id long, text string")
@@ -566,6 +591,44 @@ def test_urls(spark):
     ]
 
 
+def test_urls_scores_by_hand(spark, sf):
+    """Features and scores of all pages, worked out by loops from the trees."""
+    import math
+
+    pages, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("pages", "labels"))
+    m = urls.fit(urls.labelled_urls(pages, labels))
+    assert m.trees
+
+    def score(u):
+        u = u or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        query = (re.search(r"[?]([^#]*)", u) or ["", ""])[1]
+        n = Counter(u)
+        entropy = sum(k / len(u) * math.log2(len(u) / k) for k in n.values())
+        rate = m.suffixes.get(host.rsplit(".", 1)[-1], 0.0)
+        digits = sum(c.isdigit() for c in u)
+        raw = {
+            "length": len(u), "host_length": len(host), "depth": path.count("/"), "labels": host.count(".") + 1, "hyphens": host.count("-"), "digits": 100 * digits // max(1, len(u)),
+            "host_digits": sum(c.isdigit() for c in host), "parameters": query.count("="), "escapes": u.count("%"), "secure": int(u.startswith("https:")), "entropy": int(10 * entropy + 1e-9), "suffix": int(100 * rate),
+        }
+        bins = {k: max(0, min(urls.BINS - 1, v // urls.FEATURES[k][0])) for k, v in raw.items()}
+        leaf = lambda t: t if isinstance(t, float) else leaf(t[2] if bins[t[0]] <= t[1] else t[3])
+        return 1 / (1 + math.exp(-(m.base + sum(map(leaf, m.trees)))))
+
+    for r in urls.filter_urls(pages.select("page_id", "url"), m).collect():
+        assert r["score"] == pytest.approx(score(r["url"]))
+        assert r["verdict"] == ("block" if r["score"] > 0.5 else "allow") or r["rule"]
+
+
+def test_urls_clashing_names(spark):
+    odd = spark.createDataFrame([(1, "http://a.com/en/1", "h", "q", "u", 5), (1, None, None, None, None, None)], "page_id long, url string, host string, query string, u string, score int")
+    got = urls.filter_urls(odd, urls.UrlModel(0.0, {}))
+    assert got.columns == [*odd.columns, "host_", "path", "rule", "verdict", "score_"]
+    assert {(r["host"], r["host_"], r["verdict"], r["u"]) for r in got.collect()} == {("h", "a.com", "block", "u"), (None, "", "allow", None)}
+
+
 def test_urls_model(spark):
     r = random.Random(1)
     rows = [(f"http://{'spam-' if i % 4 == 0 else ''}h{r.randrange(99)}.example.com/en/{i}", i % 4 == 0) for i in range(800)]
