@@ -12,6 +12,18 @@ from .connected import components
 Cut = Callable[[DataFrame], DataFrame]
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, cut: Cut) -> DataFrame:
+    """rows with their place in an order, from 0, without a task that holds them all: they are sorted by ranges and
+    written, each range counts its own, and the driver gets one number a range."""
+    place, part = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1), F.spark_partition_id()
+    by_range = cut(rows.orderBy(*order).select("*", place.alias("_place"), part.alias("_part")))
+    upto, before = 0, [F.lit(-1), F.lit(0).cast("bigint")]
+    for r in sorted(by_range.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        before += [F.lit(r["_part"]), F.lit(upto).cast("bigint")]
+        upto += r["n"]
+    return by_range.select(*rows.columns, (F.col("_place") + F.create_map(*before)[F.col("_part")]).alias(name))
+
+
 def ends(edges: DataFrame) -> DataFrame:
     """(eid, v, w): each edge from both of its ends; a loop comes twice."""
     e = edges.select("eid", "u", "v")
@@ -99,7 +111,7 @@ def simplify(edges: DataFrame, cut: Cut) -> DataFrame:
     if not rank or not rank["has_cycle"]:
         return got.limit(0).select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), "edges")
     got = cut(got)
-    ids = got.select(F.explode(F.array("u", "v")).alias("x")).distinct().select("x", (F.row_number().over(Window.orderBy("x")) - 1).cast("bigint").alias("id"))
+    ids = numbered(got.select(F.explode(F.array("u", "v")).alias("x")).distinct(), ["x"], "id", cut)
     a, b = ids.select(F.col("x").alias("u"), F.col("id").alias("a")), ids.select(F.col("x").alias("v"), F.col("id").alias("b"))
     return got.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"), "edges")
 
@@ -144,9 +156,9 @@ def wl_key(labels: DataFrame) -> DataFrame:
     return counts.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "label", "n"))), ";").cast("binary")).alias("wl_hash"))
 
 
-def label_key(edges: DataFrame) -> DataFrame:
+def label_key(edges: DataFrame, cut: Cut) -> DataFrame:
     """One row: n and the sorted edge list after numbering labels by their text. For single small graphs."""
-    ids = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct().select("x", (F.row_number().over(Window.orderBy(F.col("x").cast("string"))) - 1).alias("id"))
+    ids = numbered(edges.select(F.explode(F.array("u", "v")).alias("x")).distinct().withColumn("said", F.col("x").cast("string")), ["said"], "id", cut)
     return _key(edges, ids)
 
 
@@ -157,13 +169,13 @@ def _key(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return pairs.agg(text.alias("edge_list")).join(ids.agg(F.count("*").alias("n"))).select("n", "edge_list")
 
 
-def canonical_key(edges: DataFrame) -> DataFrame:
+def canonical_key(edges: DataFrame, cut: Cut) -> DataFrame:
     """One row: n and the sha256 of the edge list after numbering vertices by degree, loops, neighbours' degrees and id."""
     deg = degrees(edges)
     loops = edges.where("u = v").groupBy(F.col("u").alias("v")).agg(F.count("*").alias("loops"))
     around = ends(edges).join(deg.withColumnRenamed("v", "w").withColumnRenamed("degree", "other"), "w").groupBy("v").agg(F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: F.lpad(x.cast("string"), 6, "0")), ",").alias("around"))
     sign = deg.join(loops, "v", "left").join(around, "v").select(F.col("v").alias("x"), "degree", F.coalesce("loops", F.lit(0)).alias("loops"), "around")
-    ids = sign.select("x", (F.row_number().over(Window.orderBy("degree", "loops", "around", "x")) - 1).alias("id"))
+    ids = numbered(sign, ["degree", "loops", "around", "x"], "id", cut)
     return _key(edges, ids).select("n", F.sha2(F.concat_ws("|", "n", "edge_list"), 256).alias("canonical_key"))
 
 

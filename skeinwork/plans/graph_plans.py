@@ -187,8 +187,8 @@ def plans():
         "simplify_edges": (lambda s, d: graphs.simplify(forest_ring(s, d), cut), f"WITH {WHOLE}, {ENDS}, i AS (SELECT v AS x, row_number() OVER (ORDER BY v) - 1 AS id FROM deg) SELECT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v, CAST(2 AS BIGINT) AS edges FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v"),
         "diameter_avgpath": (lambda s, d: graphs.diameter(cut(whole(s, d)), cut).select("is_connected", "diameter", (F.round("average_path", 6) + 0.0).alias("average_path")), DIST + " SELECT count(*) = max(n) * max(n) AS is_connected, CASE WHEN count(*) = max(n) * max(n) THEN CAST(max(d) AS BIGINT) END AS diameter, CASE WHEN count(*) = max(n) * max(n) THEN round(CAST(sum(d) AS DOUBLE) / (max(n) * (max(n) - 1)), 6) + 0.0 END AS average_path FROM di, n"),
         "wl_hash": (_wl, wl_sql()),
-        "label_key": (lambda s, d: graphs.label_key(whole(s, d)), LABEL + f" SELECT (SELECT count(*) FROM i) AS n, {LIST} AS edge_list FROM p"),
-        "canonical_key": (lambda s, d: graphs.canonical_key(whole(s, d)), CANON + f" SELECT (SELECT count(*) FROM i) AS n, sha256((SELECT count(*) FROM i) || '|' || {LIST}) AS canonical_key FROM p"),
+        "label_key": (lambda s, d: graphs.label_key(whole(s, d), cut), LABEL + f" SELECT (SELECT count(*) FROM i) AS n, {LIST} AS edge_list FROM p"),
+        "canonical_key": (lambda s, d: graphs.canonical_key(whole(s, d), cut), CANON + f" SELECT (SELECT count(*) FROM i) AS n, sha256((SELECT count(*) FROM i) || '|' || {LIST}) AS canonical_key FROM p"),
         "pick_edge": (lambda s, d: graphs.pick_edge(whole(s, d)), PICK + " SELECT eid, u, v FROM pick"),
         "edge_delete": (_delete, PICK + " SELECT eid, u, v FROM e WHERE eid <> (SELECT eid FROM pick)"),
         "edge_contract": (_contract, PICK + ", g AS (SELECT greatest(u, v) gone, least(u, v) keep FROM pick) SELECT eid, CASE WHEN u = gone THEN keep ELSE u END AS u, CASE WHEN v = gone THEN keep ELSE v END AS v FROM e, g WHERE eid <> (SELECT eid FROM pick)"),
