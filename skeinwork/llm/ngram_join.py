@@ -279,11 +279,11 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     same set, and component_id the smallest doc_id that links reach, itself included."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bins = text.select("text").mapInArrow(_sketch(width), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    bins = stage(bins, "ngram-sketch")
+    bins = stage(bins, "ngram-sketch", batch=2000)
     mean = (bins.agg(F.sum("n")).first()[0] or 0) / (1 << BITS)
     flags = np.zeros(1 << BITS, bool)
     flags[[r[0] for r in bins.where(F.col("n") > mean + 6 * mean**0.5 + 12).select("bin").collect()]] = True
-    marked = stage(text.mapInArrow(_prefixes(width, percent, np.packbits(flags).tobytes()), "doc_id long, n int, d1 long, d2 long, prefix array<long>"), "ngram-prefixes")
+    marked = stage(text.mapInArrow(_prefixes(width, percent, np.packbits(flags).tobytes()), "doc_id long, n int, d1 long, d2 long, prefix array<long>"), "ngram-prefixes", batch=2000)
 
     key = ["n", "d1", "d2"]
     classes = stage(marked.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "ngram-classes")
