@@ -13,6 +13,7 @@ result. Extra columns aren't read by the query, and are carried along by the hel
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,13 +116,13 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, sigs: DataFrame | None =
     return scored.where(F.col("similarity") >= threshold)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs (with doc_id, text) and next_<c> for each of `columns`: that of the next document by descending doc_id, ties
     by text, null ids last; after the last comes the first again.
 
     No task holds all rows: quantiles of the ids, as many as the texts ask for, deal them into buckets of like size, the
     first row of each bucket is also sent to the bucket before it, and each bucket is windowed by itself. The driver gets
-    two numbers a bucket."""
+    two numbers a bucket. derive: adds columns behind the shuffle, which `columns` may name."""
     held = docs.agg(F.sum(F.length("text") + 100)).first()[0] or 0
     parts = max(1, min(BUCKETS, held // BUCKET))
     found = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts + 100)).first()[0] if parts > 1 else None
@@ -147,18 +148,20 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     rows = rows.withColumn(b, F.explode(F.when(is_head, F.array(F.struct(F.col(at).alias("b"), F.lit(0).alias("copy")), F.struct(before.alias("b"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col(at).alias("b"), F.lit(0).alias("copy"))))))
     rows = rows.withColumn(wrap, F.col(b)["copy"]).withColumn(b, F.col(b)["b"])
     w = Window.partitionBy(b).orderBy(F.col(wrap), F.col("doc_id").desc_nulls_last(), "text")
-    got = rows.select(*docs.columns, wrap, *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    rows = rows.drop(at)
+    rows = derive(rows.repartition(b)) if derive else rows
+    got = rows.select(*[c for c in rows.columns if c not in (b, wrap)], wrap, *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return got.where(F.col(wrap) == 0).drop(wrap)
 
 
 def query(docs: DataFrame) -> DataFrame:
     """The contract of op7: fingerprints of every text and of its edited text."""
-    rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"])
+    # texts alone cross the shuffle: signatures, which are as long, are worked out behind it
+    own = lambda df: with_signatures(df, "text", "sigs")
+    rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text", "sigs"], own)
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 3)"), F.expr("left(next_text, length(text) div 3)"))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
-    # texts cross the shuffle, and signatures, which are as long, are worked out behind it
-    for text, out in (("text", "sigs"), ("next_text", "next_sigs"), ("edited", "edited_sigs")):
-        rows = with_signatures(rows, text, out)
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited).drop("text", "next_text")
+    rows = with_signatures(rows, "edited", "edited_sigs")
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("sigs")).alias("fingerprint"), as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
