@@ -158,7 +158,9 @@ def scan(docs: DataFrame) -> DataFrame:
     marks = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
     found = F.array_sort(F.array_distinct(F.array_compact(F.transform(said, lambda x: marks[digest(x)]))))
     said_digest, said_licence, said_notices = (free_name(docs, x) for x in ("licence_digest", "licence", "notices"))
-    rows = docs.withColumn(said_digest, F.when(F.length(canonical(F.col("text"))) > 0, digest(F.col("text")))).withColumn(said_notices, F.array_join(found, ","))
+    # the digest is a column of its own first, so that the canonical form is worked out once
+    rows = docs.withColumn(said_digest, digest(F.col("text"))).withColumn(said_notices, F.array_join(found, ","))
+    rows = rows.withColumn(said_digest, F.when(F.col(said_digest) != hashlib.sha256(b"").hexdigest(), F.col(said_digest)))
     got = rows.join(texts.select(F.col("digest").alias(key), F.col("licence").alias(said_licence)), F.col(said_digest) == F.col(key), "left")
     return got.drop(key)
 
