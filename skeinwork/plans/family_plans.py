@@ -168,6 +168,13 @@ h AS (SELECT g, CAST(ne - bit_count(mask) AS INTEGER) AS removed, CAST(bit_count
 ABSTRACT = SUBSETS + ", t AS (SELECT g, e, sum(n * CASE WHEN (mu + beta) % 2 = 0 THEN 1 ELSE -1 END * CAST(factorial(2 * beta) // (factorial(CAST(beta + e AS INTEGER)) * factorial(CAST(beta - e AS INTEGER))) AS BIGINT)) c FROM (SELECT *, unnest(range(-beta, beta + 1)) e FROM h) GROUP BY g, e HAVING c <> 0) SELECT g, string_agg(e || ':' || c, ' ' ORDER BY e) AS poly FROM t GROUP BY g"
 
 
+def _known(hopf):
+    """Polynomials of the codes, lowest exponent 0. A point is -1, a ring sigma, three edges sigma less its
+    square; the Hopf link has its nine equal terms, or the published ones with compatible smoothing."""
+    rows = {"hopf_1": hopf, "hopf_2": hopf, "ring": "0:-1 1:-1 2:-1", "point": "0:-1", "theta": "0:-1 1:-1 2:-2 3:-1 4:-1"}
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{p}')" for g, p in rows.items()) + ") t(g, poly)"
+
+
 def events_poly(spark, d, col):
     """A polynomial per user: exponents and coefficients from events."""
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -257,5 +264,5 @@ def plans():
         "poly_rollup": (_rollup, f"WITH {P}, a AS ({total('SELECT * FROM p')}) SELECT coalesce(g, -1) AS g, coalesce(e, -99) AS e, CAST(sum(c) AS BIGINT) AS coeff, count(*) AS terms FROM a GROUP BY ROLLUP (g, e)"),
         "yamada_consensus": (_consensus, CONSENSUS),
         "negami": (_negami, SUBSETS + " SELECT g, removed, beta, mu, n FROM h"), "yamada_abstract": (_abstract, ABSTRACT), "yamada_sigma": (_sigma, None), "yamada_recursive": (_recursive, None),
-        "laurent_to_sigma": (_back, None), "family_dataset": (_dataset, None), "yamada_states": (_states, None), "yamada_diagram": (_diagram(False), None), "yamada_diagram_compatible": (_diagram(True), None),
+        "laurent_to_sigma": (_back, None), "family_dataset": (_dataset, None), "yamada_states": (_states, None), "yamada_diagram": (_diagram(False), _known("0:1 1:1 2:1 3:1 4:1 5:1 6:1 7:1 8:1")), "yamada_diagram_compatible": (_diagram(True), _known("0:1 1:1 2:1 4:-1 5:-2 6:-2 7:-1")),
     }
