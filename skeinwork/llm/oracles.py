@@ -67,3 +67,26 @@ lv AS (SELECT g.lang, g.source, g.m, {floor(f'({pick("b10")})')} p10, {floor(f'(
 th AS (SELECT lang, source, {', '.join(f"max(CASE WHEN m = '{m}' THEN p50 + {REACH} * s END) h_{m}" for m in MEASURES)}, max(CASE WHEN m = 'length' THEN p50 - {REACH} * s END) low FROM (SELECT *, greatest(p50 - p10, CASE m {least} END) s FROM lv) GROUP BY lang, source)
 SELECT q.doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({far} OR coalesce(v_length < low, false)) AS kept
 FROM q LEFT JOIN th ON th.lang IS NOT DISTINCT FROM q.lang AND th.source IS NOT DISTINCT FROM q.source"""
+
+
+def filter_audit() -> str:
+    letters = [(c, 1 << i) for i, c in enumerate("ABCDE")]
+    values = ", ".join(f"('{c}', {b})" for c, b in letters)
+    names = [f"o{i}" for i in range(1, 6)]
+    order = "concat(" + ", ".join(f"{n}.f" for n in names) + ")"
+    other = " AND ".join(f"{a}.f <> {b}.f" for i, a in enumerate(names) for b in names[:i])
+    step = lambda i: f"SELECT {order} filter_order, {i} step, {names[i - 1]}.b own, {' + '.join(f'{n}.b' for n in names[: i - 1]) or '0'} before_ FROM {', '.join(f'fl {n}' for n in names)} WHERE {other}"
+    steps = " UNION ALL ".join(step(i) for i in range(1, 6))
+    return f"""WITH fl AS (SELECT * FROM (VALUES {values}) t(f, b)), st AS ({steps}),
+t AS (SELECT doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{WORD}') ws FROM documents), fi AS (SELECT t, min(doc_id) least_ FROM t GROUP BY t),
+lb AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) good, coalesce(bool_or(toxic = 1), false) toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) good, coalesce(toxic, false) toxic, CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(t.t, '[^A-Z]+', '', 'g')) > 5 * length(t.t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t.t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN t.doc_id > least_ THEN 16 ELSE 0 END mask FROM t JOIN fi ON fi.t = t.t LEFT JOIN lb ON lb.doc_id = t.doc_id),
+c AS (SELECT part, mask, count(*) n, count(*) FILTER (good) g, count(*) FILTER (toxic) x FROM m GROUP BY part, mask)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER ((mask & (own | before_)) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before_) = 0), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before_) <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(g) FILTER ((mask & own) <> 0 AND (mask & before_) = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(x) FILTER ((mask & own) <> 0 AND (mask & before_) = 0), 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER ((mask & own) <> 0), 0) AS BIGINT) AS shapley
+FROM c, st GROUP BY part, filter_order, step, own, before_"""
+
+
+def exact_top_k() -> str:
+    return """WITH e AS (SELECT row_number() OVER () row_, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row_ r, q.vec_id query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.row_ <> q.row_)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 5"""

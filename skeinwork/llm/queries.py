@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import additive, html, licences, mixing, ngram_join, oracles, packing, pii, quality, spotsigs, urls
+from . import additive, audit, blockmax, html, licences, mixing, ngram_join, oracles, packing, pii, quality, spotsigs, urls, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,9 @@ def queries() -> dict[str, Query]:
         "op8_html_main_text": lambda s, d: html.query(table(s, d, "pages")),
         "op9_url_filter": urls.query,
         "op10_quality_rules": lambda s, d: quality.query(table(s, d, "documents")),
+        "op11_whitening": lambda s, d: whitening.query(table(s, d, "embeddings")),
+        "op12_filter_audit": audit.query,
+        "op13_exact_top_k": lambda s, d: blockmax.query(table(s, d, "embeddings")),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -35,4 +38,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_jaccard_join": oracles.ngram_join(),
         "op2_licence_scan": oracles.licence_scan(),
         "op10_quality_rules": oracles.quality_rules(),
+        "op12_filter_audit": oracles.filter_audit(),
+        "op13_exact_top_k": oracles.exact_top_k(),
     }
