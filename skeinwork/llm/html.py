@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from .common import stage
 from .urls import parts
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_START = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?/]")
+# the rest of a tag; of tags that begin within one another and aren't ended, three at most are in the midst of it at any
+# place, as a quote takes the states outside, in "" and in '' to different ones: all matches together take linear time
+_REST = re.compile(r"((?>[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 # Elements without content, with raw content, that hold no article text, that are blocks, that hold articles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +52,7 @@ COMMENTS = frozenset("comment comments commentlist commentary respond reply repl
 NEGATED = frozenset("no non not without has have with hide hides".split())
 _CLOSES_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _LISTS = frozenset({"ul", "ol", "dl", "table", *CONTAINERS})
+_STOPS = (BLOCKS, CONTAINERS, _LISTS)
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 
 
@@ -102,68 +106,113 @@ class Paths:
         return got
 
 
+class Tokens:
+    """(start, end, element, whether it ends it, attributes) of the tags of a page from the place `at`, which whoever reads
+    them may move on; comments and declarations have element ''. A tag with an odd quote ends at the next >; what has none
+    after it is text. Every search for a mark that isn't there is made once, so the time is linear in the page."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.at, self._gt = page, 0, 0
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        page = self.page
+        while m := _START.search(page, self.at):
+            at = self.at = m.end()
+            if m[0] == "<!--":
+                end = page.find("-->", at)
+                self.at = len(page) if end < 0 else end + 3
+                yield m.start(), self.at, "", False, ""
+            elif m[2] and (rest := _REST.match(page, at)):
+                self.at = rest.end()
+                yield m.start(), self.at, m[2].lower(), bool(m[1]), rest[1]
+            else:
+                if 0 <= self._gt < at:
+                    self._gt = page.find(">", at)
+                if self._gt >= 0:
+                    self.at = self._gt + 1
+                    yield m.start(), self.at, (m[2] or "").lower(), bool(m[1]), page[at : self._gt]
+
+
+class Open:
+    """The open elements of a page as a stack of (element, path, left out, innermost marked element around it), and where each
+    element and each kind of element stands in it."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, int]] = []
+        self._places: dict[object, list[int]] = {}
+
+    @staticmethod
+    def _keys(tag: str) -> list[object]:
+        return [tag, *(kind for kind in _STOPS if tag in kind)]
+
+    def push(self, tag: str, path: int, out: bool, around: int) -> None:
+        for key in self._keys(tag):
+            self._places.setdefault(key, []).append(len(self.stack))
+        self.stack.append((tag, path, out, around))
+
+    def close(self, k: int) -> None:
+        while len(self.stack) > k:
+            for key in self._keys(self.stack.pop()[0]):
+                self._places[key].pop()
+
+    def _top(self, key: object) -> int:
+        return (self._places.get(key) or (-1,))[-1]
+
+    def last(self, names, stop: frozenset = frozenset()) -> int:
+        """The place of the innermost open element of these names, above any of `stop`; -1 if there is none."""
+        k = max(map(self._top, names))
+        return k if k >= self._top(stop) else -1
+
+
 def blocks(page: str) -> tuple[Paths, list[tuple[int, str]]]:
     """The paths of a page, and (path, text) of each of its blocks that isn't left out, in page order. A marked element that
     holds most of the page's text stays, and so do comments that hold all of it."""
     paths = Paths()
     found: list[list[tuple[str, int | None, int]]] = []
-    stack: list[tuple[str, int, bool, int]] = []  # element, path, left out, innermost marked element around it
-    open_: dict[str, int] = {}  # how many of each element are open
+    open_ = Open()
+    stack = open_.stack
     marks: list[tuple[str, int]] = [("", 0)]  # mark, marked element around it
     run: list[tuple[str, int | None, int]] = []  # text, path, marked element around it
+    endless: set[str] = set()  # elements with raw content that have no end tag any more
 
     def flush() -> None:
         if run:
             found.append(run.copy())
         run.clear()
 
-    def close(k: int) -> None:
-        while len(stack) > k:
-            open_[stack.pop()[0]] -= 1
-
-    def last(names, stop=frozenset()) -> int:
-        """The place of the innermost open element of these names, above any of `stop`; -1 if there is none."""
-        if any(open_.get(x) for x in names):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in names:
-                    return i
-                if stack[i][0] in stop:
-                    break
-        return -1
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else end]
+    def say(text: str) -> None:
         if text and not (stack and stack[-1][2]):
             run.append((text, stack[-1][1], stack[-1][3]) if stack else (text, 0, 0))
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+
+    at, tags = 0, Tokens(page)
+    for start, end, tag, closing, attributes in tags:
+        say(page[at:start])
+        at = end
         if not tag:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag in BLOCKS:
             flush()
         elif tag == "br":
             run.append((" ", None, 0))
         if closing:
             # a stray end tag doesn't close the containers around it
-            k = last((tag,), frozenset() if tag in BLOCKS else BLOCKS)
+            k = open_.last((tag,), frozenset() if tag in BLOCKS else BLOCKS)
             if k >= 0:
-                close(k)
+                open_.close(k)
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else (end if tag in ("script", "style") else at)
+            stop = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if stop is None:
+                endless.add(tag)
+            at = stop.end() if stop else (len(page) if tag in ("script", "style") else at)
+            tags.at = at
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        if tag in _CLOSES_P and (k := last(("p",), CONTAINERS)) >= 0:
-            close(k)
-        if tag in _SIBLINGS and (k := last(_SIBLINGS[tag], _LISTS)) >= 0:
-            close(k)
+        if tag in _CLOSES_P and (k := open_.last(("p",), CONTAINERS)) >= 0:
+            open_.close(k)
+        if tag in _SIBLINGS and (k := open_.last(_SIBLINGS[tag], _LISTS)) >= 0:
+            open_.close(k)
         step, hidden, mark = _step(tag, attributes)
         path, out, around = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (0, False, 0)
         if tag in CONTAINERS or hidden or mark:
@@ -171,8 +220,8 @@ def blocks(page: str) -> tuple[Paths, list[tuple[int, str]]]:
         if mark:
             marks.append((mark, around))
             around = len(marks) - 1
-        stack.append((tag, path, out or hidden or tag in DROPPED, around))
-        open_[tag] = open_.get(tag, 0) + 1
+        open_.push(tag, path, out or hidden or tag in DROPPED, around)
+    say(page[at:])
     flush()
     held, gone = [0] * len(marks), [False] * len(marks)
     if len(marks) > 1:

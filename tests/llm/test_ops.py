@@ -568,6 +568,28 @@ def test_html_deep_pages(page):
     assert time.perf_counter() - at < 10
 
 
+@pytest.mark.parametrize("piece", ["<a", '<a "', "</x ", "<title>", "<textarea>", "<a '\"", "<!x", "<", "<!--", "<p><b>", "<i><div><b></i>", "<a =", "<td><p><b>", "<script>", "<section id=comments>", "<b>", "</b>"])
+def test_html_hostile_pages(piece):
+    """A megabyte of tags, quotes, comments and raw elements that aren't ended takes seconds."""
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    at = time.perf_counter()
+    html.extract(page, None)
+    html.extract("<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, None)
+    assert time.perf_counter() - at < 15
+
+
+def test_html_odd_ends():
+    """Tags without an end are text, raw content may hold what looks like one, a title without an end is left alone."""
+    said = lambda x: [t for _, t in html.blocks(x)[1]]
+    assert said("one <a href='x") == ["one <a href='x"]
+    assert said("a<title><!--</title>b<p>c") == ["a", "b", "c"]
+    assert said("<p title='a>b'>c</p ><title>d") == ["c", "d"]
+    assert said('<p a="b>c</p>"d') == ["c", '"d']
+    assert said("a<!-- b <p>") == ["a"]
+
+
 def test_html_votes_decide(spark):
     """A page on which another container is longer than the article: alone it would be taken along, the host's vote says
     where the article is. So with votes all pages are right, and without them one is wrong."""
