@@ -11,9 +11,12 @@ the words of the pair stay the same, so until the root a source's words are exac
 Tree: documents are dealt by hash into groups of about FAN, each group is folded into decisions and one residual, the
 residuals of FAN groups meet in the next level. A level is a written table of a FAN-th of the one before, so a hot source
 is many groups, and a lost executor costs a group. At the root the last residual of a source meets about SPARE documents
-that were kept for it. There a document's pivot is all smaller ones together: largest first, each gives its words to them
-or takes the missing ones from them, with the odds that keep its expectation, as far as they can take or give them; where
-they can't, it goes the way that leaves less. So a source's words are off by about the smallest documents.
+that were kept for it. There a document's pivot is all smaller ones together, largest first: it gives words to them or
+takes words from them, from each in proportion to size * p * (1 - p), until it or one of them becomes integral. The odds
+again keep every expectation, whatever the documents' own p, and the words stay the same. One document a source is left,
+which is drawn by its own p (column `drawn` of copies): a source's words are off by part of its size. It is a small one
+unless a large document has more to give than all smaller ones can take, as happens in sources of few documents; no
+rounding without bias can keep such a source's words.
 
 Random numbers are hashes of (doc_id, size, text hash, level): reruns and retries agree. Repeated rows with the same
 source, doc_id and text are one unit with a count, whose copies are dealt evenly. Null and empty texts have size 0 and are
@@ -34,6 +37,8 @@ from .common import free_names, let, stage, words
 FAN = 32
 #: Units of a source, on average, that wait for the root.
 SPARE = 256
+#: A p so near to 0 or 1 is taken as it: less than a word for documents of a million words.
+NEAR = 1e-9
 #: Sources whose targets are broadcast, at 100 bytes each.
 BROADCAST_SOURCES = 50_000
 WEIGHTS = (3, 1, 2)
@@ -94,26 +99,42 @@ def _fold(items: Column, level: int) -> Column:
 
 
 def _root(items: Column) -> Column:
-    """Decisions for all items of a root group, largest first: each against all smaller ones together; see the module."""
-    kind = "array<struct<doc_id:bigint,size:bigint,h:bigint,m:bigint,whole:bigint,extra:int>>"
-    total = lambda f: F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
-
-    def step(acc: Column, x: Column) -> Column:
-        need, rest = acc["need"], acc["rest"] - x["size"]
-        # words over or short of the need that the smaller ones can't make up for
-        taken = F.greatest(F.lit(0.0), x["size"] - need) + F.greatest(F.lit(0.0), need - x["size"] - rest)
-        left = F.greatest(F.lit(0.0), need - rest)
-        drawn = _chance(x, 1000) * acc["rest"] < need
-        extra = F.when(taken < left, 1).when(taken > left, 0).otherwise(drawn.cast("int"))
-        return let(extra, lambda e: F.struct((need - e * x["size"]).alias("need"), rest.alias("rest"), F.concat(acc["out"], F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["h"].alias("h"), x["m"].alias("m"), x["whole"].alias("whole"), e.alias("extra")))).alias("out")))
-
-    start = F.struct(total(lambda x: x["p"] * x["size"]).alias("need"), total(lambda x: x["size"].cast("double")).alias("rest"), F.array().cast(kind).alias("out"))
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+    """Decisions for all items of a root group, largest first: each against all smaller ones together; see the module. Each
+    step decides one item at least, so as many steps as items leave one, which is drawn by its own p."""
+    done = "array<struct<doc_id:bigint,size:bigint,h:bigint,m:bigint,whole:bigint,extra:int,drawn:boolean>>"
+    say = lambda x, extra, drawn: F.struct(*[x[c].alias(c) for c in ("doc_id", "size", "h", "m", "whole")], extra.cast("int").alias("extra"), F.lit(drawn).alias("drawn"))
+    near = lambda p: F.when(p < NEAR, 0.0).when(p > 1 - NEAR, 1.0).otherwise(p)
+    moved = lambda x, words: x.withField("p", near(x["p"] + words / x["size"]))
+    share = lambda x: x["size"] * x["p"] * (1 - x["p"])
+    total = lambda xs, zero, f: F.aggregate(xs, F.lit(zero), f)
+
+    def settle(x: Column, rest: Column) -> Column:
+        """x and the rest after one exchange."""
+        sums = F.struct(
+            total(rest, 0.0, lambda a, y: a + share(y)).alias("all"), total(rest, 0.0, lambda a, y: F.greatest(a, y["p"])).alias("high"), total(rest, 1.0, lambda a, y: F.least(a, y["p"])).alias("low")
+        )
+        ends = lambda t: F.struct(F.least(x["p"] * x["size"], t["all"] / t["high"]).alias("give"), F.least((1 - x["p"]) * x["size"], t["all"] / (1 - t["low"])).alias("take"), t["all"].alias("all"))
+        way = lambda e: F.struct(F.when(_chance(x, 1000) * (e["give"] + e["take"]) < e["take"], e["give"]).otherwise(-e["take"]).alias("gone"), e["all"].alias("all"))
+        both = lambda g: F.concat(F.array(moved(x, -g["gone"])), F.transform(rest, lambda y: moved(y, g["gone"] * share(y) / g["all"])))
+        return let(sums, lambda t: let(ends(t), lambda e: let(way(e), both)))
+
+    def step(acc: Column, _: Column) -> Column:
+        open_ = acc["open"]
+        after = settle(F.get(open_, 0), F.slice(open_, 2, F.greatest(F.size(open_) - 1, F.lit(0))))
+        sorted_ = lambda xs: F.struct(
+            F.filter(xs, lambda x: (x["p"] > 0) & (x["p"] < 1)).alias("open"),
+            F.concat(acc["out"], F.transform(F.filter(xs, lambda x: (x["p"] <= 0) | (x["p"] >= 1)), lambda x: say(x, x["p"], False))).alias("out"),
+        )
+        return F.when(F.size(open_) > 1, let(after, sorted_)).otherwise(acc)
+
+    start = F.struct(items.alias("open"), F.array().cast(done).alias("out"))
+    last = lambda acc: F.concat(acc["out"], F.transform(acc["open"], lambda x: say(x, _chance(x, 2000) < x["p"], True)))
+    return F.aggregate(F.sequence(F.lit(1), F.size(items)), start, step, last)
 
 
 def copies(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(source, doc_id, size, h, m, source_size, target, total) from a table with doc_id, source, size and h, the hash of
-    the text: the m rows of a unit get `total` copies together."""
+    """(source, doc_id, size, h, m, source_size, target, total, drawn) from a table with doc_id, source, size and h, the hash of
+    the text: the m rows of a unit get `total` copies together. drawn: the one unit of a source that no pivot decided."""
     unit = ["doc_id", "size", "h"]
     aims = stage(targets(sized, share, cap, weights).withColumnRenamed("source", "aim_source"), "mix-aims")
     if aims.count() <= BROADCAST_SOURCES:  # else it is joined like any other table
@@ -126,7 +147,8 @@ def copies(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tupl
     units = stage(units.withColumn("bucket", F.pmod(F.xxhash64(*unit), buckets)).drop("want"), "mix-units")
     most = units.agg(F.max(buckets)).first()[0] or 1
     settled = (F.col("size") == 0) | (F.col("p") == 0)
-    fixed = units.where(settled).select("source", *unit, "m", "whole", F.lit(0).alias("extra"))
+    pivot = F.lit(False).alias("drawn")
+    fixed = units.where(settled).select("source", *unit, "m", "whole", F.lit(0).alias("extra"), pivot)
     spare = F.pmod(F.xxhash64(*unit, F.lit("spare")), F.greatest(F.lit(1), F.ceil(F.col("units") / SPARE))) == 0
     todo, parts = units.where(~settled & ~spare), [fixed]
     for level in range(1 + math.ceil(math.log(most, FAN)) if most > 1 else 1):
@@ -134,7 +156,7 @@ def copies(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tupl
         groups = todo.groupBy("source", "bucket").agg(F.sort_array(F.collect_list(item)).alias("items"))
         folded = groups.select("source", "bucket", F.explode(_fold(F.col("items"), level)).alias("d"))
         done = stage(folded.select("source", F.floor(F.col("bucket") / FAN).alias("bucket"), "d.*"), f"mix-level{level}")
-        parts.append(done.where(F.col("extra").isNotNull()).select("source", *unit, "m", "whole", "extra"))
+        parts.append(done.where(F.col("extra").isNotNull()).select("source", *unit, "m", "whole", "extra", pivot))
         todo = done.where(F.col("extra").isNull()).drop("extra")
     last = ["source", *unit, "m", "whole", "p"]
     root = todo.select(*last).unionByName(units.where(~settled & spare).select(*last))
@@ -145,7 +167,7 @@ def copies(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tupl
     for x in parts[1:]:
         decided = decided.unionByName(x)
     got = decided.join(aims.drop("units"), decided["source"].eqNullSafe(F.col("aim_source")), "left")
-    return got.select("source", *unit, "m", "source_size", "target", (F.col("whole") + F.col("extra")).alias("total"))
+    return got.select("source", *unit, "m", "source_size", "target", (F.col("whole") + F.col("extra")).alias("total"), "drawn")
 
 
 def _share(total: Column, m: Column, k: Column) -> Column:

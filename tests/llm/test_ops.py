@@ -360,20 +360,41 @@ def test_mixing_near_targets(spark):
     assert (abs(sums.taken - sums.target) < 20).all()
 
 
-def test_mixing_keeps_to_targets(spark, sf):
-    """Words of every source come near their target whichever way the draws fall."""
+def mix_units(rows):
+    return rows.select("doc_id", "source", "size", F.col("doc_id").alias("h"))
+
+
+def test_mixing_pivots_decide_all_but_one(spark, sf):
+    """At most one document a source is drawn by itself, and a source's words are off by less than its size."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    source = {r["doc_id"]: r["source"] for r in docs.collect()}
-    least = {}
-    for r in docs.collect():
-        least.setdefault(r["source"], []).append(len(words(r["text"])))
-    for shift in (0, 1000, 2000):
-        got = mixing.query(docs.withColumn("doc_id", F.col("doc_id") + shift)).toPandas()
-        got["source"] = (got.doc_id - shift).map(source)
-        sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
-        for s, r in sums.iterrows():
-            # with ten documents a source, by half of its largest; with more, by its smallest (test_mixing_near_targets)
-            assert abs(r.taken - r.target) <= max(least[s]) / 2 + 1
+    sized = docs.select("doc_id", "source", F.size(mixing.words(F.col("text"))).cast("long").alias("size"))
+    got = mixing.copies(mix_units(sized)).toPandas()
+    for _, own in got.groupby("source"):
+        left = own[own.drawn]
+        assert len(left) <= 1
+        off = abs((own.total * own["size"]).sum() - own.target.iloc[0])
+        assert off <= (left["size"].iloc[0] if len(left) else 0) + 1e-3 * len(own)
+    assert got.total.between(0, 2 * got.m).all() and len(got) == docs.count()
+
+
+@pytest.mark.parametrize("size", [lambda i: 10 + 7 * i, lambda i: 2**i], ids=["even", "steep"])
+def test_mixing_has_no_bias(spark, size):
+    """Every document of 200 like sources is taken as often as its share asks, repeated ones, with other p, among them;
+    large ones too, which the smaller ones can't always make up for."""
+    n = 12
+    rows = [(1000 * g + i, f"s{g:03}", size(i)) for g in range(200) for i in range(n)] + [(1000 * g + 3, f"s{g:03}", size(3)) for g in range(200)]
+    got = mixing.copies(mix_units(spark.createDataFrame(rows, "doc_id long, source string, size long")), share=0.37, weights=(1.0,)).toPandas()
+    got["i"] = got.doc_id % 1000
+    mean = got.groupby("i").total.mean()
+    want = got.groupby("i").apply(lambda d: (d.m * d.target / d.source_size).iloc[0], include_groups=False)
+    assert (abs(mean - want) < 4 * 0.5 / 200**0.5).all() and want.nunique() == 2
+    assert not got[~got.drawn].empty and got.groupby("source").drawn.sum().max() <= 1
+
+
+def test_mixing_of_long_texts(spark):
+    rows = [(i, "w " * n, "s") for i, n in enumerate([1_000_000, 500_000, *range(1, 200)])]
+    got = mixing.query(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert (got.taken % got["size"]).eq(0).all() and (got.taken <= 2 * got["size"]).all() and got["size"].max() == 1_000_000
 
 
 def test_mixing_clashing_names_and_nulls(spark):
