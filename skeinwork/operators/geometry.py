@@ -135,30 +135,30 @@ def ccw(found: DataFrame) -> DataFrame:
     return found.withColumn("place", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def over_under(ordered: DataFrame) -> DataFrame:
+def over_under(ordered: DataFrame, curls: bool = False) -> DataFrame:
     """(g, id, over, a0, a1, a2, a3): arcs around each crossing, rotated by one unless the first is the upper strand. A
-    crossing with fewer than four arcs is trivial and left out."""
+    crossing with fewer than four arcs, of which one is a curl, is trivial and left out unless `curls` are wanted."""
     rows = ordered.where("kind = 'x'").groupBy("g", "id").agg(F.array_sort(F.collect_list(F.struct("place", "arc_id", "z"))).alias("r"))
-    rows = rows.where(F.size(F.array_distinct(F.col("r.arc_id"))) == 4)
+    rows = rows.where(F.size(F.col("r") if curls else F.array_distinct(F.col("r.arc_id"))) == 4)
     over = F.col("r")[0]["z"] > F.col("r")[1]["z"]
     a = F.col("r.arc_id")
     turned = F.when(over, a).otherwise(F.concat(F.slice(a, 2, 3), F.slice(a, 1, 1)))
     return rows.select("g", "id", over.alias("over"), turned.alias("a")).select("g", "id", "over", *[F.col("a")[k].alias(f"a{k}") for k in range(4)])
 
 
-def codes(ordered: DataFrame) -> DataFrame:
+def codes(ordered: DataFrame, curls: bool = False) -> DataFrame:
     """(g, n_vertices, n_crossings, pd_code): vertices by id, then crossings by id, joined by ;"""
     v = ordered.where("kind = 'v'").groupBy("g", "id").agg(F.array_sort(F.collect_list(F.struct("place", "arc_id"))).alias("r")).select("g", F.lit(0).alias("k"), "id", F.concat(F.lit("V["), F.array_join(F.transform("r", lambda x: x["arc_id"].cast("string")), ","), F.lit("]")).alias("part"))
-    x = over_under(ordered).select("g", F.lit(1).alias("k"), "id", F.concat(F.lit("X["), F.concat_ws(",", "a0", "a1", "a2", "a3"), F.lit("]")).alias("part"))
+    x = over_under(ordered, curls).select("g", F.lit(1).alias("k"), "id", F.concat(F.lit("X["), F.concat_ws(",", "a0", "a1", "a2", "a3"), F.lit("]")).alias("part"))
     both = v.unionByName(x).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "id", "part"))).alias("r"))
     return both.select("g", F.size(F.filter("r", lambda p: p["k"] == 0)).cast("bigint").alias("n_vertices"), F.size(F.filter("r", lambda p: p["k"] == 1)).cast("bigint").alias("n_crossings"), F.array_join(F.col("r.part"), ";").alias("pd_code"))
 
 
-def diagram(points: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def diagram(points: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df, curls: bool = False) -> DataFrame:
     """points to codes; `cut` may store the segments and the visits, which are used several times."""
     segs = cut(segments(points))
     seen = cut(visits(crossings(segs), segs))
-    return codes(ccw(incidences(seen, segs)))
+    return codes(ccw(incidences(seen, segs)), curls)
 
 
 def canonical_turn(a: Column) -> Column:

@@ -265,7 +265,7 @@ def yamada_diagram(code: str, compatible: bool = False, normalised: bool = True)
             total = _plus(total, _times({power: c}, powers[e + loops]))
     if normalised and total:
         low = min(total)
-        total = {e - low: c * (-1) ** low for e, c in total.items()}
+        total = {e - low: -c if low % 2 else c for e, c in total.items()}
     return total
 
 
