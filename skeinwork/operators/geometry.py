@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The most cells along each axis of the bounding box in which segments look for partners.
 CELLS = 4096
+#: By how much of the box a segment's cells reach beyond it, against rounding.
+EDGE = 1e-9
 
 
 def rotation(angles: tuple[Column | float, ...], order: str, degrees: bool = True) -> list[list[Column]]:
@@ -61,35 +63,56 @@ def _turn(p: str, a: str, b: str) -> Column:
     return (c(f"{p}.x2") - c(f"{p}.x1")) * (c(f"{b}") - c(f"{p}.y1")) - (c(f"{p}.y2") - c(f"{p}.y1")) * (c(f"{a}") - c(f"{p}.x1"))
 
 
-def crossings(segs: DataFrame) -> DataFrame:
-    """(g, xid, x, y, seg1, seg2, t1, t2, z1, z2): proper crossings of the segments of a graph in the plane, seg1 < seg2.
-    Touching doesn't count: both orientation tests are strict.
+def _place(v: Column, table: str, axis: str) -> Column:
+    """The cell of a coordinate along an axis; `table` is the prefix of the columns of the grid."""
+    at = F.floor((v - F.col(f"{table}b{axis}")) / F.col(f"{table}w{axis}")).cast("int")
+    return F.least(F.col(f"{table}k{axis}") - 1, F.greatest(F.lit(0), at))
 
-    Segments are dealt to the cells of a grid over their graph's bounding box and meet by an equi-join on (g, cell); a
-    pair is taken in the one cell that holds the corner where their boxes begin to overlap, so nothing is deduplicated.
-    Along each axis there are as many cells as the mean segment fits into the box, and no more than the root of their
-    number: long segments fall into few cells each, and short ones find few others in theirs."""
+
+def dealt(segs: DataFrame) -> DataFrame:
+    """segs by the cells (cx, cy) that they pass, with the grid of their graph: where it begins (bx, by), its cells along the
+    axes (kx, ky) and their widths (wx, wy)."""
     lo, hi = (lambda a: F.least(f"{a}1", f"{a}2")), (lambda a: F.greatest(f"{a}1", f"{a}2"))
     box = segs.groupBy("g").agg(F.count("*").alias("count"), *[e for a in "xy" for e in (F.min(lo(a)).alias(f"b{a}"), F.greatest(F.max(hi(a)) - F.min(lo(a)), F.lit(1e-300)).alias(f"e{a}"), F.avg(hi(a) - lo(a)).alias(f"m{a}"))])
     many = lambda a: F.greatest(F.lit(1.0), F.least(F.lit(float(CELLS)), F.ceil(F.sqrt("count")), F.floor(F.col(f"e{a}") / F.greatest(f"m{a}", F.col(f"e{a}") / CELLS))))
     box = box.select("g", "bx", "by", *[many(a).cast("int").alias(f"k{a}") for a in "xy"], *[(F.col(f"e{a}") / many(a)).alias(f"w{a}") for a in "xy"])
-    place = lambda v, t, a: F.least(F.col(f"{t}k{a}") - 1, F.greatest(F.lit(0), F.floor((v - F.col(f"{t}b{a}")) / F.col(f"{t}w{a}")).cast("int")))
-    cell = lambda v, a: place(v, "", a)
+    cell = lambda v, a: _place(v, "", a)
     rows = segs.join(box, "g")
     for a in "xy":
         rows = rows.withColumn(f"lo{a}", F.least(f"{a}1", f"{a}2")).withColumn(f"hi{a}", F.greatest(f"{a}1", f"{a}2"))
-    rows = rows.withColumn("cx", F.explode(F.sequence(cell(F.col("lox"), "x"), cell(F.col("hix"), "x")))).withColumn("cy", F.explode(F.sequence(cell(F.col("loy"), "y"), cell(F.col("hiy"), "y"))))
+    edge = lambda a: F.col(f"k{a}") * F.col(f"w{a}") * EDGE
+    rows = rows.withColumn("cx", F.explode(F.sequence(cell(F.col("lox") - edge("x"), "x"), cell(F.col("hix") + edge("x"), "x"))))
+    # where the line enters and leaves the column
+    slope = F.when(F.col("hix") > F.col("lox"), (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
+    at = lambda x: F.col("y1") + (F.least(F.col("hix"), F.greatest(F.col("lox"), x)) - F.col("x1")) * slope
+    rows = rows.withColumn("ya", F.coalesce(at(F.col("bx") + F.col("cx") * F.col("wx") - edge("x")), "loy")).withColumn("yb", F.coalesce(at(F.col("bx") + (F.col("cx") + 1) * F.col("wx") + edge("x")), "hiy"))
+    within = lambda y: F.least(F.col("hiy"), F.greatest(F.col("loy"), y))
+    first, last = within(F.least("ya", "yb")), within(F.greatest("ya", "yb"))
+    rows = rows.withColumn("cy", F.explode(F.sequence(cell(first - edge("y"), "y"), cell(last + edge("y"), "y")))).drop("ya", "yb")
+    return rows
+
+
+def crossings(segs: DataFrame) -> DataFrame:
+    """(g, xid, x, y, seg1, seg2, t1, t2, z1, z2): proper crossings of the segments of a graph in the plane, seg1 < seg2.
+    Touching doesn't count: both orientation tests are strict.
+
+    Segments are dealt to the cells of a grid over their graph's bounding box that they pass, column by column, and meet by
+    an equi-join on (g, cell); a pair is taken in the one cell that holds its crossing, so nothing is deduplicated. Along
+    each axis there are as many cells as the mean segment fits into the box, and no more than the root of their number:
+    short ones find few others in theirs, and the longest one passes twice as many cells as there are along an axis, with
+    the few more that rounding could have it in (EDGE of the box on either side)."""
+    rows = dealt(segs)
     p, q = rows.alias("p"), rows.alias("q")
     c = F.col
-    low = lambda a: F.greatest(c(f"p.lo{a}"), c(f"q.lo{a}"))
-    here = lambda a: place(low(a), "p.", a) == c(f"p.c{a}")
-    meets = (c("p.seg") < c("q.seg")) & (c("p.lox") <= c("q.hix")) & (c("q.lox") <= c("p.hix")) & (c("p.loy") <= c("q.hiy")) & (c("q.loy") <= c("p.hiy")) & here("x") & here("y")
+    meets = (c("p.seg") < c("q.seg")) & (c("p.lox") <= c("q.hix")) & (c("q.lox") <= c("p.hix")) & (c("p.loy") <= c("q.hiy")) & (c("q.loy") <= c("p.hiy"))
     met = p.join(q, (c("p.g") == c("q.g")) & (c("p.cx") == c("q.cx")) & (c("p.cy") == c("q.cy")) & meets)
     o1, o2 = _turn("p", "q.x1", "q.y1"), _turn("p", "q.x2", "q.y2")
     o3, o4 = _turn("q", "p.x1", "p.y1"), _turn("q", "p.x2", "p.y2")
-    met = met.select("p.g", *[c(f"p.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")], c("p.seg").alias("seg1"), c("q.seg").alias("seg2"), c("p.z1").alias("pz1"), c("p.z2").alias("pz2"), c("q.z1").alias("qz1"), c("q.z2").alias("qz2"), o1.alias("o1"), o2.alias("o2"), o3.alias("o3"), o4.alias("o4"))
+    met = met.select("p.g", *[c(f"p.{k}").alias(k) for k in ("x1", "y1", "x2", "y2", "cx", "cy", "bx", "by", "kx", "ky", "wx", "wy")], c("p.seg").alias("seg1"), c("q.seg").alias("seg2"), c("p.z1").alias("pz1"), c("p.z2").alias("pz2"), c("q.z1").alias("qz1"), c("q.z2").alias("qz2"), o1.alias("o1"), o2.alias("o2"), o3.alias("o3"), o4.alias("o4"))
     met = met.where("o1 * o2 < 0 AND o3 * o4 < 0").withColumn("t1", c("o3") / (c("o3") - c("o4"))).withColumn("t2", c("o1") / (c("o1") - c("o2")))
-    found = met.select("g", "seg1", "seg2", "t1", "t2", (c("x1") + c("t1") * (c("x2") - c("x1"))).alias("x"), (c("y1") + c("t1") * (c("y2") - c("y1"))).alias("y"), (c("pz1") + c("t1") * (c("pz2") - c("pz1"))).alias("z1"), (c("qz1") + c("t2") * (c("qz2") - c("qz1"))).alias("z2"))
+    met = met.withColumn("x", c("x1") + c("t1") * (c("x2") - c("x1"))).withColumn("y", c("y1") + c("t1") * (c("y2") - c("y1")))
+    met = met.where((_place(c("x"), "", "x") == c("cx")) & (_place(c("y"), "", "y") == c("cy")))
+    found = met.select("g", "seg1", "seg2", "t1", "t2", "x", "y", (c("pz1") + c("t1") * (c("pz2") - c("pz1"))).alias("z1"), (c("qz1") + c("t2") * (c("qz2") - c("qz1"))).alias("z2"))
     w = Window.partitionBy("g").orderBy("x", "y", "seg1", "seg2")
     return found.withColumn("xid", (F.row_number().over(w) - 1).cast("bigint"))
 

@@ -173,7 +173,7 @@ def canonical_key(edges: DataFrame, cut: Cut) -> DataFrame:
     """One row: n and the sha256 of the edge list after numbering vertices by degree, loops, neighbours' degrees and id."""
     deg = degrees(edges)
     loops = edges.where("u = v").groupBy(F.col("u").alias("v")).agg(F.count("*").alias("loops"))
-    around = ends(edges).join(deg.withColumnRenamed("v", "w").withColumnRenamed("degree", "other"), "w").groupBy("v").agg(F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: F.lpad(x.cast("string"), 6, "0")), ",").alias("around"))
+    around = ends(edges).join(deg.withColumnRenamed("v", "w").withColumnRenamed("degree", "other"), "w").groupBy("v").agg(F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: F.lpad(x.cast("string"), 19, "0")), ",").alias("around"))
     sign = deg.join(loops, "v", "left").join(around, "v").select(F.col("v").alias("x"), "degree", F.coalesce("loops", F.lit(0)).alias("loops"), "around")
     ids = numbered(sign, ["degree", "loops", "around", "x"], "id", cut)
     return _key(edges, ids).select("n", F.sha2(F.concat_ws("|", "n", "edge_list"), 256).alias("canonical_key"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graphs
+from ..operators import canonical, graphs
 from .common import cut
 
 
@@ -162,12 +162,25 @@ def wl_sql():
 
 
 LABEL = f"WITH {WHOLE}, i AS (SELECT v AS x, row_number() OVER (ORDER BY CAST(v AS VARCHAR)) - 1 AS id FROM (SELECT u AS v FROM e UNION SELECT v FROM e)), p AS (SELECT least(a.id, b.id) a, greatest(a.id, b.id) b FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v)"
-CANON = f"WITH {WHOLE}, {ENDS}, lo AS (SELECT u AS v, count(*) loops FROM e WHERE u = v GROUP BY u), ar AS (SELECT ends.v, string_agg(lpad(CAST(d.degree AS VARCHAR), 6, '0'), ',' ORDER BY d.degree) around FROM ends JOIN deg d ON d.v = ends.w GROUP BY ends.v), i AS (SELECT deg.v AS x, row_number() OVER (ORDER BY degree, coalesce(loops, 0), around, deg.v) - 1 AS id FROM deg LEFT JOIN lo ON lo.v = deg.v JOIN ar ON ar.v = deg.v), p AS (SELECT least(a.id, b.id) a, greatest(a.id, b.id) b FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v)"
+CANON = f"WITH {WHOLE}, {ENDS}, lo AS (SELECT u AS v, count(*) loops FROM e WHERE u = v GROUP BY u), ar AS (SELECT ends.v, string_agg(lpad(CAST(d.degree AS VARCHAR), 19, '0'), ',' ORDER BY d.degree) around FROM ends JOIN deg d ON d.v = ends.w GROUP BY ends.v), i AS (SELECT deg.v AS x, row_number() OVER (ORDER BY degree, coalesce(loops, 0), around, deg.v) - 1 AS id FROM deg LEFT JOIN lo ON lo.v = deg.v JOIN ar ON ar.v = deg.v), p AS (SELECT least(a.id, b.id) a, greatest(a.id, b.id) b FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v)"
 LIST = "string_agg(a || '-' || b, ',' ORDER BY a, b)"
 DIST = f"WITH RECURSIVE {WHOLE}, nb AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v), vs AS (SELECT DISTINCT u FROM nb), bf AS (SELECT u AS src, u AS dst, 0 AS d FROM vs UNION SELECT src, nb.v, d + 1 FROM bf JOIN nb ON nb.u = bf.dst WHERE d < 12), di AS (SELECT src, dst, min(d) d FROM bf GROUP BY src, dst), n AS (SELECT count(*) n FROM (SELECT u FROM e UNION SELECT v FROM e))"
 PICK = f"WITH {WHOLE}, pick AS (SELECT * FROM e WHERE u <> v ORDER BY eid LIMIT 1)"
 
 
+def months(spark, d):
+    """A multigraph for each customer: from the month of an order to that of the next one."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("graph_id"), F.month("o_orderdate").alias("u"), "o_orderdate", "o_orderkey")
+    w = Window.partitionBy("graph_id").orderBy("o_orderdate", "o_orderkey")
+    return o.select("graph_id", "u", F.lead("u").over(w).alias("v")).where("v IS NOT NULL")
+
+
+def _classes(spark, d):
+    """How many customers' graphs are the same but for the names of the months, by the least customer of each class."""
+    got = canonical.keys(months(spark, d))
+    return got.groupBy("n", "canonical_key").agg(F.count("*").alias("graphs"), F.min("graph_id").alias("least"))
+
+
 def plans():
     comp = f"WITH RECURSIVE {WHOLE}, {ENDS}, {REACH}"
     return {
@@ -189,6 +202,7 @@ def plans():
         "wl_hash": (_wl, wl_sql()),
         "label_key": (lambda s, d: graphs.label_key(whole(s, d), cut), LABEL + f" SELECT (SELECT count(*) FROM i) AS n, {LIST} AS edge_list FROM p"),
         "canonical_key": (lambda s, d: graphs.canonical_key(whole(s, d), cut), CANON + f" SELECT (SELECT count(*) FROM i) AS n, sha256((SELECT count(*) FROM i) || '|' || {LIST}) AS canonical_key FROM p"),
+        "canonical_classes": (_classes, None),
         "pick_edge": (lambda s, d: graphs.pick_edge(whole(s, d)), PICK + " SELECT eid, u, v FROM pick"),
         "edge_delete": (_delete, PICK + " SELECT eid, u, v FROM e WHERE eid <> (SELECT eid FROM pick)"),
         "edge_contract": (_contract, PICK + ", g AS (SELECT greatest(u, v) gone, least(u, v) keep FROM pick) SELECT eid, CASE WHEN u = gone THEN keep ELSE u END AS u, CASE WHEN v = gone THEN keep ELSE v END AS v FROM e, g WHERE eid <> (SELECT eid FROM pick)"),
