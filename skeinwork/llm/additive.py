@@ -9,6 +9,8 @@ Training reads about SAMPLE labelled rows (those with the smallest hashes, any f
 every row. Labels, lang, source and doc_id are no inputs of a score. Null and empty texts have all measures 0 and are
 scored like others, as are rows without a doc_id, which are in no fold; equal texts have equal scores. Without labels of
 both kinds every score is the smoothed share. Extra columns aren't read.
+
+Texts are taken whole, however long; features are ratios and counts over all of a text.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ fixed list of under a hundred entries, which bounds the broadcast.
 Null and empty texts match nothing. Rows that share a doc_id and a text, or have no doc_id, are each reported; an empty
 table gives an empty result. Extra columns stay as they are; where one is called like a new column, the new one gets a name
 with _ after it.
+
+Texts are taken whole, however long: canonical forms are built in one pass.
 """
 
 from __future__ import annotations

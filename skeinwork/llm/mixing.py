@@ -22,6 +22,8 @@ Random numbers are hashes of (doc_id, size, text hash, level): reruns and retrie
 source, doc_id and text are one unit with a count, whose copies are dealt evenly. Null and empty texts have size 0 and are
 never taken by the query. Null sources are one source, null ids are told apart by their texts, an empty table gives an
 empty result, and extra columns are left alone, whatever they are called.
+
+Texts are counted whole, however long.
 """
 
 from __future__ import annotations

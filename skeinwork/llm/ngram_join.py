@@ -26,6 +26,8 @@ N-grams are 64-bit hashes; two n-grams of one pair of documents meet by chance o
 Null and blank texts have empty sets and link with nothing. Rows that share a doc_id are one vertex; rows with a null
 doc_id have no links and no component. An empty table gives an empty result. Extra columns aren't read; keep_one carries
 them along, whatever they are called.
+
+Texts are taken whole, however long: a set is as large as its text makes it.
 """
 
 from __future__ import annotations

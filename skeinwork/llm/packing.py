@@ -10,6 +10,8 @@ packed the same way, until one shard is left. Only numbers move between rounds,
 
 Null texts count as empty and give one piece of the end token alone. Rows that repeat, rows of one doc_id and rows
 without a doc_id are packed each on its own; an empty table gives no pieces. Extra columns aren't read.
+
+Texts are taken whole, however long: a text of millions of words is that many more pieces.
 """
 
 from __future__ import annotations

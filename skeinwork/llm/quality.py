@@ -9,6 +9,8 @@ lies far beyond its group's median, in units of the group's own spread below the
 
 Everything is DataFrame functions. Null text counts as empty and fails the base rule; null lang or source is a group
 of its own; an empty table gives an empty result; equal rows are judged alike; groups under MIN_GROUP documents use their language's sketch, and languages under it the sketch of all.
+
+Texts are taken whole, however long; ties at a threshold are kept, as a value must lie beyond it.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ only equal texts are alike then. Null counts as empty.
 
 Repeated rows and ties of doc_id are ordered by text; rows without a doc_id come last, and an empty table gives an empty
 result. Extra columns aren't read by the query, and are carried along by the helpers whatever they are called.
+
+Texts are taken whole, however long: a fingerprint grows with its text.
 """
 
 from __future__ import annotations
