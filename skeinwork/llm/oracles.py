@@ -8,6 +8,7 @@ import string
 
 from .licences import COPYRIGHT, DIGESTS, KNOWN, NOTICES, SPELLINGS, TITLE, canonical_text
 from .quality import MEASURES, MIN_GROUP, REACH
+from .spotsigs import ANCHORS
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -90,3 +91,17 @@ def exact_top_k() -> str:
     return """WITH e AS (SELECT row_number() OVER () row_, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.row_ r, q.vec_id query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.row_ <> q.row_)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 5"""
+
+
+def near_documents() -> str:
+    anchors = ", ".join(f"'{x}'" for x in sorted(ANCHORS))
+    return f"""WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') t FROM documents), w AS (SELECT r, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') ws FROM d),
+i AS (SELECT r, unnest(ws) x, generate_subscripts(ws, 1) i FROM w), m AS (SELECT *, x IN ({anchors}) a FROM i), n AS (SELECT *, count(*) FILTER (NOT a) OVER (PARTITION BY r ORDER BY i) k FROM m),
+ch AS (SELECT DISTINCT p.r, concat_ws(' ', p.x, b.x, c.x) g FROM n p JOIN n b ON b.r = p.r AND NOT b.a AND b.k = p.k + 1 JOIN n c ON c.r = p.r AND NOT c.a AND c.k = p.k + 2 WHERE p.a),
+ot AS (SELECT d.r, t, ws FROM d JOIN w ON w.r = d.r WHERE d.r NOT IN (SELECT r FROM ch)),
+wi AS (SELECT DISTINCT r, array_to_string(ws[p:p + 2], ' ') g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) p FROM ot WHERE len(ws) >= 3)),
+s AS (SELECT * FROM ch UNION ALL SELECT * FROM wi UNION ALL SELECT r, 'whole:' || t FROM ot WHERE len(ws) < 3),
+f AS (SELECT r, list(g ORDER BY g) g FROM s GROUP BY r), c AS (SELECT f.g, min(f.r) c, min(doc_id) class_id, len(f.g) n FROM f JOIN d ON d.r = f.r GROUP BY f.g),
+h AS (SELECT c, n, unnest(g) g FROM c), k AS (SELECT a.c a, b.c b, a.n + b.n both_, count(*) k FROM h a JOIN h b ON a.g = b.g AND a.c < b.c GROUP BY ALL),
+l AS (SELECT unnest([a, b]) c, count(*) n FROM k WHERE k / (both_ - k) >= 0.8 GROUP BY 1)
+SELECT d.doc_id, c.n AS n_signatures, c.class_id, coalesce(l.n, 0) AS links FROM d JOIN f ON f.r = d.r JOIN c ON c.g = f.g LEFT JOIN l ON l.c = c.c"""

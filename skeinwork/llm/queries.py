@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op11_whitening": lambda s, d: whitening.query(table(s, d, "embeddings")),
         "op12_filter_audit": audit.query,
         "op13_exact_top_k": lambda s, d: blockmax.query(table(s, d, "embeddings")),
+        "spot_near_documents": lambda s, d: spotsigs.near_duplicates(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -40,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_quality_rules": oracles.quality_rules(),
         "op12_filter_audit": oracles.filter_audit(),
         "op13_exact_top_k": oracles.exact_top_k(),
+        "spot_near_documents": oracles.near_documents(),
     }

@@ -73,49 +73,63 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, links) of every document: class_id is the smallest doc_id with the same signature set, and the
-    links are pairs of classes with a similarity of `threshold` or more; see near_pairs."""
-    sigs = stage(with_signatures(docs.select("doc_id", "text"), "text", "sigs").select("doc_id", "sigs"), "spot-sigs")
-    classes = _classes(sigs)
-    pairs = near_pairs(docs, threshold, sigs)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-    return classes.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    """(doc_id, n_signatures, class_id, links) of every row: its class are the rows with the same signature set, class_id
+    is their smallest doc_id, and links counts the other classes with a similarity of `threshold` or more; see near_pairs.
+    Repeated rows come as often as they are there, and rows without a doc_id are compared like all others."""
+    signed = _signed(docs)
+    sets = _sets(signed)
+    pairs = _alike(sets, threshold)
+    links = pairs.select(F.explode(F.array("c1", "c2")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
+    known = sets.select("c", "class_id", "n").join(links, "c", "left")
+    return signed.select("doc_id", "c").join(known, "c").select("doc_id", F.col("n").cast("long").alias("n_signatures"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def _classes(sigs: DataFrame) -> DataFrame:
-    key = [F.xxhash64("sigs").alias("k1"), F.hash("sigs").alias("k2"), F.size("sigs").alias("k3")]
-    keyed = sigs.select("doc_id", *key)
-    firsts = keyed.groupBy("k1", "k2", "k3").agg(F.min("doc_id").alias("class_id"))
-    return keyed.join(firsts, ["k1", "k2", "k3"]).select("doc_id", "class_id")
-
-
-def near_pairs(docs: DataFrame, threshold: float = 0.8, sigs: DataFrame | None = None) -> DataFrame:
-    """(a, b, similarity): pairs of signature classes, each under its smallest doc_id, that are alike.
+def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b, similarity): pairs of signature classes, each under its smallest doc_id (null if none of its rows has one),
+    that are alike.
 
     Sets are partitioned by length: bounds grow by 1/threshold, so a set meets only its own partition and the next.
     Within these, two sets meet only over one of the hashes that a pair at the threshold can't all miss: the first
     n - ceil(threshold * n) + 1 of each in the order of how many sets hold them, the rarest first, so that passages which
-    many texts share come last and seldom bring two sets together. The lengths must fit before a pair's similarity is
+    many texts share come last and seldom bring two sets together. Hashes that one set alone holds come before all others
+    and can't bring it to any other, so only their number is kept. The lengths must fit before a pair's similarity is
     worked out. A hash that still is in very many sets is a skewed join key, which adaptive execution splits."""
-    if sigs is None:
-        sigs = stage(with_signatures(docs.select("doc_id", "text"), "text", "sigs").select("doc_id", "sigs"), "spot-sigs")
-    reps = _classes(sigs).select(F.col("class_id").alias("doc_id")).distinct()
-    sets = stage(sigs.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumn("n", F.size("sigs")), "spot-sets")
+    sets = _sets(_signed(docs))
+    name = lambda c, i: sets.select(F.col("c").alias(c), F.col("class_id").alias(i))
+    got = _alike(sets, threshold).join(name("c1", "i"), "c1").join(name("c2", "j"), "c2")
+    ordered = F.array_sort(F.array("i", "j"))
+    return got.select(ordered[0].alias("a"), ordered[1].alias("b"), "similarity")
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, c, sigs) of every row, written; c names the signature set by two hashes."""
+    rows = with_signatures(docs.select("doc_id", "text"), "text", "sigs")
+    return stage(rows.select("doc_id", F.struct(F.xxhash64("sigs").alias("h"), F.hash("sigs").alias("k")).alias("c"), "sigs"), "spot-sigs")
+
+
+def _sets(signed: DataFrame) -> DataFrame:
+    """(c, class_id, sigs, n): the distinct signature sets, written."""
+    return stage(signed.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.any_value("sigs").alias("sigs")).withColumn("n", F.size("sigs")), "spot-sets")
+
+
+def _alike(sets: DataFrame, threshold: float) -> DataFrame:
+    """(c1, c2, similarity) of the sets that are alike, once a pair, written."""
     part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
     take = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    held = sets.select("doc_id", "n", F.explode("sigs").alias("sig"))
-    often = held.groupBy("sig").agg(F.count("*").alias("held"))
-    first = F.array_sort(F.collect_list(F.struct("held", "sig")))["sig"]
-    ranked = held.join(often, "sig").groupBy("doc_id", "n").agg(first.alias("order"))
-    keys = stage(ranked.select("doc_id", "n", part.alias("part"), F.explode(F.slice("order", F.lit(1), take)).alias("sig")), "spot-keys")
-    small = keys.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    big = keys.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), "sig", "part")
-    fits = (F.col("n1") >= F.col("n2") * threshold) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b"))))
-    met = small.join(big, ["part", "sig"]).where(fits).select("a", "b").distinct()
-    s1 = sets.select(F.col("doc_id").alias("a"), F.col("sigs").alias("x"))
-    s2 = sets.select(F.col("doc_id").alias("b"), F.col("sigs").alias("y"))
-    scored = met.join(s1, "a").join(s2, "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("x"), F.col("y")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    held = sets.select("c", "n", F.explode("sigs").alias("sig"))
+    often = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("held")).where("held > 1")
+    shared = held.join(often, "sig").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("held", "sig"))).alias("order"))
+    alone = F.col("n") - F.size("order")
+    first = F.slice(F.col("order")["sig"], F.lit(1), F.greatest(take - alone, F.lit(0)))
+    keys = stage(shared.select("c", "n", part.alias("part"), F.explode(first).alias("sig")), "spot-keys")
+    small = keys.select(F.col("c").alias("c1"), F.col("n").alias("n1"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    big = keys.select(F.col("c").alias("c2"), F.col("n").alias("n2"), "sig", "part")
+    fits = (F.col("n1") >= F.col("n2") * threshold) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2"))))
+    met = small.join(big, ["part", "sig"]).where(fits).select("c1", "c2").distinct()
+    s1 = sets.select(F.col("c").alias("c1"), F.col("sigs").alias("x"))
+    s2 = sets.select(F.col("c").alias("c2"), F.col("sigs").alias("y"))
+    scored = met.join(s1, "c1").join(s2, "c2").select("c1", "c2", likeness(F.col("x"), F.col("y")).alias("similarity"))
+    return stage(scored.where(F.col("similarity") >= threshold), "spot-pairs")
 
 
 def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -531,11 +531,34 @@ def test_spotsigs_neighbours(spark, monkeypatch):
     assert len(seen) > 1
 
 
-def test_spotsigs_links(docs):
+def test_spotsigs_links(docs, empty):
     d = docs.dropDuplicates(["doc_id"])
     pairs = [(r["a"], r["b"]) for r in spotsigs.near_pairs(d).collect()]
     got = {r["doc_id"]: r for r in spotsigs.near_duplicates(d).collect()}
     assert len(got) == d.count() and all(r["links"] == sum(r["class_id"] in p for p in pairs) for r in got.values())
+    assert spotsigs.near_duplicates(docs).count() == docs.count() and spotsigs.near_duplicates(empty).count() == 0
+
+
+def test_spotsigs_near_documents_by_brute_force(spark):
+    """A passage that every text ends with, variants of some texts, copies, and rows without an id."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(4))
+    prose = lambda k: " ".join(f"the {word()} {word()}" for _ in range(k))
+    common, texts = prose(12), []
+    for i in range(40):
+        own = prose(r.randrange(3, 60))
+        texts += [own + " " + common] + [f"{own} the {word()} {word()} {common}" for _ in range(i % 4)]
+    texts += texts[:10] + [common, common, "", None, "two words", "two words", "the " * 50]
+    rows = [(None if i % 17 == 5 else i, t) for i, t in enumerate(texts)]
+    got = spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("c", F.lit("clash")).withColumn("sigs", F.lit(1)).repartition(3)).collect()
+    sets = [frozenset(brute_signatures(t or "")) for _, t in rows]
+    least = {}
+    for s, (i, _) in zip(sets, rows):
+        least[s] = min((x for x in (least.get(s), i) if x is not None), default=None)
+    links = {s: sum(s != o and len(s & o) >= 0.8 * len(s | o) for o in least) for s in least}
+    want = [(i, len(s), least[s], links[s]) for s, (i, _) in zip(sets, rows)]
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key) and sum(links.values()) > 40
 
 
 def test_spotsigs_pairs(docs):
