@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import curve_plans, family_plans, field_plans, geometry_plans, graph_plans, invariant_plans, skeleton_plans
+from . import curve_plans, derivative_plans, family_plans, field_plans, geometry_plans, graph_plans, invariant_plans, skeleton_plans, stream_plans
 
 
 def plans() -> dict:
     out: dict = {}
-    for m in (field_plans, graph_plans, family_plans, geometry_plans, curve_plans, skeleton_plans, invariant_plans):
+    for m in (field_plans, derivative_plans, graph_plans, family_plans, geometry_plans, curve_plans, skeleton_plans, invariant_plans, stream_plans):
         out |= m.plans()
     return out
