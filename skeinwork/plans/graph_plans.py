@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import canonical, graphs
+from ..operators import canonical, eccentricity, graphs
 from .common import cut
 
 
@@ -181,6 +181,24 @@ def _classes(spark, d):
     return got.groupBy("n", "canonical_key").agg(F.count("*").alias("graphs"), F.min("graph_id").alias("least"))
 
 
+def meetings(spark, d):
+    """Customers and the dates of their orders, dates below zero."""
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").cast("bigint").alias("u"), (-F.unix_date(F.col("o_orderdate").cast("date")) - 1).cast("bigint").alias("v"))
+
+
+# reach of all vertices as bit strings, a level at a time: the diameter is the first level at which all are full
+LEVELS = 16
+MEETINGS = (
+    "WITH g AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) u, CAST(-date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) - 1 AS BIGINT) v FROM orders), "
+    "i AS MATERIALIZED (SELECT x, CAST(row_number() OVER (ORDER BY x) - 1 AS INTEGER) i FROM (SELECT u x FROM g UNION SELECT v FROM g)), n AS (SELECT CAST(count(*) AS INTEGER) n FROM i), "
+    "nb AS MATERIALIZED (SELECT a.i a, b.i b FROM g JOIN i a ON a.x = g.u JOIN i b ON b.x = g.v UNION SELECT b.i, a.i FROM g JOIN i a ON a.x = g.u JOIN i b ON b.x = g.v UNION SELECT i, i FROM i), "
+    "b0 AS MATERIALIZED (SELECT i, set_bit(CAST(repeat('0', n) AS BIT), i, 1) s FROM i, n)"
+    + "".join(f", b{k} AS MATERIALIZED (SELECT nb.a AS i, bit_or(s) s FROM nb JOIN b{k - 1} ON b{k - 1}.i = nb.b GROUP BY nb.a)" for k in range(1, LEVELS + 1))
+    + ", f AS (" + " UNION ALL ".join(f"SELECT {k} k, min(bit_count(s)) = max(n) AS full_ FROM b{k}, n" for k in range(LEVELS + 1))
+    + ") SELECT (SELECT CAST(n AS BIGINT) FROM n) AS vertices, bool_or(full_) AS is_connected, CAST(min(k) FILTER (full_) AS BIGINT) AS diameter FROM f"
+)
+
+
 def plans():
     comp = f"WITH RECURSIVE {WHOLE}, {ENDS}, {REACH}"
     return {
@@ -199,6 +217,7 @@ def plans():
         "contract_chains": (_chains, f"WITH {WHOLE} SELECT least(u, v) AS u, greatest(u, v) AS v, CAST(2 AS BIGINT) AS edges FROM e"),
         "simplify_edges": (lambda s, d: graphs.simplify(forest_ring(s, d), cut), f"WITH {WHOLE}, {ENDS}, i AS (SELECT v AS x, row_number() OVER (ORDER BY v) - 1 AS id FROM deg) SELECT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v, CAST(2 AS BIGINT) AS edges FROM e JOIN i a ON a.x = e.u JOIN i b ON b.x = e.v"),
         "diameter_avgpath": (lambda s, d: graphs.diameter(cut(whole(s, d)), cut).select("is_connected", "diameter", (F.round("average_path", 6) + 0.0).alias("average_path")), DIST + " SELECT count(*) = max(n) * max(n) AS is_connected, CASE WHEN count(*) = max(n) * max(n) THEN CAST(max(d) AS BIGINT) END AS diameter, CASE WHEN count(*) = max(n) * max(n) THEN round(CAST(sum(d) AS DOUBLE) / (max(n) * (max(n) - 1)), 6) + 0.0 END AS average_path FROM di, n"),
+        "diameter_by_bounds": (lambda s, d: eccentricity.diameter(meetings(s, d), cut), MEETINGS),
         "wl_hash": (_wl, wl_sql()),
         "label_key": (lambda s, d: graphs.label_key(whole(s, d), cut), LABEL + f" SELECT (SELECT count(*) FROM i) AS n, {LIST} AS edge_list FROM p"),
         "canonical_key": (lambda s, d: graphs.canonical_key(whole(s, d), cut), CANON + f" SELECT (SELECT count(*) FROM i) AS n, sha256((SELECT count(*) FROM i) || '|' || {LIST}) AS canonical_key FROM p"),
