@@ -67,3 +67,24 @@ def test_keys_of_tables(spark):
     got = {r["graph_id"]: (r["n"], r["canonical_key"]) for r in keys(spark.createDataFrame(rows, "graph_id string, u long, v long")).collect()}
     assert got["a"] == got["b"] != got["c"] and got["c"][0] == 2
     assert keys(spark.createDataFrame([], "graph_id string, u long, v long")).count() == 0
+
+
+def test_graphs_with_the_same_edges_are_searched_once(spark, tmp_path):
+    """A search leaves a file in a folder; 200 graphs with two edge lists, in any order of their rows, take two."""
+    from skeinwork.operators import canonical
+
+    plain_form, at = canonical.canonical_form, str(tmp_path)
+
+    def counted(n, edges):
+        import tempfile
+
+        tempfile.mkstemp(dir=at)
+        return plain_form(n, edges)
+
+    rows = [(g, *e) for g in range(200) for e in ([(1, 2), (2, 3), (2, 1)] if g % 2 else [(3, 2), (1, 2), (2, 2)])[:: 1 if g % 4 < 2 else -1]]
+    canonical.canonical_form = counted
+    try:
+        got = keys(spark.createDataFrame(rows, "graph_id long, u long, v long")).collect()
+    finally:
+        canonical.canonical_form = plain_form
+    assert len(got) == 200 and len({r["canonical_key"] for r in got}) == 2 and len(list(tmp_path.iterdir())) == 2
