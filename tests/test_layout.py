@@ -132,3 +132,25 @@ def test_late_events_are_dropped(spark, tmp_path):
     q.awaitTermination()
     got = {str(r["start"])[11:16]: r["n"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got["00:00"] == 2 and got["02:00"] == 3
+
+
+def test_energy_memory_is_bounded():
+    """3,000 pieces make 9 million pairs, 72 MB for each number of a pair: blocks take less for all of them together."""
+    import tracemalloc
+
+    from skeinwork.operators import skeleton
+
+    p = np.random.default_rng(4).random((3001, 3))
+    tracemalloc.start()
+    e, g = skeleton.tangent_point(p)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 72e6 and np.isfinite(g).all()
+    few, plain = p[:60], skeleton.PAIRS
+    whole = skeleton.tangent_point(few)
+    try:
+        skeleton.PAIRS = 100
+        parts = skeleton.tangent_point(few)
+    finally:
+        skeleton.PAIRS = plain
+    assert np.isclose(whole[0], parts[0], rtol=1e-12) and np.allclose(whole[1], parts[1], rtol=1e-9)
