@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .connected import components
-from .skeleton import _NEAR, _simple
+from .skeleton import _EDGE18, _FACE, _NEAR, _share_face, _touch
 
 Cut = Callable[[DataFrame], DataFrame]
 #: Steps that an iteration can carry news, iterations between two exchanges, and voxels of a block along an axis.
@@ -33,18 +33,50 @@ EIGHT, ITERATIONS, BLOCK = 8, 2, 48
 _SUBFIELDS = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
 
 
+def _bits(places) -> int:
+    return sum(1 << k for k, o in enumerate(_NEAR) if o in places)
+
+
+def _spread(near: Callable, within) -> tuple[np.ndarray, np.ndarray]:
+    """For the lower and the upper 13 of 26 bits: what is next to any of the places that they stand for."""
+    half = [np.zeros(1, np.int32), np.zeros(1, np.int32)]
+    for k, o in enumerate(_NEAR):
+        told = _bits([p for p in within if near(o, p)]) if o in within else 0
+        half[k // 13] = np.concatenate([half[k // 13], half[k // 13] | told]).astype(np.int32)
+    return half[0], half[1]
+
+
+_TOUCHING, _SHARING = _spread(_touch, _NEAR), _spread(_share_face, _EDGE18)
+_FACES, _NEARER = _bits(_FACE), _bits(_EDGE18)
+
+
+def _flood(seeds: np.ndarray, within: np.ndarray, spread: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What can be reached from the seeds in each pattern."""
+    while True:
+        grown = seeds | (spread[0][seeds & 8191] | spread[1][seeds >> 13]) & within
+        if (grown == seeds).all():
+            return seeds
+        seeds = grown
+
+
 def _around(full: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 26 neighbours of places within a volume as bits."""
-    out = np.zeros(len(at), np.int64)
+    out, flat, (_, n, m) = np.zeros(len(at), np.int32), full.ravel(), full.shape
+    places = (at[:, 0] * n + at[:, 1]) * m + at[:, 2]
     for k, o in enumerate(_NEAR):
-        out |= full[at[:, 0] + o[0], at[:, 1] + o[1], at[:, 2] + o[2]].astype(np.int64) << k
+        out |= flat[places + ((o[0] * n + o[1]) * m + o[2])].astype(np.int32) << k
     return out
 
 
 def _goes(patterns: np.ndarray) -> np.ndarray:
-    """Which neighbourhoods are those of simple voxels that aren't ends."""
-    unique, back = np.unique(patterns, return_inverse=True)
-    return np.array([bin(p).count("1") > 1 and _simple(frozenset(o for k, o in enumerate(_NEAR) if p >> k & 1)) for p in unique.tolist()], bool)[back]
+    """Which neighbourhoods are those of simple voxels that aren't ends, as skeleton._simple has it, all at once."""
+    p = patterns.astype(np.int32)
+    empty = ~p & _NEARER
+    faces = empty & _FACES
+    going = (p & (p - 1) != 0) & (faces != 0)
+    p, empty, faces = p[going], empty[going], faces[going]
+    going[going] = (_flood(p & -p, p, _TOUCHING) == p) & (_flood(faces & -faces, empty, _SHARING) & _FACES == faces)
+    return going
 
 
 def peel(full: np.ndarray, odd: tuple[int, int, int]) -> None:

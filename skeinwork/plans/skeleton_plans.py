@@ -59,14 +59,17 @@ _BALL = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2
 
 
 def tubes(spark, d):
-    """A mask for each label: all voxels near its embedding curve, taken in steps of a voxel at most."""
+    """A mask for each label: all voxels near its embedding curve, taken in steps of a voxel at most. Pieces of curves are
+    dealt to all tasks, as they become many voxels, and these by cubes, so that balls that overlap are made in one task."""
     p = curves(spark, d)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy("g").orderBy("seq")
     piece = p.select("g", *"xyz", *[F.lead(a).over(w).alias(f"{a}2") for a in "xyz"]).where("x2 IS NOT NULL")
     far = F.sqrt((F.col("x2") - F.col("x")) * (F.col("x2") - F.col("x")) + (F.col("y2") - F.col("y")) * (F.col("y2") - F.col("y")) + (F.col("z2") - F.col("z")) * (F.col("z2") - F.col("z")))
-    piece = piece.withColumn("n", F.ceil(far * FINE).cast("bigint") + 1).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))))
+    piece = piece.repartition(tasks, "g", "seq").withColumn("n", F.ceil(far * FINE).cast("bigint") + 1).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))))
     at = [F.floor((F.col(a) + (F.col(f"{a}2") - F.col(a)) * F.col("k") / F.col("n") + 2) * FINE).cast("bigint").alias(f"i{a}") for a in "xyz"]
-    centres = piece.select(F.col("g").alias("grid_id"), *at).distinct()
+    centres = piece.select(F.col("g").alias("grid_id"), *at).select("*", *[F.shiftright(f"i{a}", 5).alias(f"c{a}") for a in "xyz"])
+    centres = centres.repartition(tasks, "grid_id", "cx", "cy", "cz").distinct()
     ball = F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip("xyz", o)]) for o in _BALL])
     return centres.withColumn("o", F.explode(ball)).select("grid_id", *[(F.col(f"i{a}") + F.col(f"o.{a}")).alias(f"i{a}") for a in "xyz"]).distinct()
 

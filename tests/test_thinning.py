@@ -1,6 +1,7 @@
 """Thinning by blocks and tracing by pointers against the same work on whole masks."""
 
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.operators import fields, skeleton, thinning
+from skeinwork.plans import skeleton_plans
 from skeinwork.plans.common import cut
 
 KIND = "grid_id long, ix long, iy long, iz long"
@@ -114,3 +116,26 @@ def test_euler_of_many_grids(spark):
     shell = [(a, b, c) for a in range(3) for b in range(3) for c in range(3) if (a, b, c) != (1, 1, 1)]
     got = {r["grid_id"]: r["euler"] for r in thinning.euler(table(spark, {0: ball, 1: ring, 2: shell})).collect()}
     assert got == {0: 1, 1: 0, 2: 2}
+
+
+def test_simple_voxels_all_at_once():
+    """Half a million neighbourhoods, most of them different, within seconds; a part of them against skeleton._simple."""
+    r = np.random.default_rng(1)
+    patterns = np.concatenate([sum((r.random(70_000) < q).astype(np.int64) << k for k in range(26)) for q in (0.08, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95)] + [np.array([0, 1, 3, (1 << 26) - 1])])
+    began = time.process_time()
+    got = thinning._goes(patterns)
+    assert time.process_time() - began < 5  # one after another they take three times as long
+    part = np.concatenate([np.arange(0, len(patterns), 97), np.arange(len(patterns) - 4, len(patterns))])
+    for p, goes in zip(patterns[part].tolist(), got[part].tolist()):
+        assert goes == (bin(p).count("1") > 1 and skeleton._simple(frozenset(o for k, o in enumerate(skeleton._NEAR) if p >> k & 1)))
+    assert 0 < got.sum() < len(got)
+
+
+def test_pieces_of_tubes_go_to_all_tasks(spark, sf):
+    """A table in one file, with few labels, still has its voxels made by all tasks."""
+    made = skeleton_plans.tubes(spark, sf)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(dealt) == 2 and all(f"], {tasks}" in line for line in dealt), plan
+    assert made.count() == made.distinct().count()
