@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from skeinwork.operators import graphs
+from skeinwork.plans import graph_plans
 from skeinwork.plans.common import cut
 
 
@@ -63,3 +64,16 @@ def test_edges_of_a_hub_do_not_meet_by_it(spark, monkeypatch):
     assert seen == [n, n]  # the pairs of edges, and the contracted edges; the graph has 2 n edges
     plan = graphs.chains(e, cut)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+def test_trade_edges_are_made_by_all_tasks(spark, sf, monkeypatch):
+    """The few pairs of nations fit into one task, the edges that they stand for don't: runs of them are dealt out, and ids are
+    the same whatever the length of a run."""
+    told = lambda df: sorted(tuple(x) for x in df.collect())
+    long_ = told(graph_plans.whole(spark, sf))
+    monkeypatch.setattr(graph_plans, "RUN", 3)
+    edges = graph_plans.whole(spark, sf)
+    n = graph_plans.trade(spark, sf).groupBy("u", "v").count().collect()
+    assert told(edges) == long_ == sorted(((r["u"] * 1000 + r["v"]) * 10**12 + k, r["u"], r["v"]) for r in n for k in range(r["count"]))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert edges.select(F.spark_partition_id()).distinct().count() == tasks > 1
